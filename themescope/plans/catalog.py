@@ -326,3 +326,335 @@ def q_report_lines(spark, sf):
     ("tf", "SELECT cluster, term, count(*) AS tf FROM toks GROUP BY cluster, term")]))
 def q_keyword_labels(spark, sf):
     return rp.keyword_labels(fx.clustered(spark, sf))
+
+
+# --------------------------------------------------------------- vectors ---
+from themescope.functions import vector as vx  # noqa: E402
+from themescope.operators import drift as dr  # noqa: E402
+from themescope.operators import encode as en  # noqa: E402
+from themescope.operators import neighbours as nn  # noqa: E402
+from themescope.plans.oracle import dotp, l2n, norm, sqdist  # noqa: E402
+
+KNN_K = 15
+KMEANS_K = 5
+R6 = 6
+
+
+def _r(c, places: int = R6):
+    return F.round(c, places)
+
+
+_NV = ("nv", f"SELECT id, label, {l2n('embedding')} AS v FROM vectors")
+_COS = (f"CASE WHEN {norm('a.embedding')} > 0 AND {norm('b.embedding')} > 0 "
+        f"THEN {dotp('a.embedding', 'b.embedding')} / ({norm('a.embedding')} * {norm('b.embedding')}) ELSE 0 END")
+_SIMS = ("sims", f"""SELECT p.id_a, p.id_b, {_COS} AS sim FROM pairs p
+                    JOIN vectors a ON a.id = p.id_a JOIN vectors b ON b.id = p.id_b""")
+
+
+def _assign_sql(src: str, centres: str, name: str) -> tuple[str, str]:
+    """Nearest centre for rows (id, v) of ``src``; ties → lowest cluster."""
+    return (name, f"""SELECT id, cluster, d2 FROM (
+        SELECT s.id, c.cluster, {sqdist('s.v', 'c.center')} AS d2 FROM {src} s, {centres} c)
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, cluster) = 1""")
+
+
+def _means_sql(src: str, assign: str, name: str) -> tuple[str, str]:
+    return (name, f"""SELECT cluster, list(m ORDER BY pos) AS center FROM (
+        SELECT a.cluster, u.pos, avg(u.x) AS m FROM (
+          SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {src}) u
+        JOIN {assign} a USING (id) GROUP BY a.cluster, u.pos) GROUP BY cluster""")
+
+
+def _pairs_vectors(spark, sf):
+    v = fx.vectors(spark, sf)
+    p = fx.pairs(spark, sf)
+    a = v.select(F.col("id").alias("id_a"), F.col("embedding").alias("ea"))
+    b = v.select(F.col("id").alias("id_b"), F.col("embedding").alias("eb"))
+    return p.join(a, "id_a").join(b, "id_b").withColumn("sim", vx.cosine("ea", "eb"))
+
+
+@register("vectors_scan", f"""
+    SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, round({norm('embedding')}, 6) AS norm, label
+    FROM embeddings""")
+def q_vectors_scan(spark, sf):
+    v = fx.vectors(spark, sf)
+    return v.select("id", F.size("embedding").alias("dim"), _r(vx.norm("embedding")).alias("norm"), "label")
+
+
+@register("vector_shape", """
+    SELECT count(*) AS n_rows, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max,
+           sum(len(embedding)) * 4 AS n_bytes FROM embeddings""")
+def q_vector_shape(spark, sf):
+    return rp.vector_shape(fx.vectors(spark, sf))
+
+
+@register("vector_normalize", sql(f"""
+    SELECT id, round({norm('v')}, 6) AS norm_after, round(v[1], 6) AS first_value,
+           round(list_sum(v), 6) AS value_sum FROM nv""", "vectors", extra=[_NV]))
+def q_vector_normalize(spark, sf):
+    v = fx.vectors(spark, sf).withColumn("v", vx.l2_normalize("embedding"))
+    return v.select("id", _r(vx.norm("v")).alias("norm_after"), _r(F.col("v")[0]).alias("first_value"),
+                    _r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("value_sum"))
+
+
+@register("pair_similarity", sql("SELECT id_a, id_b, round(sim, 6) AS similarity FROM sims",
+                                 "pairs", "vectors", extra=[_SIMS]))
+def q_pair_similarity(spark, sf):
+    return _pairs_vectors(spark, sf).select("id_a", "id_b", _r(F.col("sim")).alias("similarity"))
+
+
+@register("similarity_bands", sql("""
+    SELECT CASE WHEN sim > 0.6 THEN 'very similar' WHEN sim > 0.3 THEN 'loosely related' ELSE 'unrelated' END
+           AS band, count(*) AS n_pairs FROM sims GROUP BY band""", "pairs", "vectors", extra=[_SIMS]))
+def q_similarity_bands(spark, sf):
+    s = _pairs_vectors(spark, sf)
+    return s.groupBy(tx.similarity_band(F.col("sim")).alias("band")).agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@register("similar_pairs", sql("SELECT id_a, id_b, round(sim, 6) AS similarity FROM sims WHERE sim > 0.6",
+                               "pairs", "vectors", extra=[_SIMS]))
+def q_similar_pairs(spark, sf):
+    s = _pairs_vectors(spark, sf).where(F.col("sim") > tx.BAND_HIGH)
+    return s.select("id_a", "id_b", _r(F.col("sim")).alias("similarity"))
+
+
+def _assigned(spark, sf):
+    v = fx.vectors(spark, sf)
+    return cl.assign_nearest(v, cl.centres_literal(fx.centroids(spark, sf)))
+
+
+@register("assign_nearest", sql("SELECT id, cluster, round(d2, 6) AS sq_dist FROM a0",
+                                "vectors", "centroids", extra=[_NV, _assign_sql("nv", "centroids", "a0")]))
+def q_assign_nearest(spark, sf):
+    return _assigned(spark, sf).select("id", "cluster", _r(F.col("sq_dist")).alias("sq_dist"))
+
+
+@register("assignment_inertia", sql("SELECT round(sum(d2), 6) AS inertia, count(*) AS n FROM a0",
+                                    "vectors", "centroids", extra=[_NV, _assign_sql("nv", "centroids", "a0")]))
+def q_assignment_inertia(spark, sf):
+    return cl.inertia(_assigned(spark, sf)).select(_r(F.col("inertia")).alias("inertia"), "n")
+
+
+def _explode_centres(c: DataFrame) -> DataFrame:
+    return c.select("cluster", F.posexplode("center").alias("pos", "value")).select(
+        "cluster", "pos", _r(F.col("value")).alias("value"))
+
+
+_EXPLODE_SQL = """SELECT cluster, pos, round(value, 6) AS value FROM (
+    SELECT cluster, unnest(center) AS value, generate_subscripts(center, 1) - 1 AS pos FROM {src})"""
+
+
+@register("centroid_update", sql(_EXPLODE_SQL.format(src="c1"), "vectors", "centroids", extra=[
+    _NV, _assign_sql("nv", "centroids", "a0"), _means_sql("nv", "a0", "c1")]))
+def q_centroid_update(spark, sf):
+    v = fx.vectors(spark, sf)
+    return _explode_centres(cl.lloyd_step(v, cl.centres_literal(fx.centroids(spark, sf))))
+
+
+@register("lloyd_two_steps", sql(_EXPLODE_SQL.format(src="c2"), "vectors", "centroids", extra=[
+    _NV, _assign_sql("nv", "centroids", "a0"), _means_sql("nv", "a0", "c1"),
+    _assign_sql("nv", "c1", "a1"), _means_sql("nv", "a1", "c2")]))
+def q_lloyd_two_steps(spark, sf):
+    v = fx.vectors(spark, sf)
+    c1 = cl.lloyd_steps(v, fx.centroids(spark, sf), 1)
+    return _explode_centres(cl.lloyd_step(v, cl.centres_literal(c1)))
+
+
+_SIL_SQL = sql(f"""
+    SELECT round(avg(CASE WHEN n_own IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0
+                          ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n
+    FROM (SELECT id, cluster, max(CASE WHEN other = cluster THEN s / c END) AS a,
+                 min(CASE WHEN other <> cluster THEN s / c END) AS b,
+                 max(CASE WHEN other = cluster THEN c END) AS n_own
+          FROM (SELECT x.id, x.label AS cluster, y.label AS other, sum(sqrt({sqdist('x.v', 'y.v')})) AS s,
+                       count(*) AS c
+                FROM nv x JOIN nv y ON x.id <> y.id GROUP BY ALL) GROUP BY id, cluster)""",
+    "vectors", extra=[_NV])
+
+
+@register("silhouette_exact", _SIL_SQL)
+def q_silhouette_exact(spark, sf):
+    r = cl.silhouette_exact(fx.vectors(spark, sf), cluster_col="label", block_rows=256)
+    return r.select(_r(F.col("silhouette")).alias("silhouette"), "n")
+
+
+@register("silhouette_squared", sql(f"""
+    SELECT round(avg(s), 6) AS silhouette, count(*) AS n FROM (
+      SELECT CASE WHEN n_own <= 1 OR b IS NULL THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1
+                  ELSE 0 END AS s
+      FROM (SELECT p.id, max(CASE WHEN st.cluster = p.label THEN d * st.n / (st.n - 1) END) AS a,
+                   max(CASE WHEN st.cluster = p.label THEN st.n END) AS n_own,
+                   min(CASE WHEN st.cluster <> p.label THEN d END) AS b
+            FROM (SELECT p.id, p.label, st.cluster, st.n,
+                         list_sum(list_transform(p.v, lambda x: x * x)) + st.psi / st.n
+                           - 2 * {dotp('p.v', 'st.s')} / st.n AS d
+                  FROM nv p, st) p JOIN st ON st.cluster = p.cluster GROUP BY p.id))""",
+    "vectors", extra=[_NV,
+    ("st", """SELECT s.cluster, s.s, n.n, n.psi FROM (
+        SELECT cluster, list(m ORDER BY pos) AS s FROM (
+          SELECT label AS cluster, pos, sum(x) AS m FROM (
+            SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM nv) GROUP BY label, pos)
+        GROUP BY cluster) s
+      JOIN (SELECT label AS cluster, count(*) AS n, sum(list_sum(list_transform(v, lambda x: x * x))) AS psi
+            FROM nv GROUP BY label) n USING (cluster)""")]))
+def q_silhouette_squared(spark, sf):
+    r = cl.silhouette_squared(fx.vectors(spark, sf), cluster_col="label")
+    return r.select(_r(F.col("silhouette")).alias("silhouette"), "n")
+
+
+@register("knn_graph", sql(f"""
+    SELECT id, nbr, rank, round(d, 6) AS dist FROM (
+      SELECT a.id, b.id AS nbr, sqrt({sqdist('a.embedding', 'b.embedding')}) AS d,
+             row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
+      FROM vectors a JOIN vectors b ON a.id <> b.id QUALIFY rank <= {KNN_K})""", "vectors"))
+def q_knn_graph(spark, sf):
+    g = nn.knn_graph(fx.vectors(spark, sf), KNN_K, block_rows=256)
+    return g.select("id", "nbr", "rank", _r(F.col("dist")).alias("dist"))
+
+
+@register("fuzzy_edges", None)
+def q_fuzzy_edges(spark, sf):
+    g = nn.knn_graph(fx.vectors(spark, sf), KNN_K, block_rows=256)
+    return nn.fuzzy_edges(g, KNN_K).select("src", "dst", _r(F.col("weight")).alias("weight"))
+
+
+@register("project_2d", None)
+def q_project_2d(spark, sf):
+    return nn.project_2d(fx.vectors(spark, sf))
+
+
+@register("kmeans_fit", None)
+def q_kmeans_fit(spark, sf):
+    v = fx.vectors(spark, sf)
+    model, _ = cl.kmeans_fit(v, KMEANS_K)
+    return cl.kmeans_labels(v, model).select("id", "cluster")
+
+
+@register("elbow_curve", None)
+def q_elbow_curve(spark, sf):
+    curve = cl.elbow_curve(fx.vectors(spark, sf), max_k=10)
+    return spark.createDataFrame([(k, float(c)) for k, c in curve], "k INT, inertia DOUBLE")
+
+
+@register("encode_documents", None)
+def q_encode_documents(spark, sf):
+    d = fx.read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    e = en.hashing_encoder(d, dim=384)
+    return e.select("id", F.size("embedding").alias("dim"), _r(vx.norm("embedding"), 4).alias("norm"))
+
+
+@register("hashed_term_counts", f"""
+    SELECT doc_id, sum(n) AS n_terms, count(*) AS n_buckets, arg_max(bucket, (n, -bucket)) AS top_bucket,
+           max(n) AS top_count
+    FROM (SELECT doc_id, CAST(CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 384 AS INTEGER) AS bucket,
+                 count(*) AS n
+          FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents) GROUP BY ALL)
+    GROUP BY doc_id""")
+def q_hashed_term_counts(spark, sf):
+    return en.hashed_term_counts(fx.read_table(spark, sf, "documents"), 384)
+
+
+# ------------------------------------------------------------------ drift ---
+
+_TL = ("tl", """SELECT period_start, cluster, n_posts, n_posts / sum(n_posts) OVER (PARTITION BY period_start) AS share
+               FROM (SELECT time_bucket(INTERVAL '7 days', created_at, TIMESTAMP '1970-01-01') AS period_start,
+                            cluster, count(*) AS n_posts FROM clustered GROUP BY ALL)""")
+_GRID = ("grid", """SELECT c.cluster, g.period_start, coalesce(tl.n_posts, 0) AS n_posts,
+                           coalesce(tl.share, 0.0) AS share
+    FROM (SELECT DISTINCT cluster FROM tl) c,
+         (SELECT unnest(generate_series((SELECT min(period_start) FROM tl), (SELECT max(period_start) FROM tl),
+                                        INTERVAL '7 days')) AS period_start) g
+    LEFT JOIN tl ON tl.cluster = c.cluster AND tl.period_start = g.period_start""")
+_DELTA = ("delta", """SELECT *, lag(share) OVER (PARTITION BY cluster ORDER BY period_start) AS prev_share FROM grid""")
+
+
+@register("drift_timeline", sql("SELECT period_start, cluster, n_posts, round(share, 6) AS share FROM tl",
+                                "clustered", extra=[_TL]))
+def q_drift_timeline(spark, sf):
+    t = dr.drift_timeline(fx.clustered(spark, sf))
+    return t.select("period_start", "cluster", "n_posts", _r(F.col("share")).alias("share"))
+
+
+@register("drift_delta", sql("""SELECT period_start, cluster, n_posts, round(share, 6) AS share,
+                                       round(prev_share, 6) AS prev_share, round(share - prev_share, 6) AS delta
+                                FROM delta""", "clustered", extra=[_TL, _GRID, _DELTA]))
+def q_drift_delta(spark, sf):
+    d = dr.drift_delta(fx.clustered(spark, sf))
+    return d.select("period_start", "cluster", "n_posts", *[_r(F.col(c)).alias(c) for c in
+                                                            ("share", "prev_share", "delta")])
+
+
+@register("drift_jsd", sql("""
+    SELECT period_start, round(sum((CASE WHEN prev_share > 0 THEN prev_share * ln(prev_share / ((prev_share + share) / 2)) ELSE 0 END
+                               + CASE WHEN share > 0 THEN share * ln(share / ((prev_share + share) / 2)) ELSE 0 END) / 2), 6) AS jsd
+    FROM delta WHERE prev_share IS NOT NULL GROUP BY period_start""", "clustered", extra=[_TL, _GRID, _DELTA]))
+def q_drift_jsd(spark, sf):
+    return dr.drift_jsd(fx.clustered(spark, sf)).select("period_start", _r(F.col("jsd")).alias("jsd"))
+
+
+@register("centroid_shift", sql(f"""
+    SELECT a.period_start, b.period_start AS prev_start, a.cluster,
+           round(1 - CASE WHEN {norm('a.center')} > 0 AND {norm('b.center')} > 0
+                          THEN {dotp('a.center', 'b.center')} / ({norm('a.center')} * {norm('b.center')}) ELSE 0 END, 6) AS shift
+    FROM (SELECT *, lag(period_start) OVER (PARTITION BY cluster ORDER BY period_start) AS prev FROM pm) a
+    JOIN pm b ON b.cluster = a.cluster AND b.period_start = a.prev""", "clustered", extra=[
+    ("pm", """SELECT period_start, cluster, list(m ORDER BY pos) AS center FROM (
+        SELECT period_start, cluster, pos, avg(CAST(x AS DOUBLE)) AS m FROM (
+          SELECT time_bucket(INTERVAL '7 days', created_at, TIMESTAMP '1970-01-01') AS period_start, cluster,
+                 unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM clustered)
+        GROUP BY ALL) GROUP BY period_start, cluster""")]))
+def q_centroid_shift(spark, sf):
+    s = dr.centroid_shift(fx.clustered(spark, sf, with_embedding=True))
+    return s.select("period_start", "prev_start", "cluster", _r(F.col("shift")).alias("shift"))
+
+
+# --------------------------------------------------------------- flagship ---
+
+def _summary_sql(src: str) -> tuple[str, str]:
+    return ("summary", f"""
+    SELECT l.cluster, l.label, coalesce(p.n, 0) AS n_posts,
+           round_even(coalesce(p.n, 0) / (SELECT count(*) FROM {src}) * 100, 1) AS pct,
+           substring(p.first_text, 1, 150) AS sample,
+           chr(10) || 'Cluster "' || l.label || '" ('
+             || CAST(round_even(coalesce(p.n, 0) / (SELECT count(*) FROM {src}) * 100, 1) AS VARCHAR)
+             || '% of posts):' || chr(10) || '  e.g. "' || substring(p.first_text, 1, 150) || '"' || chr(10) AS line
+    FROM (SELECT DISTINCT cluster, 'Theme ' || CAST(cluster AS VARCHAR) AS label FROM {src}) l LEFT JOIN (
+      SELECT cluster, count(*) AS n, arg_min(text, ord) FILTER (WHERE text IS NOT NULL) AS first_text
+      FROM {src} GROUP BY cluster) p USING (cluster)""")
+
+
+_THEMED = [
+    ("dp", "SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1"),
+    ("pv", f"SELECT dp.*, {l2n('v.embedding')} AS v, v.embedding FROM dp JOIN vectors v USING (id)"),
+    _assign_sql("pv", "centroids", "pa"),
+    ("themed", "SELECT pv.id, pv.text, pv.ord, pv.score, pv.embedding, pa.cluster FROM pv JOIN pa USING (id)"),
+]
+
+
+def themed_posts(spark, sf) -> DataFrame:
+    """Deduplicated posts joined to their vectors and assigned to the nearest centre."""
+    posts = ing.dedup_first(fx.posts(spark, sf))
+    v = fx.vectors(spark, sf).select("id", "embedding")
+    return cl.assign_nearest(posts.join(v, "id"), cl.centres_literal(fx.centroids(spark, sf)))
+
+
+@register("theme_summary", sql("SELECT * FROM summary", "posts", "vectors", "centroids",
+                               extra=_THEMED + [_summary_sql("themed")]))
+def q_theme_summary(spark, sf):
+    t = themed_posts(spark, sf)
+    return rp.cluster_summary(t, fx.cluster_labels(t))
+
+
+@register("cluster_layout_join", sql("""
+    SELECT t.id, t.cluster, 'Cluster ' || CAST(t.cluster AS VARCHAR) AS cluster_name,
+           'Theme ' || CAST(t.cluster AS VARCHAR) AS label,
+           round(CAST(t.embedding[1] AS DOUBLE), 6) AS x, round(CAST(t.embedding[2] AS DOUBLE), 6) AS y,
+           substring(t.text, 1, 150) || '...' AS text_150, t.score
+    FROM themed t""", "posts", "vectors", "centroids", extra=_THEMED))
+def q_cluster_layout_join(spark, sf):
+    t = themed_posts(spark, sf)
+    layout = fx.vectors(spark, sf).select("id", _r(F.col("embedding")[0].cast("double")).alias("x"),
+                                          _r(F.col("embedding")[1].cast("double")).alias("y"))
+    j = rp.label_lookup(t, fx.cluster_labels(t)).join(layout, "id")
+    return j.select("id", "cluster", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")).alias("cluster_name"),
+                    "label", "x", "y", tx.preview("text", rp.HOVER_CHARS_APP).alias("text_150"), "score")

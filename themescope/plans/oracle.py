@@ -29,11 +29,11 @@ def l2n(v: str) -> str:
 
 
 def sqdist(a: str, b: str) -> str:
-    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))"
 
 
 def dotp(a: str, b: str) -> str:
-    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
 
 def norm(a: str) -> str:
