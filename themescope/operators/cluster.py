@@ -3,6 +3,8 @@ elbow sweep, silhouettes (exact Euclidean and scalable squared)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -100,23 +102,31 @@ def normalized_features(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(l2_normalize(vec_col)))
 
 
+def _fit_all(feats: DataFrame, specs: list[tuple[int, int]], max_iter: int, tol: float,
+             parallelism: int) -> list:
+    """Fit one Spark ML K-Means per (k, seed); independent fits run as
+    concurrent Spark jobs from a driver thread pool."""
+    def fit(spec):
+        k, sd = spec
+        km = KMeans(k=k, seed=sd, maxIter=max_iter, tol=tol,
+                    featuresCol="features", predictionCol="raw_cluster")
+        model = km.fit(feats)
+        return k, sd, model, model.summary.trainingCost
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(specs)))) as pool:
+        return list(pool.map(fit, specs))
+
+
 def kmeans_fit(df: DataFrame, k: int, n_init: int = 10, seed: int = 42,
                max_iter: int = 300, tol: float = 1e-4, vec_col: str = "embedding",
-               id_col: str = "id"):
+               id_col: str = "id", parallelism: int = 8):
     """Best of ``n_init`` Spark ML K-Means fits (seeds seed..seed+n_init-1) on
-    L2-normalised vectors, by training cost.  Returns (model, cost)."""
-    feats = normalized_features(df.select(id_col, vec_col), vec_col).select(id_col, "features")
-    feats = feats.persist()
+    L2-normalised vectors, by training cost (ties → lower seed).
+    Returns (model, cost)."""
+    feats = normalized_features(df.select(id_col, vec_col), vec_col).select(id_col, "features").persist()
     try:
-        best = None
-        for i in range(n_init):
-            km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol,
-                        featuresCol="features", predictionCol="raw_cluster")
-            model = km.fit(feats)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model, cost)
-        return best
+        fits = _fit_all(feats, [(k, seed + i) for i in range(n_init)], max_iter, tol, parallelism)
+        best = min(fits, key=lambda f: (f[3], f[1]))
+        return best[2], best[3]
     finally:
         feats.unpersist()
 
@@ -134,9 +144,19 @@ def kmeans_labels(df: DataFrame, model, vec_col: str = "embedding", id_col: str
 
 
 def elbow_curve(df: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42,
-                vec_col: str = "embedding") -> list[tuple[int, float]]:
-    """(k, best inertia) for k = 2..max_k."""
-    return [(k, kmeans_fit(df, k, n_init, seed, vec_col=vec_col)[1]) for k in range(2, max_k + 1)]
+                vec_col: str = "embedding", max_iter: int = 300, tol: float = 1e-4,
+                parallelism: int = 8) -> list[tuple[int, float]]:
+    """(k, best inertia over ``n_init`` starts) for k = 2..max_k."""
+    feats = normalized_features(df.select(vec_col), vec_col).select("features").persist()
+    try:
+        specs = [(k, seed + i) for k in range(2, max_k + 1) for i in range(n_init)]
+        fits = _fit_all(feats, specs, max_iter, tol, parallelism)
+    finally:
+        feats.unpersist()
+    best: dict[int, float] = {}
+    for k, _, _, cost in fits:
+        best[k] = min(cost, best.get(k, float("inf")))
+    return sorted(best.items())
 
 
 def elbow_k(curve: list[tuple[int, float]]) -> int:

@@ -658,3 +658,71 @@ def q_cluster_layout_join(spark, sf):
     j = rp.label_lookup(t, fx.cluster_labels(t)).join(layout, "id")
     return j.select("id", "cluster", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")).alias("cluster_name"),
                     "label", "x", "y", tx.preview("text", rp.HOVER_CHARS_APP).alias("text_150"), "score")
+
+
+# -------------------------------------------------------------- streaming ---
+from themescope import streaming as st  # noqa: E402
+from themescope.session import scratch_path  # noqa: E402
+
+STREAM_FILES = 4
+STREAM_DELAY = "31 days"   # longer than the fixture month: no fixture row is late
+
+
+@register("stream_ingest", sql("SELECT DISTINCT id FROM posts WHERE created_at > TIMESTAMP '1970-01-01'",
+                               "posts"))
+def q_stream_ingest(spark, sf):
+    """Hits landed as JSON page files → streaming posts → dedup within the watermark.
+
+    A post without a time gets 1970-01-01, which is at or behind the first
+    watermark (0): the stream drops it as late, as it should.  An id with a
+    timed copy survives through that copy.
+    """
+    root = scratch_path(spark, "stream-ingest")
+    pages = hs.pages_as_json(fx.hits(spark, sf))
+    pages.repartition(STREAM_FILES).write.mode("overwrite").text(f"{root}/in")
+    posts = st.dedup_stream(st.ingest_stream(spark, f"{root}/in"), STREAM_DELAY)
+    st.run_available_now(posts.select("id", "created_at"), f"{root}/out", f"{root}/chk")
+    return spark.read.parquet(f"{root}/out").select("id")
+
+
+@register("stream_assign", sql("SELECT id, cluster, round(d2, 6) AS sq_dist FROM a0",
+                               "vectors", "centroids", extra=[_NV, _assign_sql("nv", "centroids", "a0")]))
+def q_stream_assign(spark, sf):
+    root = scratch_path(spark, "stream-assign")
+    v = fx.vectors(spark, sf).select("id", "embedding", "ord")
+    st.write_stream_input(v, f"{root}/in", STREAM_FILES)
+    s = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    a = st.assign_stream(s, cl.centres_literal(fx.centroids(spark, sf)))
+    st.run_available_now(a.select("id", "cluster", "sq_dist"), f"{root}/out", f"{root}/chk")
+    return spark.read.parquet(f"{root}/out").select("id", "cluster", _r(F.col("sq_dist")).alias("sq_dist"))
+
+
+@register("stream_drift", sql("""
+    SELECT time_bucket(INTERVAL '7 days', created_at, TIMESTAMP '1970-01-01') AS period_start,
+           cluster, count(*) AS n_posts FROM clustered GROUP BY ALL""", "clustered"))
+def q_stream_drift(spark, sf):
+    from themescope.streaming.jobs import latest_updates, run_updates
+    root = scratch_path(spark, "stream-drift")
+    c = fx.clustered(spark, sf).select("id", "created_at", "cluster", "ord")
+    st.write_stream_input(c, f"{root}/in", STREAM_FILES)
+    s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    run_updates(st.drift_counts_stream(s, "7 days", delay=STREAM_DELAY), f"{root}/out", f"{root}/chk")
+    return latest_updates(spark, f"{root}/out", ["period_start", "cluster"]).select(
+        "period_start", "cluster", "n_posts")
+
+
+@register("stream_centres", None)
+def q_stream_centres(spark, sf):
+    """Decayed centre updates per micro-batch, starting from the per-label means."""
+    root = scratch_path(spark, "stream-centres")
+    fx.centroids(spark, sf).select("cluster", "center", F.lit(0.0).alias("weight")) \
+        .write.parquet(f"{root}/centres/version=-1")
+    v = fx.vectors(spark, sf).select("id", "embedding", "ord")
+    st.write_stream_input(v, f"{root}/in", STREAM_FILES)
+    s = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    q = (s.writeStream.foreachBatch(st.update_centres_batch(f"{root}/centres", decay=0.9))
+         .option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    c = spark.read.parquet(f"{root}/centres")
+    last = c.select(F.max("version")).scalar()
+    return _explode_centres(c.where(F.col("version") == last).select("cluster", "center"))
