@@ -28,10 +28,15 @@ def norm(v: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    """Unit-length copy; a zero vector stays zero (as scikit-learn's normalize)."""
+    """Unit-length copy; a zero vector stays zero (as scikit-learn's normalize).
+
+    The squared norm is the accumulator of one ``aggregate`` and the division
+    happens in its finish lambda, so the norm is computed once per row (a
+    norm written inside ``transform`` would be re-evaluated per element).
+    """
     d = as_double_array(v)
-    n = norm(d)
-    return F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)
+    return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x,
+                       lambda ss: F.when(ss > 0, F.transform(d, lambda x: x / F.sqrt(ss))).otherwise(d))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

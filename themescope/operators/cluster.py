@@ -3,6 +3,7 @@ elbow sweep, silhouettes (exact Euclidean and scalable squared)."""
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -44,6 +45,17 @@ def collect_small(df: DataFrame, max_rows: int, what: str = "table") -> list:
     return rows
 
 
+def constant_rows(rows: list[dict], ddl: str) -> Column:
+    """k small rows as one constant ``ARRAY<STRUCT<…>>`` expression.
+
+    Built as ``from_json`` of a literal string, which the optimizer folds
+    once into a literal — a single expression instead of one column object
+    per number.  Callers bound ``rows`` (see ``collect_small``).
+    """
+    payload = json.dumps([{k: (float(v) if isinstance(v, float) else v) for k, v in r.items()} for r in rows])
+    return F.from_json(F.lit(payload), f"array<struct<{ddl}>>")
+
+
 def centres_literal(centroids: DataFrame | list, max_k: int = MAX_CENTRES) -> Column:
     """Centres as one constant ``ARRAY<STRUCT<cluster INT, center ARRAY<DOUBLE>>>``.
 
@@ -55,10 +67,9 @@ def centres_literal(centroids: DataFrame | list, max_k: int = MAX_CENTRES) -> Co
     cells = sum(len(r["center"]) for r in rows)
     if cells > MAX_CENTRE_CELLS:
         raise ValueError(f"centres hold {cells} values; above {MAX_CENTRE_CELLS}")
-    items = [F.struct(F.lit(int(r["cluster"])).cast("int").alias("cluster"),
-                      F.array(*[F.lit(float(x)) for x in r["center"]]).cast("array<double>").alias("center"))
+    items = [{"cluster": int(r["cluster"]), "center": [float(x) for x in r["center"]]}
              for r in sorted(rows, key=lambda r: r["cluster"])]
-    return F.array(*items)
+    return constant_rows(items, "cluster:int,center:array<double>")
 
 
 def assign_nearest(df: DataFrame, centres: Column, vec_col: str = "embedding",
@@ -252,10 +263,11 @@ def silhouette_squared(df: DataFrame, cluster_col: str = "cluster", vec_col: str
         F.count(F.lit(1)).alias("n"))
     rows = collect_small(stats.select("cluster", vector_to_array("_s").alias("s"), "psi", "n"),
                          max_k, "cluster statistics")
-    lit = F.array(*[F.struct(F.lit(int(r["cluster"])).alias("cluster"),
-                             F.array(*[F.lit(float(x)) for x in r["s"]]).alias("s"),
-                             F.lit(float(r["psi"])).alias("psi"), F.lit(int(r["n"])).alias("n"))
-                    for r in rows])
+    if sum(len(r["s"]) for r in rows) > MAX_CENTRE_CELLS:
+        raise ValueError("cluster statistics too large to inline")
+    lit = constant_rows([{"cluster": int(r["cluster"]), "s": [float(x) for x in r["s"]],
+                          "psi": float(r["psi"]), "n": int(r["n"])} for r in rows],
+                        "cluster:int,s:array<double>,psi:double,n:bigint")
     from themescope.functions.vector import dot
     dists = F.transform(lit, lambda c: F.struct(
         c["cluster"].alias("cluster"), c["n"].alias("n"),

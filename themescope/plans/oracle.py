@@ -60,7 +60,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                     THEN '<p>' || replace(substr(text, 61), chr(10), '<br>') END AS story_text,
                CASE WHEN doc_id % 2 = 1
                     THEN '<p>' || replace(text, chr(10), '<br>') || ' &amp;amp; &lt;i&gt;' END AS comment_text,
-               CASE WHEN doc_id % 13 <> 0 THEN CAST(epoch_ms(ts) // 1000 AS BIGINT) END AS created_at_i,
+               CASE WHEN doc_id % 13 <> 0 THEN CAST(epoch_us(ts) // 1000000 AS BIGINT) END AS created_at_i,
                CASE WHEN doc_id % 7 <> 0 THEN CAST(floor(value) AS BIGINT) END AS points,
                CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN NULL
                     ELSE 'https://example.org/' || CAST(doc_id AS VARCHAR) END AS url,
