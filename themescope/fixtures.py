@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from themescope.sources.hits import hits_to_posts
 from themescope.operators.cluster import centroids_from_labels
+from themescope.session import balance
 
 # --- fixed values of the fixture definition --------------------------------
 EVENT_STRIDE = 7919               # E(doc) = event (doc_id * 7919) % #events
@@ -23,8 +24,14 @@ GAP_PAGE = 3
 # ---------------------------------------------------------------------------
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               balanced: bool = False) -> DataFrame:
+    """A test table pruned to ``columns``; ``balanced`` spreads a narrow scan
+    over the cores before CPU-heavy text work (see ``session.balance``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return balance(df) if balanced else df
 
 
 def documents_with_event(spark: SparkSession, sf_dir: str,
@@ -34,7 +41,7 @@ def documents_with_event(spark: SparkSession, sf_dir: str,
     The event count is a scalar subquery, not a join; the lookup itself is an
     equi-join on the computed key, so both sides shuffle by key at scale.
     """
-    docs = read_table(spark, sf_dir, "documents").select(*doc_cols)
+    docs = read_table(spark, sf_dir, "documents", list(doc_cols), balanced=True)
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "value")
     n_events = ev.select(F.count(F.lit(1))).scalar()
     keyed = docs.withColumn("event_id", (F.col("doc_id") * EVENT_STRIDE) % n_events)

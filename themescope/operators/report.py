@@ -66,11 +66,16 @@ def cluster_sizes_dense(clustered: DataFrame, k: int) -> DataFrame:
             .select("cluster", F.coalesce("n_posts", F.lit(0)).alias("n_posts")))
 
 
+def _k_total(col: str) -> F.Column:
+    """Sum of ``col`` over a k-row per-cluster result (one small window; the
+    input is already aggregated, so this never gathers posts)."""
+    return F.sum(col).over(Window.partitionBy())
+
+
 def cluster_share(clustered: DataFrame) -> DataFrame:
     """(cluster, n_posts, pct) with pct = round(n / total * 100, 1), ties to even."""
-    total = clustered.select(F.count(F.lit(1))).scalar()
-    return cluster_sizes(clustered).select(
-        "cluster", "n_posts", percent_1dp(F.col("n_posts"), total).alias("pct"))
+    sizes = cluster_sizes(clustered)
+    return sizes.select("cluster", "n_posts", percent_1dp(F.col("n_posts"), _k_total("n_posts")).alias("pct"))
 
 
 def corpus_stats(clustered: DataFrame) -> DataFrame:
@@ -158,19 +163,28 @@ def quote_cards(clustered: DataFrame, labels: DataFrame, n: int = QUOTES_PER_CLU
         preview(html_escape_display("text"), width).alias("quote")))
 
 
-def cluster_summary(clustered: DataFrame, labels: DataFrame) -> DataFrame:
+def default_labels(per_cluster: DataFrame) -> DataFrame:
+    """'Theme <id>' for every cluster of a per-cluster table."""
+    return per_cluster.withColumn("label", F.concat(F.lit("Theme "), F.col("cluster").cast("string")))
+
+
+def cluster_summary(clustered: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Per cluster: label, size, share, first non-null sample (150 chars) and
-    the summary line the report prompt is built from."""
-    total = clustered.select(F.count(F.lit(1))).scalar()
+    the summary line the report prompt is built from.
+
+    One aggregate over the posts; shares come from a window over its k rows.
+    Without ``labels`` every present cluster is named 'Theme <id>'; with a
+    labels table, its clusters are kept even when empty.
+    """
     per = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_posts"),
         F.min_by(F.col("text"), F.when(F.col("text").isNotNull(), F.col("ord"))).alias("first_text"))
-    j = labels.join(per, "cluster", "left")
-    pct = percent_1dp(F.coalesce("n_posts", F.lit(0)), total)
+    j = default_labels(per) if labels is None else labels.join(per, "cluster", "left")
+    n = F.coalesce("n_posts", F.lit(0))
+    j = j.withColumn("n_posts", n).withColumn("pct", percent_1dp(F.col("n_posts"), _k_total("n_posts")))
     sample = F.substring("first_text", 1, SUMMARY_SAMPLE_CHARS)
-    return j.select("cluster", "label", F.coalesce("n_posts", F.lit(0)).alias("n_posts"),
-                    pct.alias("pct"), sample.alias("sample"),
-                    _fmt(SUMMARY_LINE, label=F.col("label"), pct=pct, sample=sample).alias("line"))
+    return j.select("cluster", "label", "n_posts", "pct", sample.alias("sample"),
+                    _fmt(SUMMARY_LINE, label=F.col("label"), pct=F.col("pct"), sample=sample).alias("line"))
 
 
 def report_prompt(summary: DataFrame, topic: str) -> DataFrame:

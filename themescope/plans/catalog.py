@@ -62,7 +62,7 @@ def q_hits_to_posts(spark, sf):
 
 @register("clean_pages", f"SELECT page_id, {clean('html')} AS text FROM pages")
 def q_clean_pages(spark, sf):
-    return fx.read_table(spark, sf, "pages").select("page_id", tx.clean_text("html").alias("text"))
+    return fx.read_table(spark, sf, "pages", ["page_id", "html"], balanced=True).select("page_id", tx.clean_text("html").alias("text"))
 
 
 @register("min_length", sql("""
@@ -144,10 +144,10 @@ def q_date_range(spark, sf):
            2000000000000 + conv_id * 1000 + turn FROM conversations"""))
 def q_multi_source_union(spark, sf):
     from themescope.sources.files import union_sources
-    docs = fx.read_table(spark, sf, "documents").select(
+    docs = fx.read_table(spark, sf, "documents", ["doc_id", "text", "source"], balanced=True).select(
         F.col("doc_id").cast("string").alias("id"), "text", "source",
         F.lit("documents").alias("platform"), F.col("doc_id").cast("long").alias("ord"))
-    conv = fx.read_table(spark, sf, "conversations").select(
+    conv = fx.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"], balanced=True).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         "text", F.col("role").alias("source"), F.lit("conversations").alias("platform"),
         (F.lit(2_000_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
@@ -538,7 +538,8 @@ def q_elbow_curve(spark, sf):
 
 @register("encode_documents", None)
 def q_encode_documents(spark, sf):
-    d = fx.read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    d = fx.read_table(spark, sf, "documents", ["doc_id", "text"], balanced=True).select(
+        F.col("doc_id").cast("string").alias("id"), "text")
     e = en.hashing_encoder(d, dim=384)
     return e.select("id", F.size("embedding").alias("dim"), _r(vx.norm("embedding"), 4).alias("norm"))
 
@@ -551,7 +552,7 @@ def q_encode_documents(spark, sf):
           FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents) GROUP BY ALL)
     GROUP BY doc_id""")
 def q_hashed_term_counts(spark, sf):
-    return en.hashed_term_counts(fx.read_table(spark, sf, "documents"), 384)
+    return en.hashed_term_counts(fx.read_table(spark, sf, "documents", ["doc_id", "text"], balanced=True), 384)
 
 
 # ------------------------------------------------------------------ drift ---
@@ -641,8 +642,7 @@ def themed_posts(spark, sf) -> DataFrame:
 @register("theme_summary", sql("SELECT * FROM summary", "posts", "vectors", "centroids",
                                extra=_THEMED + [_summary_sql("themed")]))
 def q_theme_summary(spark, sf):
-    t = themed_posts(spark, sf)
-    return rp.cluster_summary(t, fx.cluster_labels(t))
+    return rp.cluster_summary(themed_posts(spark, sf))
 
 
 @register("cluster_layout_join", sql("""

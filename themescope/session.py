@@ -68,3 +68,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def balance(df, min_partitions: int | None = None):
+    """Spread a scan that yields fewer partitions than the cluster has cores
+    (e.g. one large single-row-group file) round-robin over all of them, so
+    CPU-heavy per-row work (regex cleaning, tokenising) is not one task.
+    A scan that is already wide enough — any table at scale — is untouched.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
