@@ -92,3 +92,13 @@ def test_strip_all_unicode(spark):
 def test_numbered_lines(spark):
     r = spark.range(1).select(tx.numbered_lines(F.array(F.lit("abc"), F.lit("defgh")), 3).alias("s")).first()
     assert r.s == "1. abc\n2. def"
+
+
+def test_blank_topic_rejected(spark):
+    import pytest as _pytest
+    from themescope.operators import report as rp
+    for bad in ("", "   ", "　\n", None):
+        with _pytest.raises(ValueError):
+            rp.require_topic(bad)
+    t = spark.createDataFrame([("AI",), ("  ",), (None,), (" ",)], "topic STRING")
+    assert [r.topic for r in rp.valid_topics(t).collect()] == ["AI"]

@@ -187,8 +187,22 @@ def cluster_summary(clustered: DataFrame, labels: DataFrame | None = None) -> Da
                     _fmt(SUMMARY_LINE, label=F.col("label"), pct=F.col("pct"), sample=sample).alias("line"))
 
 
+def require_topic(topic: str | None) -> str:
+    """A blank topic is rejected before any job runs."""
+    if topic is None or not str(topic).strip():
+        raise ValueError("topic is blank")
+    return topic
+
+
+def valid_topics(topics: DataFrame, col: str = "topic") -> DataFrame:
+    """Rows of a topics table whose topic is not blank (Unicode whitespace aware)."""
+    from themescope.functions.text import strip_all
+    return topics.where(F.col(col).isNotNull() & (strip_all(col) != ""))
+
+
 def report_prompt(summary: DataFrame, topic: str) -> DataFrame:
     """One row: total, the concatenated summary (cluster order) and the prompt."""
+    require_topic(topic)
     agg = summary.agg(
         F.sum("n_posts").alias("total"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "line"))),
@@ -215,6 +229,7 @@ def template_report(summary: DataFrame) -> DataFrame:
 
 def report_lines(labels: DataFrame, report: DataFrame, topic: str) -> DataFrame:
     """Lines of the saved report file as (line_no, line) rows."""
+    require_topic(topic)
     spark = labels.sparkSession
     head = spark.createDataFrame(
         [(0, REPORT_TITLE.format(topic="")), (1, TITLE_RULE), (2, ""), (3, "CLUSTER LABELS"),

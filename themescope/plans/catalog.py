@@ -106,9 +106,19 @@ def q_page_scan_stop(spark, sf):
     return ing.dedup_first(ing.type_quota(hs.hits_to_posts(h), QUOTA_APP_MAX))
 
 
-@register("topic_search_page", None)
+SEARCH_TOPIC, SEARCH_TAG, SEARCH_PAGE = "The and", "comment", 1
+
+
+@register("topic_search_page", sql(f"""
+    SELECT id, content_type, rank, matches, ord FROM (
+      SELECT id, content_type, ord, matches,
+             row_number() OVER (PARTITION BY content_type ORDER BY matches DESC, ord) AS rank
+      FROM (SELECT id, content_type, ord, len(list_filter(toks, lambda t: list_contains(['the', 'and'], t))) AS matches
+            FROM (SELECT *, {sql_terms('text')} AS toks FROM posts WHERE content_type = '{SEARCH_TAG}')
+            WHERE list_contains(toks, 'the') AND list_contains(toks, 'and')))
+    WHERE rank > {SEARCH_PAGE * 50} AND rank <= {(SEARCH_PAGE + 1) * 50}""", "posts"))
 def q_topic_search_page(spark, sf):
-    return hs.topic_search_page(fx.posts(spark, sf), "the and", "comment", 1).select(
+    return hs.topic_search_page(fx.posts(spark, sf), SEARCH_TOPIC, SEARCH_TAG, SEARCH_PAGE).select(
         "id", "content_type", "rank", "matches", "ord")
 
 
@@ -726,3 +736,17 @@ def q_stream_centres(spark, sf):
     c = spark.read.parquet(f"{root}/centres")
     last = c.select(F.max("version")).scalar()
     return _explode_centres(c.where(F.col("version") == last).select("cluster", "center"))
+
+
+CENTRAL_N = 5
+
+
+@register("central_samples", sql(f"""
+    SELECT id, cluster, rank, round(d2, 6) AS sq_dist FROM (
+      SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d2, id) AS rank FROM a0)
+    WHERE rank <= {CENTRAL_N}""", "vectors", "centroids", extra=[_NV, _assign_sql("nv", "centroids", "a0")]))
+def q_central_samples(spark, sf):
+    """The n posts nearest to each centre (the README's "from the center of each cluster")."""
+    a = _assigned(spark, sf)
+    c = ing.first_n_per_group(a, "cluster", CENTRAL_N, [F.col("sq_dist"), F.col("id")], rank_col="rank")
+    return c.select("id", "cluster", "rank", _r(F.col("sq_dist")).alias("sq_dist"))
