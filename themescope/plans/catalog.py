@@ -112,8 +112,9 @@ SEARCH_TOPIC, SEARCH_TAG, SEARCH_PAGE = "The and", "comment", 1
 @register("topic_search_page", sql(f"""
     SELECT id, content_type, rank, matches, ord FROM (
       SELECT id, content_type, ord, matches,
-             row_number() OVER (PARTITION BY content_type ORDER BY matches DESC, ord) AS rank
-      FROM (SELECT id, content_type, ord, len(list_filter(toks, lambda t: list_contains(['the', 'and'], t))) AS matches
+             CAST(row_number() OVER (PARTITION BY content_type ORDER BY matches DESC, ord) AS INTEGER) AS rank
+      FROM (SELECT id, content_type, ord,
+                   CAST(len(list_filter(toks, lambda t: list_contains(['the', 'and'], t))) AS INTEGER) AS matches
             FROM (SELECT *, {sql_terms('text')} AS toks FROM posts WHERE content_type = '{SEARCH_TAG}')
             WHERE list_contains(toks, 'the') AND list_contains(toks, 'and')))
     WHERE rank > {SEARCH_PAGE * 50} AND rank <= {(SEARCH_PAGE + 1) * 50}""", "posts"))
@@ -262,7 +263,7 @@ def q_hover_preview(spark, sf):
     SELECT f.cluster, f.rank, 'CLUSTER ' || CAST(f.cluster AS VARCHAR) || ' // ' || l.label AS heading,
            substring(replace(replace(replace(f.text, '"', '&quot;'), '<', '&lt;'), '>', '&gt;'), 1, 350)
              || '...' AS quote
-    FROM (SELECT cluster, text, row_number() OVER (PARTITION BY cluster ORDER BY ord) AS rank
+    FROM (SELECT cluster, text, CAST(row_number() OVER (PARTITION BY cluster ORDER BY ord) AS INTEGER) AS rank
           FROM clustered WHERE text IS NOT NULL QUALIFY rank <= 5) f
     LEFT JOIN labels l USING (cluster)""", "labels"))
 def q_quote_cards(spark, sf):
@@ -289,7 +290,7 @@ def q_cluster_summary(spark, sf):
 
 
 @register("report_prompt", sql(
-    "SELECT sum(n_posts) AS total, string_agg(line, '' ORDER BY cluster) AS summary, "
+    "SELECT CAST(sum(n_posts) AS BIGINT) AS total, string_agg(line, '' ORDER BY cluster) AS summary, "
     "'You are an analyst summarizing public opinion from Hacker News discussions.' || chr(10) || chr(10) "
     f"|| 'Topic: \"{TOPIC}\"' || chr(10) || 'Total posts analyzed: ' || CAST(sum(n_posts) AS VARCHAR) "
     "|| chr(10) || chr(10) || 'Opinion clusters discovered:' || chr(10) || string_agg(line, '' ORDER BY cluster) "
@@ -306,6 +307,7 @@ def q_report_prompt(spark, sf):
 
 
 @register("report_lines", sql(f"""
+    SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
     SELECT * FROM (VALUES (0, 'OPINION DRIFT REPORT: ' || upper('{TOPIC}')), (1, repeat('=', 60)), (2, ''),
                           (3, 'CLUSTER LABELS'), (4, repeat('-', 30)),
                           (996, ''), (997, ''), (998, 'STATE OF DISCOURSE'), (999, repeat('-', 30))) v(line_no, line)
@@ -317,7 +319,7 @@ def q_report_prompt(spark, sf):
         || '% of posts), e.g. "' || low.sample || '".', chr(10)) AS parts
       FROM (SELECT arg_max(s, (n_posts, -cluster)) AS top, arg_min(s, (n_posts, cluster)) AS low,
                    sum(n_posts) AS total, count(*) AS k
-            FROM (SELECT *, {{'label': label, 'pct': pct, 'sample': sample}} AS s FROM summary)))""",
+            FROM (SELECT *, {{'label': label, 'pct': pct, 'sample': sample}} AS s FROM summary))))""",
     "labels", extra=[_SUMMARY]))
 def q_report_lines(spark, sf):
     c = fx.clustered(spark, sf)
@@ -384,7 +386,7 @@ def _pairs_vectors(spark, sf):
 
 
 @register("vectors_scan", f"""
-    SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, round({norm('embedding')}, 6) AS norm, label
+    SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS dim, round({norm('embedding')}, 6) AS norm, label
     FROM embeddings""")
 def q_vectors_scan(spark, sf):
     v = fx.vectors(spark, sf)
@@ -392,8 +394,9 @@ def q_vectors_scan(spark, sf):
 
 
 @register("vector_shape", """
-    SELECT count(*) AS n_rows, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max,
-           sum(len(embedding)) * 4 AS n_bytes FROM embeddings""")
+    SELECT count(*) AS n_rows, CAST(min(len(embedding)) AS INTEGER) AS dim_min,
+           CAST(max(len(embedding)) AS INTEGER) AS dim_max,
+           CAST(sum(len(embedding)) * 4 AS BIGINT) AS n_bytes FROM embeddings""")
 def q_vector_shape(spark, sf):
     return rp.vector_shape(fx.vectors(spark, sf))
 
@@ -451,7 +454,8 @@ def _explode_centres(c: DataFrame) -> DataFrame:
 
 
 _EXPLODE_SQL = """SELECT cluster, pos, round(value, 6) AS value FROM (
-    SELECT cluster, unnest(center) AS value, generate_subscripts(center, 1) - 1 AS pos FROM {src})"""
+    SELECT cluster, unnest(center) AS value, CAST(generate_subscripts(center, 1) - 1 AS INTEGER) AS pos
+    FROM {src})"""
 
 
 @register("centroid_update", sql(_EXPLODE_SQL.format(src="c1"), "vectors", "centroids", extra=[
@@ -515,7 +519,7 @@ def q_silhouette_squared(spark, sf):
 @register("knn_graph", sql(f"""
     SELECT id, nbr, rank, round(d, 6) AS dist FROM (
       SELECT a.id, b.id AS nbr, sqrt({sqdist('a.embedding', 'b.embedding')}) AS d,
-             row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
+             CAST(row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS INTEGER) AS rank
       FROM vectors a JOIN vectors b ON a.id <> b.id QUALIFY rank <= {KNN_K})""", "vectors"))
 def q_knn_graph(spark, sf):
     g = nn.knn_graph(fx.vectors(spark, sf), KNN_K, block_rows=256)
@@ -555,7 +559,7 @@ def q_encode_documents(spark, sf):
 
 
 @register("hashed_term_counts", f"""
-    SELECT doc_id, sum(n) AS n_terms, count(*) AS n_buckets, arg_max(bucket, (n, -bucket)) AS top_bucket,
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_terms, count(*) AS n_buckets, arg_max(bucket, (n, -bucket)) AS top_bucket,
            max(n) AS top_count
     FROM (SELECT doc_id, CAST(CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 384 AS INTEGER) AS bucket,
                  count(*) AS n
@@ -743,7 +747,7 @@ CENTRAL_N = 5
 
 @register("central_samples", sql(f"""
     SELECT id, cluster, rank, round(d2, 6) AS sq_dist FROM (
-      SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d2, id) AS rank FROM a0)
+      SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY d2, id) AS INTEGER) AS rank FROM a0)
     WHERE rank <= {CENTRAL_N}""", "vectors", "centroids", extra=[_NV, _assign_sql("nv", "centroids", "a0")]))
 def q_central_samples(spark, sf):
     """The n posts nearest to each centre (the README's "from the center of each cluster")."""
