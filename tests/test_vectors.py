@@ -145,3 +145,25 @@ def test_project_2d_centred(spark):
     m = p.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.variance("x").alias("vx"),
               F.variance("y").alias("vy")).first()
     assert abs(m.mx) < 1e-9 and abs(m.my) < 1e-9 and m.vx >= m.vy > 0
+
+
+def test_layout_epochs_keep_blobs_apart(spark):
+    from themescope.operators import layout as lo
+    df, rows = blobs(spark, n_per=12, k=3, d=6, seed=5)
+    g = nn.knn_graph(df, k=5, block_rows=16)
+    edges = nn.fuzzy_edges(g, k=5)
+    out = {r.id: (r.x, r.y) for r in lo.layout_epochs(edges, nn.project_2d(df), epochs=15).collect()}
+    assert len(out) == len(rows) and all(np.isfinite(v).all() for v in out.values())
+    P = np.array([out[r[0]] for r in rows])
+    lab = np.array([r[2] for r in rows])
+    D = np.sqrt(((P[:, None] - P[None]) ** 2).sum(-1))
+    same = D[lab[:, None] == lab[None]].mean()
+    diff = D[lab[:, None] != lab[None]].mean()
+    assert same < diff
+
+
+def test_fit_ab_matches_curve():
+    from themescope.operators import layout as lo
+    a, b = lo.fit_ab(0.1, 1.0)
+    x = np.linspace(0.2, 2.5, 20)
+    assert np.abs(1 / (1 + a * x ** (2 * b)) - np.exp(-(x - 0.1))).max() < 0.1
