@@ -131,7 +131,7 @@ def _fit_all(feats: DataFrame, specs: list[tuple[int, int]], max_iter: int, tol:
 
 def kmeans_fit(df: DataFrame, k: int, n_init: int = 10, seed: int = 42,
                max_iter: int = 300, tol: float = 1e-4, vec_col: str = "embedding",
-               id_col: str = "id", parallelism: int = 8, shared_passes: bool | None = None):
+               id_col: str = "id", parallelism: int = 10, shared_passes: bool | None = None):
     """Best of ``n_init`` K-Means starts (seeds seed..seed+n_init-1) on
     L2-normalised vectors, by training cost (ties → lower seed).
 
@@ -150,8 +150,9 @@ def kmeans_fit(df: DataFrame, k: int, n_init: int = 10, seed: int = 42,
     feats = normalized_features(df.select(id_col, vec_col), vec_col).select(id_col, "features").persist()
     try:
         specs = [(k, seed + i) for i in range(n_init)]
+        # one pass fills the cache (and sizes the table) before concurrent fits start
+        n, dim = feats.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
         if shared_passes is None:
-            n, dim = feats.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
             shared_passes = (n or 0) * (dim or 0) * 8 > SHARED_PASS_BYTES
         if not shared_passes:
             fits = _fit_all(feats, specs, max_iter, tol, parallelism)
@@ -286,8 +287,8 @@ def elbow_curve(df: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42
     feats = normalized_features(df.select(vec_col), vec_col).select("features").persist()
     try:
         specs = [(k, seed + i) for k in range(2, max_k + 1) for i in range(n_init)]
+        n, dim = feats.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
         if shared_passes is None:
-            n, dim = feats.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
             shared_passes = (n or 0) * (dim or 0) * 8 > SHARED_PASS_BYTES
         if shared_passes:
             inits = _fit_all(feats, specs, 1, tol, parallelism)
