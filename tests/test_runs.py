@@ -45,3 +45,26 @@ def test_theme_map_end_to_end(spark):
     assert lines[0].startswith("OPINION DRIFT REPORT: AI / HYPE")
     assert math.isfinite(tm.training_cost)
     assert tm.prompt.first().total == n
+
+
+def test_phase_by_phase_over_files(spark, tmp_dir):
+    from themescope.operators.ingest import dedup_first
+    from themescope.sources import files as fs
+    posts = dedup_first(fx.posts(spark, SF_SMALL)).select("id", "text", "source", "platform",
+                                                          "created_at", "score", "url")
+    fs.write_csv(posts.coalesce(1), os.path.join(tmp_dir, "ai_hype.csv"))
+    shape = runs.embed_phase(spark, os.path.join(tmp_dir, "ai_hype.csv"), os.path.join(tmp_dir, "vec"),
+                             topic="ai hype").first()
+    assert shape.n_rows == posts.count() and shape.dim_min == shape.dim_max == 384
+    curve, profile = runs.cluster_phase(spark, os.path.join(tmp_dir, "ai_hype.csv"),
+                                        os.path.join(tmp_dir, "vec"), 3,
+                                        os.path.join(tmp_dir, "out", "ai_hype_clustered.csv"),
+                                        max_k=3, n_init=2)
+    assert [k for k, _ in curve] == [2, 3]
+    assert profile.count() == 3 and sum(r.n_posts for r in profile.collect()) == posts.count()
+    assert fs.read_clustered(spark, os.path.join(tmp_dir, "out")).where("dataset = 'ai_hype'").count() \
+        == posts.count()
+    lines = runs.report_phase(spark, os.path.join(tmp_dir, "out"), "ai hype", os.path.join(tmp_dir, "rep"))
+    text = [r.line for r in lines.orderBy("line_no").collect()]
+    assert text[0] == "OPINION DRIFT REPORT: AI HYPE"
+    assert sum(t.startswith("  Cluster ") for t in text) == 3 and text[-1].startswith("Across ")

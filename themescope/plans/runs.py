@@ -21,6 +21,7 @@ from themescope.operators import encode as en
 from themescope.operators import ingest as ing
 from themescope.operators import neighbours as nn
 from themescope.operators import report as rp
+from themescope.functions.text import dataset_key
 from themescope.session import scratch_path
 from themescope.sources import hits as hs
 
@@ -120,3 +121,55 @@ def theme_map(posts: DataFrame, topic: str, k: int = DEFAULT_K,
         shares=rp.cluster_share(clustered).join(labels, "cluster", "left"),
         scatter=scatter, quotes=rp.quote_cards(clustered, labels), prompt=prompt, report=report,
         report_lines=rp.report_lines(labels, report, topic))
+
+
+# --- phase-by-phase flow: files are the interface ------------
+
+def embed_phase(spark: SparkSession, posts_path: str, vectors_path: str,
+                encoder: Callable[[], Callable] | None = None, topic: str | None = None) -> DataFrame:
+    """posts CSV → vectors table (id, embedding), partitioned by dataset when a
+    topic is given.  Returns the vector shape report."""
+    from themescope.sources import files as fs
+    posts = fs.read_posts_csv(spark, posts_path)
+    vecs = en.encode(posts, encoder) if encoder else en.hashing_encoder(posts)
+    if topic is None:
+        vecs.write.mode("overwrite").parquet(vectors_path)
+        stored = fs.read_vectors(spark, vectors_path)
+    else:
+        fs.write_table(vecs, vectors_path, topic=topic, mode="overwrite")
+        stored = spark.read.parquet(vectors_path).where(F.col("dataset") == dataset_key(F.lit(topic)))
+    return rp.vector_shape(stored)
+
+
+def cluster_phase(spark: SparkSession, posts_path: str, vectors_path: str, k: int,
+                  clustered_path: str, max_k: int = 10, n_init: int = N_INIT, seed: int = SEED):
+    """posts CSV + vectors → elbow curve, cluster profile, clustered CSV.
+    Returns (elbow rows, profile DataFrame).  Arrival order of the re-read
+    CSV is its row order (``monotonically_increasing_id`` over the splits)."""
+    from themescope.sources import files as fs
+    posts = fs.read_posts_csv(spark, posts_path)
+    vecs = spark.read.parquet(vectors_path).select("id", "embedding")
+    curve = cl.elbow_curve(vecs, max_k=max_k, n_init=n_init, seed=seed)
+    model, _ = cl.kmeans_fit(vecs, k, n_init=n_init, seed=seed)
+    clustered = posts.join(cl.kmeans_labels(vecs, model).select("id", "cluster"), "id")
+    fs.write_csv(clustered.drop("ord"), clustered_path)
+    stored = fs.read_posts_csv(spark, clustered_path, with_cluster=True).withColumn(
+        "ord", F.monotonically_increasing_id())
+    return curve, rp.cluster_profile(stored, k)
+
+
+def report_phase(spark: SparkSession, clustered_folder: str, topic: str, report_path: str,
+                 labeler: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+    """Every ``*_clustered.csv`` of a folder → labels → report file lines."""
+    from themescope.sources import files as fs
+    rp.require_topic(topic)
+    clustered = fs.read_clustered(spark, clustered_folder).withColumn("ord", F.monotonically_increasing_id())
+    if labeler is not None:
+        labels = en.apply_labeler(rp.label_prompts(rp.cluster_samples(clustered)), labeler) \
+            .select("cluster", "label")
+    else:
+        labels = rp.keyword_labels(clustered).select("cluster", F.col("keywords").alias("label"))
+    summary = rp.cluster_summary(clustered, labels)
+    lines = rp.report_lines(labels, rp.template_report(summary), topic)
+    fs.write_report(lines, report_path)
+    return lines

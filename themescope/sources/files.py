@@ -27,11 +27,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_clustered(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*_clustered.csv`` files of a folder, with the dataset each row came from."""
-    df = (spark.read.schema(schemas.CLUSTERED).options(**CSV_OPTIONS)
-          .option("pathGlobFilter", f"*{CLUSTERED_SUFFIX}").csv(folder))
-    name = F.col("_metadata.file_name")
-    return df.withColumn("dataset", F.regexp_replace(name, r"_clustered\.csv$", ""))
+    """Every ``*_clustered.csv`` of a folder — a single CSV file (as pandas
+    writes it) or a folder of part files (as Spark writes it) — with the
+    dataset each row came from, taken from the path."""
+    df = spark.read.schema(schemas.CLUSTERED).options(**CSV_OPTIONS).csv(
+        f"{folder.rstrip('/')}/*{CLUSTERED_SUFFIX}")
+    path = F.col("_metadata.file_path")
+    return df.withColumn("dataset", F.regexp_extract(path, r"([^/]+)_clustered\.csv(/[^/]+)?$", 1))
 
 
 def list_datasets(spark: SparkSession, folder: str, suffix: str = ".csv",
