@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themescope.functions.vector import as_double_array, l2_normalize, squared_distance
+from themescope.functions.vector import as_double_array, dot, l2_normalize, squared_distance
 from themescope.operators import blocks
 
 # Upper bound on k·d inlined into a plan as a literal (8 bytes each): 8 MB.
@@ -405,7 +405,6 @@ def silhouette_squared(df: DataFrame, cluster_col: str = "cluster", vec_col: str
     lit = constant_rows([{"cluster": int(r["cluster"]), "s": [float(x) for x in r["s"]],
                           "psi": float(r["psi"]), "n": int(r["n"])} for r in rows],
                         "cluster:int,s:array<double>,psi:double,n:bigint")
-    from themescope.functions.vector import dot
     dists = F.transform(lit, lambda c: F.struct(
         c["cluster"].alias("cluster"), c["n"].alias("n"),
         (F.col("sq") + c["psi"] / c["n"] - 2 * dot(F.col("v"), c["s"]) / c["n"]).alias("d")))

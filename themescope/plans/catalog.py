@@ -13,13 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themescope import fixtures as fx
+from themescope import streaming as st
 from themescope.functions import text as tx
+from themescope.functions import vector as vx
 from themescope.operators import cluster as cl
+from themescope.operators import drift as dr
+from themescope.operators import encode as en
 from themescope.operators import ingest as ing
+from themescope.operators import layout as lo
+from themescope.operators import neighbours as nn
 from themescope.operators import report as rp
-from themescope.plans.oracle import clean, sql
+from themescope.plans.oracle import clean, dotp, l2n, norm, sql, sqdist
 from themescope.plans.oracle import terms as sql_terms
-from themescope.session import configure
+from themescope.session import configure, scratch_path
+from themescope.sources import files as fs
 from themescope.sources import hits as hs
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -154,7 +161,6 @@ def q_date_range(spark, sf):
     SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), {clean('text')}, role, 'conversations',
            2000000000000 + conv_id * 1000 + turn FROM conversations"""))
 def q_multi_source_union(spark, sf):
-    from themescope.sources.files import union_sources
     docs = fx.read_table(spark, sf, "documents", ["doc_id", "text", "source"], balanced=True).select(
         F.col("doc_id").cast("string").alias("id"), "text", "source",
         F.lit("documents").alias("platform"), F.col("doc_id").cast("long").alias("ord"))
@@ -162,7 +168,7 @@ def q_multi_source_union(spark, sf):
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         "text", F.col("role").alias("source"), F.lit("conversations").alias("platform"),
         (F.lit(2_000_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
-    return union_sources([docs, conv]).withColumn("text", tx.clean_text("text"))
+    return fs.union_sources([docs, conv]).withColumn("text", tx.clean_text("text"))
 
 
 @register("dataset_gate", sql(f"""
@@ -171,8 +177,7 @@ def q_multi_source_union(spark, sf):
       ON g.source = c.source""", "clustered"))
 def q_dataset_gate(spark, sf):
     c = fx.clustered(spark, sf).withColumnRenamed("source", "dataset")
-    from themescope.operators.ingest import dataset_gate
-    return dataset_gate(c, GATE_MIN_POSTS).select("id", "dataset")
+    return ing.dataset_gate(c, GATE_MIN_POSTS).select("id", "dataset")
 
 
 # ------------------------------------------------------- cluster reports ---
@@ -341,11 +346,6 @@ def q_keyword_labels(spark, sf):
 
 
 # --------------------------------------------------------------- vectors ---
-from themescope.functions import vector as vx  # noqa: E402
-from themescope.operators import drift as dr  # noqa: E402
-from themescope.operators import encode as en  # noqa: E402
-from themescope.operators import neighbours as nn  # noqa: E402
-from themescope.plans.oracle import dotp, l2n, norm, sqdist  # noqa: E402
 
 KNN_K = 15
 KMEANS_K = 5
@@ -537,10 +537,9 @@ LAYOUT_EPOCHS = 50     # registered run; layout_epochs defaults to 200
 
 @register("layout_2d", None)
 def q_layout_2d(spark, sf):
-    from themescope.operators.layout import layout_epochs
     v = fx.vectors(spark, sf)
     edges = nn.fuzzy_edges(nn.knn_graph(v, KNN_K, block_rows=256), KNN_K)
-    return layout_epochs(edges, nn.project_2d(v), epochs=LAYOUT_EPOCHS)
+    return lo.layout_epochs(edges, nn.project_2d(v), epochs=LAYOUT_EPOCHS)
 
 
 @register("project_2d", None)
@@ -686,8 +685,6 @@ def q_cluster_layout_join(spark, sf):
 
 
 # -------------------------------------------------------------- streaming ---
-from themescope import streaming as st  # noqa: E402
-from themescope.session import scratch_path  # noqa: E402
 
 STREAM_FILES = 4
 STREAM_DELAY = "31 days"   # longer than the fixture month: no fixture row is late
@@ -726,13 +723,12 @@ def q_stream_assign(spark, sf):
     SELECT time_bucket(INTERVAL '7 days', created_at, TIMESTAMP '1970-01-01') AS period_start,
            cluster, count(*) AS n_posts FROM clustered GROUP BY ALL""", "clustered"))
 def q_stream_drift(spark, sf):
-    from themescope.streaming.jobs import latest_updates, run_updates
     root = scratch_path(spark, "stream-drift")
     c = fx.clustered(spark, sf).select("id", "created_at", "cluster", "ord")
     st.write_stream_input(c, f"{root}/in", STREAM_FILES)
     s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    run_updates(st.drift_counts_stream(s, "7 days", delay=STREAM_DELAY), f"{root}/out", f"{root}/chk")
-    return latest_updates(spark, f"{root}/out", ["period_start", "cluster"]).select(
+    st.run_updates(st.drift_counts_stream(s, "7 days", delay=STREAM_DELAY), f"{root}/out", f"{root}/chk")
+    return st.latest_updates(spark, f"{root}/out", ["period_start", "cluster"]).select(
         "period_start", "cluster", "n_posts")
 
 

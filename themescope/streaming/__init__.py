@@ -1,6 +1,6 @@
 """Structured Streaming versions of ingest, assignment and drift (STR-1..5)."""
 
 from themescope.streaming.jobs import (  # noqa: F401
-    assign_stream, dedup_stream, drift_counts_stream, ingest_stream, run_available_now,
-    update_centres_batch, write_stream_input,
+    assign_stream, dedup_stream, drift_counts_stream, ingest_stream, latest_updates, run_available_now,
+    run_updates, update_centres_batch, write_stream_input,
 )
