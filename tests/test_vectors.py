@@ -186,3 +186,25 @@ def test_elbow_shared_equals_separate_fits(spark):
     assert [k for k, _ in a] == [2, 3, 4]
     assert all(abs(x[1] - y[1]) <= 1e-9 * max(1.0, y[1]) for x, y in zip(a, b))
     assert a[1][1] <= a[0][1] + 1e-9                          # k=3 no worse than k=2 here
+
+
+def test_similar_pairs_and_bands_match_brute_force(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(0, 1, (6, 5))
+    X = np.vstack([base, base[:3] + rng.normal(0, 0.05, (3, 5)), np.zeros((1, 5)), rng.normal(0, 1, (8, 5))])
+    rows = [(f"p{i}", [float(x) for x in v], i) for i, v in enumerate(X)]
+    df = spark.createDataFrame(rows, "id STRING, embedding ARRAY<DOUBLE>, ord BIGINT")
+    norms = np.linalg.norm(X, axis=1)
+    U = np.divide(X, norms[:, None], out=np.zeros_like(X), where=norms[:, None] > 0)
+    S = U @ U.T
+    iu = np.triu_indices(len(X), 1)
+    want = {(f"p{i}", f"p{j}"): S[i, j] for i, j in zip(*iu) if S[i, j] > 0.3}
+    for block_rows in (3, 1000):
+        got = {(r.id_a, r.id_b): r.sim for r in nn.similar_pairs(df, 0.3, block_rows=block_rows).collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        bands = {r.band: r.n_pairs for r in nn.similarity_band_counts(df, block_rows=block_rows).collect()}
+        s = S[iu]
+        assert bands.get("very similar", 0) == int((s > 0.6).sum())
+        assert bands.get("loosely related", 0) == int(((s > 0.3) & (s <= 0.6)).sum())
+        assert sum(bands.values()) == len(s)

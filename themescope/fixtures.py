@@ -117,11 +117,13 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, i+1) for even i, plus (i, i) where i % 50 = 0."""
-    ids = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"))
-    nxt = ids.where(F.col("i") % 2 == 0).select("i", (F.col("i") + 1).alias("j"))
-    same = ids.where(F.col("i") % 50 == 0).select("i", F.col("i").alias("j"))
-    return nxt.unionByName(same).select(F.col("i").cast("string").alias("id_a"),
+    """Every vector with the next one by id: (i, i+1) for i = 0..n-2.
+
+    An equi-join on the computed key, so it stays a keyed shuffle at scale.
+    """
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("j"))
+    return e.join(nxt, "vec_id").select(F.col("vec_id").cast("string").alias("id_a"),
                                         F.col("j").cast("string").alias("id_b"))
 
 

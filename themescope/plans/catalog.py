@@ -416,19 +416,24 @@ def q_pair_similarity(spark, sf):
     return _pairs_vectors(spark, sf).select("id_a", "id_b", _r(F.col("sim")).alias("similarity"))
 
 
-@register("similarity_bands", sql("""
-    SELECT CASE WHEN sim > 0.6 THEN 'very similar' WHEN sim > 0.3 THEN 'loosely related' ELSE 'unrelated' END
-           AS band, count(*) AS n_pairs FROM sims GROUP BY band""", "pairs", "vectors", extra=[_SIMS]))
+_ALL_SIMS = ("all_sims", f"""SELECT a.id AS id_a, b.id AS id_b, {_COS} AS sim
+                              FROM vectors a JOIN vectors b ON a.ord < b.ord""")
+_BAND_SQL = "CASE WHEN sim > 0.6 THEN 'very similar' WHEN sim > 0.3 THEN 'loosely related' ELSE 'unrelated' END"
+
+
+@register("similarity_bands", sql(f"SELECT {_BAND_SQL} AS band, count(*) AS n_pairs FROM all_sims GROUP BY band",
+                                  "vectors", extra=[_ALL_SIMS]))
 def q_similarity_bands(spark, sf):
-    s = _pairs_vectors(spark, sf)
-    return s.groupBy(tx.similarity_band(F.col("sim")).alias("band")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    """Band counts over every distinct pair of the vector table (exact, block × block)."""
+    return nn.similarity_band_counts(fx.vectors(spark, sf), block_rows=256)
 
 
-@register("similar_pairs", sql("SELECT id_a, id_b, round(sim, 6) AS similarity FROM sims WHERE sim > 0.6",
-                               "pairs", "vectors", extra=[_SIMS]))
+@register("similar_pairs", sql(f"""SELECT id_a, id_b, round(sim, 6) AS similarity, {_BAND_SQL} AS band
+                                   FROM all_sims WHERE sim > 0.3""", "vectors", extra=[_ALL_SIMS]))
 def q_similar_pairs(spark, sf):
-    s = _pairs_vectors(spark, sf).where(F.col("sim") > tx.BAND_HIGH)
-    return s.select("id_a", "id_b", _r(F.col("sim")).alias("similarity"))
+    """Every distinct pair at least loosely related (cosine > 0.3), with its band."""
+    s = nn.similar_pairs(fx.vectors(spark, sf), tx.BAND_LOW, block_rows=256)
+    return s.select("id_a", "id_b", _r(F.col("sim")).alias("similarity"), tx.similarity_band(F.col("sim")).alias("band"))
 
 
 def _assigned(spark, sf):

@@ -95,10 +95,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos
             FROM embeddings) GROUP BY label, pos) GROUP BY cluster"""),
     "pairs": ((), """
-        SELECT CAST(vec_id AS VARCHAR) AS id_a, CAST(vec_id + 1 AS VARCHAR) AS id_b
-        FROM embeddings WHERE vec_id % 2 = 0
-        UNION ALL
-        SELECT CAST(vec_id AS VARCHAR), CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 50 = 0"""),
+        SELECT CAST(a.vec_id AS VARCHAR) AS id_a, CAST(b.vec_id AS VARCHAR) AS id_b
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""),
 }
 
 
