@@ -48,6 +48,11 @@ def documents_with_event(spark: SparkSession, sf_dir: str,
     return keyed.join(ev, "event_id").drop("event_id")
 
 
+def as_html(c):
+    """``<p>`` + text with newlines as ``<br>`` (how the service returns bodies)."""
+    return F.concat(F.lit("<p>"), F.replace(c, F.lit("\n"), F.lit("<br>")))
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened search hits, one per document (schema ``schemas.HITS`` + ord)."""
     d = documents_with_event(spark, sf_dir)
@@ -63,11 +68,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         page.alias("page"),
         pos.alias("pos"),
         F.when(doc % 11 == 10, (doc - 1).cast("string")).otherwise(own_id).alias("objectID"),
-        F.when(story & (doc % 9 != 0), F.substring("text", 1, 60)).alias("title"),
-        F.when(story & (doc % 4 == 0),
-               F.concat(F.lit("<p>"), F.replace(rest, F.lit("\n"), F.lit("<br>")))).alias("story_text"),
-        F.when(~story, F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("<br>")),
-                                F.lit(COMMENT_SUFFIX))).alias("comment_text"),
+        # A story's title and story_text together always carry the whole document:
+        # no title → all of it in story_text; no story_text → all of it in the title.
+        F.when(story & (doc % 9 != 0),
+               F.when(doc % 4 == 0, F.substring("text", 1, 60)).otherwise(F.col("text"))).alias("title"),
+        F.when(story & (doc % 9 == 0), as_html(F.col("text")))
+         .when(story & (doc % 4 == 0), as_html(rest)).alias("story_text"),
+        F.when(~story, F.concat(as_html(F.col("text")), F.lit(COMMENT_SUFFIX))).alias("comment_text"),
         F.when(doc % 13 != 0, F.unix_timestamp("ts")).alias("created_at_i"),
         F.when(doc % 7 != 0, F.floor("value").cast("long")).alias("points"),
         F.when(doc % 5 == 0, F.lit("")).when(doc % 5 == 1, F.lit(None).cast("string"))

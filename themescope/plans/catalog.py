@@ -131,12 +131,11 @@ def q_topic_search_page(spark, sf):
 
 
 @register("dataset_key", """
-    SELECT doc_id, substring(text, 1, 40) AS topic,
-           replace(replace(substring(substring(text, 1, 40), 1, 30), ' ', '_'), '/', '-') AS dataset
-    FROM documents""")
+    SELECT doc_id, replace(replace(substring(text, 1, 30), ' ', '_'), '/', '-') AS dataset FROM documents""")
 def q_dataset_key(spark, sf):
-    d = fx.read_table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("topic"))
-    return d.select("doc_id", "topic", tx.dataset_key("topic").alias("dataset"))
+    """Every document's whole text taken as a topic → its dataset key."""
+    d = fx.read_table(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", tx.dataset_key("text").alias("dataset"))
 
 
 @register("preview", sql("""

@@ -55,8 +55,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST((doc_id // 2) // 50 AS INTEGER) AS page,
                CAST((doc_id // 2) % 50 AS INTEGER) AS pos,
                CASE WHEN doc_id % 11 = 10 THEN CAST(doc_id - 1 AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS objectID,
-               CASE WHEN doc_id % 2 = 0 AND doc_id % 9 <> 0 THEN substring(text, 1, 60) END AS title,
-               CASE WHEN doc_id % 2 = 0 AND doc_id % 4 = 0
+               CASE WHEN doc_id % 2 = 0 AND doc_id % 9 <> 0
+                    THEN CASE WHEN doc_id % 4 = 0 THEN substring(text, 1, 60) ELSE text END END AS title,
+               CASE WHEN doc_id % 2 = 0 AND doc_id % 9 = 0 THEN '<p>' || replace(text, chr(10), '<br>')
+                    WHEN doc_id % 2 = 0 AND doc_id % 4 = 0
                     THEN '<p>' || replace(substr(text, 61), chr(10), '<br>') END AS story_text,
                CASE WHEN doc_id % 2 = 1
                     THEN '<p>' || replace(text, chr(10), '<br>') || ' &amp;amp; &lt;i&gt;' END AS comment_text,
