@@ -96,5 +96,37 @@ def test_apply_labeler_strips(spark):
 def test_hashing_encoder_unit_vectors(spark):
     df = spark.createDataFrame([("1", "alpha beta"), ("2", "beta gamma delta")], "id STRING, text STRING")
     rows = en.hashing_encoder(df, dim=16).collect()
+    assert len(rows) == 2
     assert all(len(r.embedding) == 16 for r in rows)
     assert all(abs(np.linalg.norm(r.embedding) - 1) < 1e-5 or np.linalg.norm(r.embedding) == 0 for r in rows)
+
+
+def test_hashing_encoder_matches_python_tfidf(spark):
+    import hashlib
+    import math
+    import re
+    texts = {"a": "Alpha beta beta, gamma!", "b": "beta delta", "c": "", "d": None, "e": "Zeta zeta alpha"}
+    df = spark.createDataFrame(list(texts.items()), "id STRING, text STRING")
+    dim = 32
+    tf = {}
+    for k, t in texts.items():
+        counts = {}
+        for term in [x for x in re.split(r"[^a-zA-Z]+", (t or "").lower()) if x]:
+            b = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+            counts[b] = counts.get(b, 0) + 1
+        tf[k] = counts
+    dfreq = {}
+    for counts in tf.values():
+        for b in counts:
+            dfreq[b] = dfreq.get(b, 0) + 1
+    want = {}
+    for k, counts in tf.items():
+        v = np.zeros(dim)
+        for b, c in counts.items():
+            v[b] = c * math.log((len(texts) + 1) / (dfreq[b] + 1))
+        n = np.linalg.norm(v)
+        want[k] = v / n if n > 0 else v
+    got = {r.id: np.array(r.embedding) for r in en.hashing_encoder(df, dim=dim, dtype="double").collect()}
+    assert set(got) == set(texts)
+    for k in texts:
+        assert np.allclose(got[k], want[k], atol=1e-12)

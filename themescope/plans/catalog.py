@@ -564,12 +564,51 @@ def q_elbow_curve(spark, sf):
     return spark.createDataFrame([(k, float(c)) for k, c in curve], "k INT, inertia DOUBLE")
 
 
-@register("encode_documents", None)
+HASH_DIM = 384
+_TFIDF = [
+    ("src", "SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, coalesce(text, '') AS text FROM documents"),
+    ("tf", f"""SELECT id, CAST(CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {HASH_DIM} AS INTEGER) AS bucket,
+                     CAST(count(*) AS DOUBLE) AS tf
+              FROM (SELECT id, unnest({sql_terms('text')}) AS term FROM src) GROUP BY ALL"""),
+    ("idf", "SELECT bucket, ln(((SELECT count(*) FROM src) + 1.0) / (count(*) + 1.0)) AS idf FROM tf GROUP BY bucket"),
+    ("nw", """SELECT id, bucket, CASE WHEN n > 0 THEN w / n ELSE 0 END AS weight FROM (
+                SELECT id, bucket, w, sqrt(sum(w * w) OVER (PARTITION BY id)) AS n FROM (
+                  SELECT id, bucket, tf * idf AS w FROM tf JOIN idf USING (bucket)))"""),
+]
+
+
+@register("encode_documents", sql("""
+    SELECT id, CAST(count(*) AS BIGINT) AS n_buckets, CAST(count(*) FILTER (WHERE weight > 0) AS BIGINT) AS n_nonzero,
+           round(sqrt(sum(weight * weight)), 6) AS norm, arg_max(bucket, (weight, -bucket)) AS top_bucket,
+           round(max(weight), 6) AS top_weight
+    FROM nw GROUP BY id""", extra=_TFIDF))
 def q_encode_documents(spark, sf):
+    """The default encoder's TF-IDF weights over every document, summarised per document."""
     d = fx.read_table(spark, sf, "documents", ["doc_id", "text"], balanced=True).select(
         F.col("doc_id").cast("string").alias("id"), "text")
-    e = en.hashing_encoder(d, dim=384)
-    return e.select("id", F.size("embedding").alias("dim"), _r(vx.norm("embedding"), 4).alias("norm"))
+    w = en.tfidf_weights(d, dim=HASH_DIM)
+    return w.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_buckets"), F.count(F.when(F.col("weight") > 0, 1)).alias("n_nonzero"),
+        _r(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("norm"),
+        F.max_by("bucket", F.struct("weight", -F.col("bucket"))).alias("top_bucket"),
+        _r(F.max("weight")).alias("top_weight"))
+
+
+@register("near_duplicates", sql(f"""
+    SELECT a.id AS id_a, b.id AS id_b, round({dotp('a.v', 'b.v')}, 6) AS similarity
+    FROM dense a JOIN dense b ON a.ord < b.ord
+    WHERE {dotp('a.v', 'b.v')} > 0.6""", extra=_TFIDF + [
+    ("dense", f"""SELECT s.id, s.ord, list(coalesce(nw.weight, 0.0) ORDER BY g.bucket) AS v
+                 FROM src s CROSS JOIN (SELECT range AS bucket FROM range({HASH_DIM})) g
+                 LEFT JOIN nw ON nw.id = s.id AND nw.bucket = g.bucket GROUP BY s.id, s.ord""")]))
+def q_near_duplicates(spark, sf):
+    """Pairs of documents whose default-encoder vectors are very similar
+    (cosine > 0.6): exact and near copies, over every pair of the whole table."""
+    d = fx.read_table(spark, sf, "documents", ["doc_id", "text"], balanced=True).select(
+        F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("ord"))
+    v = en.hashing_encoder(d, dim=HASH_DIM, dtype="double").join(d.select("id", "ord"), "id")
+    s = nn.similar_pairs(v, tx.BAND_HIGH)
+    return s.select("id_a", "id_b", _r(F.col("sim")).alias("similarity"))
 
 
 @register("hashed_term_counts", f"""
@@ -580,7 +619,7 @@ def q_encode_documents(spark, sf):
           FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents) GROUP BY ALL)
     GROUP BY doc_id""")
 def q_hashed_term_counts(spark, sf):
-    return en.hashed_term_counts(fx.read_table(spark, sf, "documents", ["doc_id", "text"], balanced=True), 384)
+    return en.hashed_term_counts(fx.read_table(spark, sf, "documents", ["doc_id", "text"], balanced=True), HASH_DIM)
 
 
 # ------------------------------------------------------------------ drift ---
