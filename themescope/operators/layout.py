@@ -12,6 +12,9 @@ expected-gradient updates:
 Each epoch's coordinates reference the previous ones several times, so the
 table is ``checkpoint()``-ed into the shared ``spark.checkpoint.dir`` every
 epoch: lineage stays one epoch long and a lost executor redoes one epoch.
+Persisting alone is not enough: the logical plan of epoch e would hold four
+copies of epoch e−1's plan, so planning time grows exponentially (measured:
+checkpointing every fifth epoch made a 50-epoch run eight times slower).
 """
 
 from __future__ import annotations
