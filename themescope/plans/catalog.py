@@ -7,6 +7,7 @@ derives from them) in full and returns a DataFrame.  Doubles are rounded to
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -530,7 +531,27 @@ def q_knn_graph(spark, sf):
     return g.select("id", "nbr", "rank", _r(F.col("dist")).alias("dist"))
 
 
-@register("fuzzy_edges", None)
+_KNN_SQL = ("knn", f"""SELECT a.id, b.id AS nbr, sqrt({sqdist('a.embedding', 'b.embedding')}) AS d
+    FROM vectors a JOIN vectors b ON a.id <> b.id
+    QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) <= {KNN_K}""")
+_MASS = "list_sum(list_transform(p.ds, lambda x: exp(-greatest(x - p.rho, 0.0) / ((b.lo + b.hi) / 2))))"
+
+
+@register("fuzzy_edges", sql(f"""
+    SELECT coalesce(a.src, r.dst) AS src, coalesce(a.dst, r.src) AS dst,
+           round(coalesce(a.w, 0.0) + coalesce(r.w, 0.0) - coalesce(a.w, 0.0) * coalesce(r.w, 0.0), 6) AS weight
+    FROM w a FULL OUTER JOIN w r ON a.src = r.dst AND a.dst = r.src""", "vectors", extra=[
+    _KNN_SQL,
+    ("per", "SELECT id, list(d ORDER BY d, nbr) AS ds, min(d) AS rho, max(d) AS dmax FROM knn GROUP BY id"),
+    ("bis", f"""SELECT * FROM (WITH RECURSIVE b(id, it, lo, hi) AS (
+        SELECT id, 0, CAST(0 AS DOUBLE), dmax * 1000 + 1000 FROM per
+        UNION ALL
+        SELECT b.id, b.it + 1,
+               CASE WHEN {_MASS} > {math.log2(KNN_K)!r} THEN b.lo ELSE (b.lo + b.hi) / 2 END,
+               CASE WHEN {_MASS} > {math.log2(KNN_K)!r} THEN (b.lo + b.hi) / 2 ELSE b.hi END
+        FROM b JOIN per p USING (id) WHERE b.it < 64) SELECT * FROM b WHERE it = 64)"""),
+    ("w", """SELECT k.id AS src, k.nbr AS dst, exp(-greatest(k.d - p.rho, 0.0) / ((s.lo + s.hi) / 2)) AS w
+             FROM knn k JOIN per p USING (id) JOIN bis s USING (id)""")]))
 def q_fuzzy_edges(spark, sf):
     g = nn.knn_graph(fx.vectors(spark, sf), KNN_K, block_rows=256)
     return nn.fuzzy_edges(g, KNN_K).select("src", "dst", _r(F.col("weight")).alias("weight"))
