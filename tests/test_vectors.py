@@ -208,3 +208,12 @@ def test_similar_pairs_and_bands_match_brute_force(spark):
         assert bands.get("very similar", 0) == int((s > 0.6).sum())
         assert bands.get("loosely related", 0) == int(((s > 0.3) & (s <= 0.6)).sum())
         assert sum(bands.values()) == len(s)
+
+
+def test_pair_operators_on_empty_and_single_row(spark):
+    empty = spark.createDataFrame([], "id STRING, embedding ARRAY<DOUBLE>, ord BIGINT")
+    assert nn.similar_pairs(empty, 0.3).count() == 0
+    assert nn.similarity_band_counts(empty).count() == 0
+    one = spark.createDataFrame([("a", [1.0, 0.0], 0)], "id STRING, embedding ARRAY<DOUBLE>, ord BIGINT")
+    assert nn.similar_pairs(one, -1.0).count() == 0
+    assert nn.similarity_band_counts(one).count() == 0
