@@ -54,6 +54,24 @@ def test_stream_drift_equals_batch(spark, tmp_dir):
     assert got == want
 
 
+def test_stream_sliding_drift_equals_batch(spark, tmp_dir):
+    rows = [(str(i), dt.datetime(2024, 1, 1 + (i * 5) % 28, i % 24), i % 4, i) for i in range(80)]
+    df = spark.createDataFrame(rows, "id STRING, created_at TIMESTAMP, cluster INT, ord BIGINT")
+    st.write_stream_input(df, os.path.join(tmp_dir, "in"), 3)
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(tmp_dir, "in"))
+    from themescope.streaming.jobs import latest_updates, run_updates
+    run_updates(st.drift_counts_stream(s, "7 days", slide="2 days", delay="40 days"),
+                os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "chk"))
+    got = {(r.period_start, r.cluster, r.n_posts) for r in
+           latest_updates(spark, os.path.join(tmp_dir, "out"), ["period_start", "cluster"]).collect()}
+    w = F.window("created_at", "7 days", "2 days")
+    want = {(r.s, r.cluster, r.n) for r in df.groupBy(w.start.alias("s"), "cluster")
+            .agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want
+    # every row is counted in size/slide overlapping windows (7/2 → 3 or 4)
+    assert 3 * len(rows) <= sum(n for _, _, n in got) <= 4 * len(rows)
+
+
 def test_stream_assignment_equals_batch(spark, tmp_dir):
     rows = [(str(i), [float(i % 5), float(i % 7), 1.0], i) for i in range(40)]
     df = spark.createDataFrame(rows, "id STRING, embedding ARRAY<FLOAT>, ord BIGINT")
