@@ -255,16 +255,17 @@ def keyword_labels(clustered: DataFrame, top: int = 5, min_len: int = 4,
     score(t, c) = tf(t, c) · ln(1 + A / f(t)), A = average term count per
     cluster, f(t) = count of t over all clusters; rounded to 6 places, ties
     by term.  Term counts are one partial/final aggregate on (cluster, term);
-    f(t) is a second aggregate joined back on term.
+    f(t) is a sum over a window partitioned by term — bounded, since after
+    that aggregate a term has at most one row per cluster — which saves
+    re-tokenising for a separate aggregate and join.
     """
     toks = clustered.select("cluster", F.explode(terms("text", min_len)).alias("term"))
     if stop_words:
         toks = toks.where(~F.col("term").isin(*stop_words))
     tf = toks.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
-    ft = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     a = tf.select((F.sum("tf") / F.count_distinct("cluster")).alias("a")).scalar()
-    scored = tf.join(ft, "term").withColumn(
-        "score", F.round(F.col("tf") * F.log(1 + a / F.col("f")), 6))
+    f = F.sum("tf").over(Window.partitionBy("term"))
+    scored = tf.withColumn("score", F.round(F.col("tf") * F.log(1 + a / f), 6))
     best = first_n_per_group(scored, "cluster", top, [F.col("score").desc(), "term"], rank_col="rank")
     return best.groupBy("cluster").agg(
         F.array_join(_ordered_texts(best, F.col("term")), ", ").alias("keywords"))
