@@ -29,3 +29,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["cluster", "label", "n_posts", "pct", "sample", "line"]
     assert df.count() > 0
+
+
+PLAN_SKIP = SLOW | {"layout_2d", "stream_ingest", "stream_assign", "stream_drift", "stream_centres"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - PLAN_SKIP))
+def test_no_cross_join_in_plan(spark, name):
+    """No registered query pairs rows by a cartesian product or nested loop."""
+    df = E.queries()[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
