@@ -349,7 +349,7 @@ def _silhouette_block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def silhouette_points(df: DataFrame, cluster_col: str = "cluster", vec_col: str = "embedding",
                       id_col: str = "id", normalize: bool = True,
-                      block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                      block_rows: int | None = None) -> DataFrame:
     """Exact per-point silhouette with plain Euclidean distance.
 
     s = (b − a) / max(a, b); a = mean distance to the rest of its own
@@ -360,8 +360,7 @@ def silhouette_points(df: DataFrame, cluster_col: str = "cluster", vec_col: str
     vec = l2_normalize(vec_col) if normalize else as_double_array(vec_col)
     pts = df.select(F.col(id_col).cast("string").alias("id"),
                     F.col(cluster_col).cast("int").alias("cluster"), vec.alias("vec"))
-    n = pts.count()
-    nb = blocks.block_count(n, block_rows)
+    nb = blocks.plan_blocks(pts, block_rows)
     sums = (blocks.paired_blocks(pts, nb)
             .groupBy("bi", "bj").applyInPandas(_silhouette_block, _SIL_SCHEMA)
             .groupBy("id", "cluster", "other")

@@ -425,14 +425,14 @@ _BAND_SQL = "CASE WHEN sim > 0.6 THEN 'very similar' WHEN sim > 0.3 THEN 'loosel
                                   "vectors", extra=[_ALL_SIMS]))
 def q_similarity_bands(spark, sf):
     """Band counts over every distinct pair of the vector table (exact, block × block)."""
-    return nn.similarity_band_counts(fx.vectors(spark, sf), block_rows=256)
+    return nn.similarity_band_counts(fx.vectors(spark, sf))
 
 
 @register("similar_pairs", sql(f"""SELECT id_a, id_b, round(sim, 6) AS similarity, {_BAND_SQL} AS band
                                    FROM all_sims WHERE sim > 0.3""", "vectors", extra=[_ALL_SIMS]))
 def q_similar_pairs(spark, sf):
     """Every distinct pair at least loosely related (cosine > 0.3), with its band."""
-    s = nn.similar_pairs(fx.vectors(spark, sf), tx.BAND_LOW, block_rows=256)
+    s = nn.similar_pairs(fx.vectors(spark, sf), tx.BAND_LOW)
     return s.select("id_a", "id_b", _r(F.col("sim")).alias("similarity"), tx.similarity_band(F.col("sim")).alias("band"))
 
 
@@ -493,7 +493,7 @@ _SIL_SQL = sql(f"""
 
 @register("silhouette_exact", _SIL_SQL)
 def q_silhouette_exact(spark, sf):
-    r = cl.silhouette_exact(fx.vectors(spark, sf), cluster_col="label", block_rows=256)
+    r = cl.silhouette_exact(fx.vectors(spark, sf), cluster_col="label")
     return r.select(_r(F.col("silhouette")).alias("silhouette"), "n")
 
 
@@ -527,7 +527,7 @@ def q_silhouette_squared(spark, sf):
              CAST(row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS INTEGER) AS rank
       FROM vectors a JOIN vectors b ON a.id <> b.id QUALIFY rank <= {KNN_K})""", "vectors"))
 def q_knn_graph(spark, sf):
-    g = nn.knn_graph(fx.vectors(spark, sf), KNN_K, block_rows=256)
+    g = nn.knn_graph(fx.vectors(spark, sf), KNN_K)
     return g.select("id", "nbr", "rank", _r(F.col("dist")).alias("dist"))
 
 
@@ -553,7 +553,7 @@ _MASS = "list_sum(list_transform(p.ds, lambda x: exp(-greatest(x - p.rho, 0.0) /
     ("w", """SELECT k.id AS src, k.nbr AS dst, exp(-greatest(k.d - p.rho, 0.0) / ((s.lo + s.hi) / 2)) AS w
              FROM knn k JOIN per p USING (id) JOIN bis s USING (id)""")]))
 def q_fuzzy_edges(spark, sf):
-    g = nn.knn_graph(fx.vectors(spark, sf), KNN_K, block_rows=256)
+    g = nn.knn_graph(fx.vectors(spark, sf), KNN_K)
     return nn.fuzzy_edges(g, KNN_K).select("src", "dst", _r(F.col("weight")).alias("weight"))
 
 
@@ -563,7 +563,7 @@ LAYOUT_EPOCHS = 50     # registered run; layout_epochs defaults to 200
 @register("layout_2d", None)
 def q_layout_2d(spark, sf):
     v = fx.vectors(spark, sf)
-    edges = nn.fuzzy_edges(nn.knn_graph(v, KNN_K, block_rows=256), KNN_K)
+    edges = nn.fuzzy_edges(nn.knn_graph(v, KNN_K), KNN_K)
     return lo.layout_epochs(edges, nn.project_2d(v), epochs=LAYOUT_EPOCHS)
 
 
