@@ -10,14 +10,17 @@ Classes are the connected components of the links.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themescope.llm.common import table, written
 from themescope.llm.graph import components
-from themescope.llm.shingles import cell_counts, flat, hashed, mix64, shingle_counts, slices, words
+from themescope.llm.shingles import cell_counts, shingle_counts
+from themescope.llm.textcodes import folded_words, mix64, text_slices
 
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
@@ -34,14 +37,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros(DF_CELLS + 1, np.int64)
         for batch in batches:
             total[DF_CELLS] += batch.num_rows
-            for part in slices(batch):
-                doc, ids, _ = shingle_counts(*flat(part.column(0)))
+            for _, texts in text_slices(batch, 0):
+                doc, ids, _ = shingle_counts(*folded_words(texts))
                 cell = np.sort((doc.astype(np.uint64) << np.uint64(20)) | (ids & np.uint64(DF_CELLS - 1)))
                 cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))] if len(cell) else cell
                 total[:DF_CELLS] += np.bincount((cell & np.uint64(DF_CELLS - 1)).astype(np.int64), minlength=DF_CELLS)
         return total
 
-    total = cell_counts(docs.select(hashed(words(F.col("text"))).alias("w")), count, DF_CELLS + 1)
+    total = cell_counts(docs.select("text"), count, DF_CELLS + 1)
     return total[:DF_CELLS], int(total[DF_CELLS])
 
 
@@ -88,14 +91,29 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(rows: DataFrame, idf) -> DataFrame:
-    """(doc_id, key, bands) of rows (words as hashes, doc_id, key); no words, no bands."""
+def text_keys(hashes: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[bytes]:
+    """16 bytes that tell the word sequences apart; texts without words by their characters."""
+    n = np.diff(offsets)
+    place = (np.arange(len(hashes)) - np.repeat(offsets[:-1], n)).astype(np.uint64)
+    out = []
+    for odd in (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)):
+        each = mix64(hashes + mix64((place + np.uint64(1)) * odd))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
+        out.append(mix64(sums[offsets[1:]] - sums[offsets[:-1]] + odd))
+    both = np.stack(out, 1)
+    return [both[i].tobytes() if n[i] else hashlib.md5(b"text:" + t.encode("utf-8", "surrogatepass")).digest()
+            for i, t in enumerate(texts)]
+
+
+def signatures(docs: DataFrame, idf) -> DataFrame:
+    """(doc_id, key, bands) of docs (doc_id, text); no words, no bands."""
     def sign(batches):
         weights, sampler = idf.value, Sampler()
         for batch in batches:
-            for part in slices(batch):
-                doc, ids, tf = shingle_counts(*flat(part.column(0)))
-                bands = [[] for _ in range(part.num_rows)]
+            for at, texts in text_slices(batch, 1):
+                hashes, offsets = folded_words(texts)
+                doc, ids, tf = shingle_counts(hashes, offsets)
+                bands = [[] for _ in texts]
                 if len(doc):
                     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                     w = tf * weights[(ids & np.uint64(DF_CELLS - 1)).astype(np.int64)]
@@ -109,23 +127,24 @@ def signatures(rows: DataFrame, idf) -> DataFrame:
                         for d, x in zip(doc[first[a:b]], made):
                             bands[d] = x
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
-    return rows.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
+                    [batch.column(0).slice(at, len(texts)), pa.array(text_keys(hashes, offsets, texts), pa.binary()),
+                     pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+    return docs.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
 
 
-def vectors(rows: DataFrame, idf) -> DataFrame:
-    """(node, ids, weights): sorted shingle ids and float32 weights as binaries."""
+def vectors(docs: DataFrame, idf) -> DataFrame:
+    """(node, ids, weights) of docs (node, text): sorted shingle ids and float32 weights as binaries."""
     def make(batches):
         weights = idf.value
         for batch in batches:
-            for part in slices(batch):
-                doc, ids, tf = shingle_counts(*flat(part.column(0)))
+            for first, texts in text_slices(batch, 1):
+                doc, ids, tf = shingle_counts(*folded_words(texts))
                 w = (tf * weights[(ids & np.uint64(DF_CELLS - 1)).astype(np.int64)]).astype(np.float32)
-                at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                at = np.searchsorted(doc, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array([ids[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
+                    [batch.column(0).slice(first, len(texts)), pa.array([ids[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
                      pa.array([w[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["node", "ids", "weights"])
-    return rows.mapInArrow(make, "node long, ids binary, weights binary")
+    return docs.mapInArrow(make, "node long, ids binary, weights binary")
 
 
 def weighted_jaccard(ids_a, w_a, ids_b, w_b) -> float:
@@ -177,10 +196,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     df, n_docs = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(idf_table(df, n_docs))
-    w = words(F.col("text"))
-    key = F.unhex(F.md5(F.when(F.size(w) > 0, F.concat(F.lit("w"), F.array_join(w, " ")))
-                        .otherwise(F.concat(F.lit("t"), F.coalesce("text", F.lit(""))))))
-    rows = docs.select(hashed(w).alias("w"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signatures(rows, idf), "signatures")
     nodes = written(signed.where("doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "nodes")
@@ -192,8 +208,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(stars, "stars")
     needed = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    vecs = written(vectors(texts.select(hashed(w).alias("w"), "doc_id"), idf).dropDuplicates(["node"]), "vectors")
+    texts = rows.join(needed, "doc_id", "left_semi")
+    vecs = written(vectors(texts.select("doc_id", "text"), idf).dropDuplicates(["node"]), "vectors")
     tried = written(similarities(stars, vecs), "tried")
     links = tried.where(F.col("sim") >= threshold).select("a", "b")
     first = written(components(links), "classes")
@@ -220,5 +236,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             .select("doc_id", "class_id", (F.col("class_id").isNull() | F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept")))
 
 
+def one_per_class(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each class one row, that
+    of its least doc_id.  Rows without id stay where no row of an id has their
+    words, one for each text."""
+    found = written(near_duplicates(docs), "near-duplicates")
+    keep = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi")
+    # Repeated rows of one id: the first; the join has them next to each other.
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    named = named.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    if found.where("kept AND doc_id IS NULL").isEmpty():
+        return named
+    unnamed = near_duplicates(docs.where("doc_id IS NOT NULL").unionByName(
+        docs.where("doc_id IS NULL").withColumn("doc_id", -1 - F.abs(F.xxhash64("text")))))
+    stay = unnamed.where("kept AND doc_id < 0").select(F.col("doc_id").alias("_stay")).distinct()
+    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
+    return named.unionByName(nameless.join(stay, F.col("_stay") == -1 - F.abs(F.xxhash64("text")), "left_semi"))
+
+
 def query(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from themescope.llm import chat, grammar, minhash, mixing, packing, sharding
+from themescope.llm import chat, covertree, grammar, langid, minhash, mixing, packing, quality, sharding, topk
 
 QUERIES = {
     "op1_external_shuffle": sharding.query,
     "op2_grammar_tokens": grammar.query,
+    "op3_cross_parsing": langid.query,
     "op4_weighted_minhash": minhash.query,
+    "op5_norm_sorted_search": topk.query,
+    "op6_cover_tree": covertree.query,
     "op7_level_packing": packing.query,
     "op8_source_schedule": mixing.query,
+    "op9_importance_resampling": quality.query,
     "op10_chat_format": chat.query,
 }
 
 ORACLE_SQL = {
+    "op5_norm_sorted_search": topk.ORACLE,
+    "op6_cover_tree": covertree.ORACLE,
     "op8_source_schedule": mixing.ORACLE,
+    "op9_importance_resampling": quality.query,
     "op10_chat_format": chat.ORACLE,
 }

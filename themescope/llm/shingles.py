@@ -1,43 +1,21 @@
-"""Hashed words and weighted word shingles, and counts over hashed cells."""
+"""Word shingles of hashed words, and counts over hashed cells."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themescope.llm.common import written
+from themescope.llm.textcodes import mix64
 
 SHINGLE = 5
-WORD = r"[\p{L}\p{N}]+"
 ID_BITS = 48
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def words(text) -> Column:
-    """Lower-case runs of letters and digits; null text has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-
-def hashed(array) -> Column:
-    return F.transform(array, lambda w: F.xxhash64(w))
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of an Arrow list<int64> column without nulls."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0]:offsets[-1]]
-    return values, offsets - offsets[0]
-
-
 def shingle_counts(values: np.ndarray, offsets: np.ndarray, k: int = SHINGLE):
     """(doc, id, tf): the distinct shingles of each document, ordered by doc and id.
 
@@ -63,17 +41,6 @@ def shingle_counts(values: np.ndarray, offsets: np.ndarray, k: int = SHINGLE):
     return (key >> np.uint64(ID_BITS)).astype(np.int64), key & np.uint64((1 << ID_BITS) - 1), tf
 
 
-def slices(batch, rows: int = 1024, values: int = 1 << 20, column: int = 0):
-    """A batch in pieces of at most ``rows`` rows and about ``values`` list entries."""
-    offsets = batch.column(column).offsets.to_numpy()
-    at = 0
-    while at < batch.num_rows:
-        to = min(at + rows, batch.num_rows)
-        to = max(at + 1, min(to, int(np.searchsorted(offsets, offsets[at] + values, "right")) - 1))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 # Counts over cells -------------------------------------------------------------
 
 CHUNK = 1 << 14
