@@ -33,11 +33,13 @@ from themescope.llm.common import starts, table
 from themescope.llm.tokens import END_ID, encoded_rows, public_path
 from themescope.session import scratch_path
 
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 18
 #: A pair is worth a rule from this many occurrences on.
 MIN_COUNT = 8
 #: A round replaces every pair that occurs at least max / CLASS times.
-CLASS = 4
+CLASS = 16
+#: Rules up to this many ids are decoded from a table.
+TABLED = 64
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_SCHEMA = ("part int, block int, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, "
                 "width int, alphabet binary, rules binary, lengths binary, body binary")
@@ -62,7 +64,10 @@ def _replaceable(marked):
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT) -> dict:
     """Re-Pair of one shard.  Pairs of one frequency class are replaced in the
     same round; where two of them overlap the left one wins."""
-    alphabet, body = np.unique(ids, return_inverse=True)
+    alphabet = np.flatnonzero(np.bincount(ids))
+    rank = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint32)
+    rank[alphabet] = np.arange(len(alphabet))
+    body = rank[ids]
     width = 2 if len(alphabet) <= 60_000 else 4
     most = (1 << 16) - 1 if width == 2 else (1 << 32) - 1
     sym, key, shift = (np.uint16, np.uint32, 16) if width == 2 else (np.uint32, np.uint64, 32)
@@ -76,7 +81,14 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
         inside = ~last[:-1]
         if not inside.any():
             break
-        pairs, counts = _pair_counts(keys[inside])
+        # A hashed histogram first: only pairs of cells with enough occurrences are sorted.
+        mix = np.uint64(0x9E3779B97F4A7C15)
+        cell = ((keys.astype(np.uint64) * mix) >> np.uint64(48)).astype(np.int64)
+        heavy = np.bincount(cell[inside], minlength=1 << 16) >= min_count
+        maybe = np.flatnonzero(heavy[cell] & inside)
+        if len(maybe) == 0:
+            break
+        pairs, counts = _pair_counts(keys[maybe])
         top = int(counts.max())
         if top < min_count:
             break
@@ -84,11 +96,9 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
         if len(chosen) > most - base - n_rules:
             order = np.argsort(-counts[counts >= max(min_count, top // CLASS)], kind="stable")
             chosen = np.sort(chosen[order[:most - base - n_rules]])
-        # A small hashed filter first, then the exact look-up for what passes.
         seen = np.zeros(1 << 16, bool)
-        mix = np.uint64(0x9E3779B97F4A7C15)
-        seen[(chosen.astype(np.uint64) * mix) >> np.uint64(48)] = True
-        maybe = np.flatnonzero(seen[(keys.astype(np.uint64) * mix) >> np.uint64(48)] & inside)
+        seen[((chosen.astype(np.uint64) * mix) >> np.uint64(48)).astype(np.int64)] = True
+        maybe = maybe[seen[cell[maybe]]]
         found = np.minimum(np.searchsorted(chosen, keys[maybe]), len(chosen) - 1)
         hit = chosen[found] == keys[maybe]
         marked = np.zeros(len(keys), bool)
@@ -96,7 +106,11 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
         rule_at = np.zeros(len(keys), np.uint32)
         rule_at[maybe[hit]] = found[hit]
         at = _replaceable(marked)
-        used, new = np.unique(rule_at[at], return_inverse=True)
+        hits = rule_at[at]
+        used = np.flatnonzero(np.bincount(hits, minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.int64)
+        number[used] = np.arange(len(used))
+        new = number[hits]
         left = (chosen[used] >> key(shift)).astype(np.int64)
         right = (chosen[used] & key((1 << shift) - 1)).astype(np.int64)
         known = np.concatenate(lengths)
@@ -125,11 +139,13 @@ class Shard:
         self.lengths = np.concatenate((np.ones(len(self.alphabet), np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)))
         self.body = np.frombuffer(body, kind).astype(np.uint32)
         self.at = np.concatenate(([0], np.cumsum(np.asarray(doc_symbols, np.int64))))
+        self.short = None
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+    def _open(self, symbols: np.ndarray, longest: int) -> np.ndarray:
+        """Rules that stand for more than ``longest`` ids replaced by their pairs."""
         base = len(self.alphabet)
-        while len(symbols) and len(self.rules):
-            rule = symbols >= base
+        while len(symbols):
+            rule = self.lengths[symbols] > longest
             if not rule.any():
                 break
             to = np.cumsum(1 + rule) - 1                  # where the last part of each symbol goes
@@ -138,7 +154,19 @@ class Shard:
             pair = self.rules[symbols[rule] - base]
             out[to[rule] - 1], out[to[rule]] = pair[:, 0], pair[:, 1]
             symbols = out
-        return self.alphabet[symbols] if len(symbols) else np.zeros(0, "<u4")
+        return symbols
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a run of symbols: short rules are looked up in a table of their ids."""
+        if self.short is None:
+            known = np.flatnonzero(self.lengths <= TABLED)
+            self.short = self.alphabet[self._open(known.astype(np.uint32), 1)]
+            self.first = np.zeros(len(self.lengths), np.int64)
+            self.first[known] = np.cumsum(self.lengths[known]) - self.lengths[known]
+        symbols = self._open(symbols, TABLED)
+        n = self.lengths[symbols]
+        ends = np.cumsum(n)
+        return self.short[np.repeat(self.first[symbols] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def document(self, k: int, start: int = 0, length: int | None = None) -> np.ndarray:
         """Ids ``start`` .. ``start + length`` of document ``k``; only the symbols
@@ -211,11 +239,15 @@ def _decode(batches):
                 pa.array([ids[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], schema=schema)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
+def read_tokens(spark, path: str, ids=None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every stored document; ``start`` counts
-    the ids of all documents before it."""
+    the ids of all documents before it.  ``ids``: an expression over the decoded
+    column of that name that is wanted instead; it is applied before anything
+    is shuffled."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     rows = shards.mapInArrow(_decode, "part int, block int, doc_id long, inner_start long, n_tokens long, ids binary")
+    if ids is not None:
+        rows = rows.withColumn("ids", ids)
     sizes = shards.select("part", "block", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     base = starts(sizes, [], "part", ["block"], "n", "base").select("part", "block", "base")
     return (rows.join(base, ["part", "block"])
@@ -225,4 +257,5 @@ def read_tokens(spark, path: str) -> DataFrame:
 def query(spark, sf_dir):
     path = scratch_path(spark, "token-shards")
     write_tokens(table(spark, sf_dir, "documents"), path, public_path(TOKENIZER))
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
+    crc = F.crc32("ids").cast("long")
+    return read_tokens(spark, path, crc).withColumnRenamed("ids", "ids_crc32")

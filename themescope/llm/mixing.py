@@ -22,7 +22,7 @@ SHARE = 1.5                       # words of the mix over words of all documents
 MAX_REPEATS = 2
 # ---------------------------------------------------------------------------
 BLOCK_WORDS = 256
-BUCKET_ROWS = 4096
+MIN_BUCKET_ROWS = 256
 MIN_CHUNK, MAX_CHUNKS = 1024, 65_536
 CELLS = 1024
 PHI = (math.sqrt(5) - 1) / 2
@@ -122,7 +122,9 @@ def mixed(slim: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFra
     targets = written(source_targets(sizes), "mix-targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
     rows = slim.where("size > 0")
-    n_buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    # About the square root of the rows in a bucket: neither a bucket nor the list of buckets is long.
+    n_rows = rows.count()
+    n_buckets = max(1, -(-n_rows // max(MIN_BUCKET_ROWS, math.isqrt(n_rows))))
     prefix = F.conv(F.substring("mix", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.floor(prefix * n_buckets / (1 << 32)))
     placed = starts(rows, ["skey"], "bucket", ["mix", "doc_id", "rid"], "size", "start")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from themescope.llm.common import crc32_text, shuffle_partitions, starts, table
 
 #: Text bytes a bucket holds on average; a few buckets are in memory per task.
-BUCKET_BYTES = 8 << 20
-BUCKETS_PER_TASK = 4
+BUCKET_BYTES = 4 << 20
+BUCKETS_PER_TASK = 16
 RECORD_BYTES = 8
 SHARDS = 24
 SEED = 20_240_501

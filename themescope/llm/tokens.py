@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import unicodedata
+from array import array
 from itertools import chain
 
 END_ID = 2
-#: Distinct words whose ids a worker keeps (about 250 bytes each).
-CACHE_WORDS = 300_000
+#: Distinct words, and words with punctuation, whose ids a worker keeps (about 250 bytes each).
+CACHE_WORDS = 500_000
 
 # --- fixed values: how byte-level BPE splits a text into words ----------------
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,16 +29,14 @@ def public_path(name: str) -> str:
 class WordEncoder:
     """Encodes texts word by word: BPE never merges across the words of the
     tokenizer's own splitting pattern, so each distinct word goes through the
-    library once and repeated words come from a bounded cache.  Ids are packed
+    library once and repeated ones come from a bounded cache.  Ids are packed
     as little-endian unsigned 32-bit integers; strings of special tokens are
     ordinary text."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         import regex
         from tokenizers import Tokenizer
-        self.np = np
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         spec = json.loads(self.tok.to_str())
@@ -51,23 +51,46 @@ class WordEncoder:
         else:
             raise ValueError(f"no word pattern known for the pre-tokenizer of {path}")
         self.words = regex.compile(pattern).findall
+        self.leading = pattern is BYTE_LEVEL              # a word may start with its space
+        self.rare = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def parts(self, text: str) -> list[str]:
+        """The text cut at spaces, each part whole words: the library's pattern
+        never joins what lies on both sides of a space that follows a character
+        other than white space.  Texts with other runs are split by the pattern."""
+        if "  " in text or "\n " in text or any(c in text for c in self.rare):
+            return self.words(text)
+        parts = text.split(" ")
+        return [parts[0], *[" " + p for p in parts[1:]]] if self.leading else parts
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
+        cache = self.cache
+        if len(cache) > self.cache_words:
+            cache.clear()
         if self.nfc:
             texts = [unicodedata.normalize("NFC", t) for t in texts]
-        split = [self.words(t) for t in texts]
-        new = [w for w in set(chain.from_iterable(split)) if w not in self.cache]
-        pack, u32 = self.np.array, self.np.dtype("<u4")
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
+        split = [self.parts(t) for t in texts]
+        new = [p for p in set(chain.from_iterable(split)) if p not in cache]
+        # Letters only, or a space and letters where words have their space: one word.
+        at = int(self.leading)
+        plain = [p for p in new if p[at:].isalpha() and (not at or p[0] == " ")]
+        mixed = {p: self.words(p) for p in set(new).difference(plain)}
+        words = [w for w in set(chain.from_iterable(mixed.values())) if w not in cache]
+        words = list(set(words).union(plain))
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
             for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                self.cache[w] = pack(e.ids, u32).tobytes()
-        ids = self.cache.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+                ids = array("I", e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                cache[w] = ids.tobytes()
+        ids = cache.__getitem__
+        for p, w in mixed.items():
+            if p not in cache:
+                cache[p] = b"".join(map(ids, w))
+        return [b"".join(map(ids, p)) for p in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
