@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themescope.llm.common import table, written
+from themescope.llm.common import arrow_rows, table, written
 from themescope.llm.graph import components
 from themescope.llm.topk import usable
 
@@ -309,7 +309,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                                    F.col("data").alias(f"data_{n}"), *(["dim"] if n == "a" else []))
     joined = (pairs.join(side("a"), "a").join(side("b"), "b").repartition(F.xxhash64("a", "b"))
               .select((F.col("a") == F.col("b")).alias("same"), "dim", "rids_a", "ids_a", "data_a", "rids_b", "ids_b", "data_b"))
-    found = written(joined.mapInArrow(_link_rows(threshold), "rid long, vec_id long, n long, root long"), "found")
+    with arrow_rows(rows.sparkSession, 8):
+        found = written(joined.mapInArrow(_link_rows(threshold), "rid long, vec_id long, n long, root long"), "found")
 
     counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
     # A vec_id's own row links to its root in each block pair; rows of one vec_id are one node.

@@ -28,6 +28,7 @@ LETTERS = 120
 TABLE_BYTES = 96 << 20
 #: Texts are parsed in parts of this many characters; a part starts a phrase.
 PART = 512
+SALTS = 64
 SEED = 3
 UNKNOWN = "und"
 
@@ -44,9 +45,11 @@ def training_text(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_
     share = chars // rows
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    least = (labelled.select("lang", "doc_id", order.alias("h"))
-             .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-             .where(F.col("rank") <= rows))
+    least = labelled.select("lang", "doc_id", order.alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    # The least of each salt, then of those: no task sorts a whole language.
+    for keys in (["lang", "salt"], ["lang"]):
+        least = (least.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id")))
+                 .where(F.col("rank") <= rows).drop("rank"))
     # rows * languages ids: a bounded number per language.
     some = labelled.join(F.broadcast(least.select("doc_id").distinct()), "doc_id").select("lang", "doc_id", letters(F.col("text")).alias("t"))
     at = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.greatest(F.char_length("t") - share, F.lit(0)) + 1) + 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themescope.llm.common import table, written
+from themescope.llm.common import arrow_rows, table, written
 from themescope.llm.graph import components
 from themescope.llm.shingles import cell_counts, shingle_counts
 from themescope.llm.textcodes import folded_words, mix64, text_slices
@@ -28,6 +28,9 @@ BANDS, ROWS = 16, 4
 #: documents, of a size that does not depend on the corpus.
 DF_CELLS = 1 << 20
 TABLE = 1 << 16
+#: Nodes and bytes of shingle ids that each of the two parts of a group holds.
+GROUP_NODES = 512
+GROUP_BYTES = 8 << 20
 SEED = 11
 
 
@@ -174,17 +177,70 @@ def similarities(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_similarity, "a long, b long, sim double")
 
 
+def _open_links(ids: list, weights: list, comp: np.ndarray, threshold: float):
+    """Index pairs that connect the components of one group as far as similarities
+    do: every node outside the largest component is compared with all others."""
+    n = [len(x) for x in ids]
+    row = np.repeat(np.arange(len(ids)), n)
+    word, col = np.unique(np.concatenate(ids), return_inverse=True)
+    w = np.concatenate(weights)
+    total = np.bincount(row, w, len(ids))
+    comp, waiting, out = comp.copy(), np.ones(len(ids), bool), []
+    dense = np.zeros(len(word), np.float32)
+    first = np.concatenate(([0], np.cumsum(n)))
+    while True:
+        names, where, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        left = np.flatnonzero(waiting & (where != sizes.argmax()))
+        if len(left) == 0:
+            return out
+        k = left[0]
+        waiting[k] = False
+        mine = slice(first[k], first[k + 1])
+        dense[col[mine]] = w[mine]
+        low = np.bincount(row, np.minimum(w, dense[col]), len(ids))
+        dense[col[mine]] = 0
+        similar = low >= threshold * (total + total[k] - low)
+        for c in np.unique(comp[similar & (comp != comp[k])]):
+            out.append((k, int(np.flatnonzero(similar & (comp == c))[0])))
+            comp[comp == c] = comp[k]
+
+
+def _group_links(threshold: float):
+    def run(batches):
+        u64, f32 = np.dtype(np.uint64), np.dtype(np.float32)
+        key, held = None, []
+
+        def links():
+            nodes = [h[0] for h in held]
+            pairs = _open_links([h[2] for h in held], [h[3] for h in held], np.array([h[1] for h in held]), threshold)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in pairs], pa.int64()),
+                                               pa.array([nodes[y] for _, y in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
+            for r, k in enumerate(keys):
+                if k != key and held:
+                    yield links()
+                    held = []
+                key = k
+                held.append((batch.column(4)[r].as_py(), batch.column(5)[r].as_py(),
+                             np.frombuffer(batch.column(6)[r].as_py(), u64), np.frombuffer(batch.column(7)[r].as_py(), f32)))
+        if held:
+            yield links()
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept), one row per row of ``docs`` (doc_id, text).
 
     class_id is the least doc_id of the class, kept marks that document.
 
     Texts of equal words are one node from the start.  In each bucket of a band
-    every node is compared with the least one; then nodes of one bucket that
-    are not yet connected are compared with each other, but for pairs that the
-    two distances to the least node rule out (1 - weighted Jaccard similarity
-    is a metric).  So no link that shares a bucket is lost, and a large group
-    of copies costs one comparison per member.
+    every node is compared with the least one.  Buckets whose nodes are not all
+    connected by then are compared in full, each node outside the largest
+    component with all others, in groups of bounded size (a large bucket is
+    split, and the parts meet two by two); pairs are never written, only links
+    that connect something.  So no link that shares a bucket is lost.
 
     Null text counts as empty; all texts without words and with equal
     characters are one class.  Fewer than five words make one shingle.  Rows of
@@ -210,24 +266,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     needed = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
     texts = rows.join(needed, "doc_id", "left_semi")
     vecs = written(vectors(texts.select("doc_id", "text"), idf).dropDuplicates(["node"]), "vectors")
-    tried = written(similarities(stars, vecs), "tried")
+    with arrow_rows(spark, 512):
+        tried = written(similarities(stars, vecs), "tried")
     links = tried.where(F.col("sim") >= threshold).select("a", "b")
     first = written(components(links), "classes")
 
-    near = 1 - threshold + 1e-6
-    placed = (members.where("node <> head").join(tried.select(F.col("a").alias("head"), F.col("b").alias("node"), "sim"), ["head", "node"])
-              .join(first, "node", "left").select("band", "bucket", "node", (1 - F.col("sim")).alias("d"),
-                                                  F.coalesce("component", "node").alias("c")))
-    # Only buckets in which something is still apart.
-    apart = (placed.groupBy("band", "bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-             .select("band", "bucket"))
-    open_ = placed.join(apart, ["band", "bucket"], "left_semi")
-    a = open_.select("band", "bucket", F.col("node").alias("a"), F.col("d").alias("da"), F.col("c").alias("ca"))
-    b = open_.select("band", "bucket", F.col("node").alias("b"), F.col("d").alias("db"), F.col("c").alias("cb"))
-    rest = (a.join(b, ["band", "bucket"]).where(F.col("a") < F.col("b")).where("ca <> cb")
-            .where(F.abs(F.col("da") - F.col("db")) <= near).select("a", "b").distinct())
-    rest = written(rest, "rest")
-    more = similarities(rest, vecs).where(F.col("sim") >= threshold).select("a", "b")
+    # Buckets in which three or more nodes are not all connected yet.
+    all_nodes = members.select("band", "bucket", "node").join(first, "node", "left")
+    all_nodes = all_nodes.withColumn("c", F.coalesce("component", "node")).join(
+        vecs.select("node", F.length("ids").alias("size")), "node")
+    open_ = (all_nodes.groupBy("band", "bucket")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("size").alias("bytes"))
+             .where("n > 2 AND lo <> hi")
+             .select("band", "bucket", F.ceil(F.greatest(F.col("n") / GROUP_NODES, F.col("bytes") / GROUP_BYTES)).cast("int").alias("parts")))
+    i = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = (all_nodes.join(open_, ["band", "bucket"]).withColumn("i", i)
+             .select("band", "bucket", "node", "c", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+             .select("band", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "c"))
+    groups = (dealt.join(vecs, "node").select("band", "bucket", "i", "j", "node", "c", "ids", "weights")
+              .repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "node"))
+    with arrow_rows(spark, 512):
+        more = written(groups.mapInArrow(_group_links(threshold), "a long, b long"), "more-links")
     classes = components(links.unionByName(more))
 
     of_key = (nodes.select("key", "node").join(classes, "node", "left")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themescope.llm.common import table, written
+from themescope.llm.common import arrow_rows, table, written
 
 K = 10
 SCALE = 1024.0
@@ -197,6 +197,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
 
     hits = (pairs.join(blocks.select("vb", F.col("ids").alias("v_ids"), F.col("data").alias("v")), "vb")
             .select("q_ids", "q", "taus", "v_ids", "v").mapInArrow(search, "query_id long, vec_id long, score long"))
+    with arrow_rows(spark, 8):
+        hits = written(hits, "hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return (hits.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
