@@ -94,8 +94,8 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Parser:
     """Dense tables of the automata of all languages.
 
-    A row holds, per character class, twice the first cell of the next state's
-    row plus 1 where the character could not extend the phrase.  Classes: 0
+    A row holds, per character class, four times the first cell of the next
+    state's row plus the number of phrases that the character ends.  Classes: 0
     between words, 1 letters of no sample, then the letters; the last one pads.
     """
 
@@ -123,8 +123,11 @@ class Parser:
                 if d:
                     to[s, list(d)] = list(d.values())
             missing = to == 0
-            cells = ((np.where(missing, to[0], to) + first) * self.width * 2 + missing)
-            cells[:, self.pad] = (np.arange(len(states)) + first) * self.width * 2
+            # A character of no word of the sample is a phrase of its own, besides the one that it ends.
+            ended = missing * np.where(to[0] == 0, 2, 1)
+            ended[0] = missing[0]
+            cells = (np.where(missing, to[0], to) + first) * self.width * 4 + ended
+            cells[:, self.pad] = (np.arange(len(states)) + first) * self.width * 4
             tables.append(cells.astype(np.uint32))
             self.roots.append(first * self.width)
             self.bits.append(np.log2(max(2, len(codes))))
@@ -159,8 +162,8 @@ class Parser:
             ended = np.zeros(row.shape, np.uint32)
             for step in steps:
                 cell = self.table[row + step]
-                ended += cell & np.uint32(1)
-                row = cell >> np.uint32(1)
+                ended += cell & np.uint32(3)
+                row = cell >> np.uint32(2)
             phrases[:, a:a + 4096] += ended
         total = np.stack([np.bincount(part_of, p, len(n)) for p in phrases], 1)
         has = np.bincount(np.repeat(np.arange(len(n)), n), code != 0, len(n)) > 0

@@ -297,21 +297,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def one_per_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each class one row, that
-    of its least doc_id.  Rows without id stay where no row of an id has their
-    words, one for each text."""
-    found = written(near_duplicates(docs), "near-duplicates")
-    keep = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi")
+    of its least doc_id.  Rows without id come after all others, in the order
+    of a hash of their text."""
+    late = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    numbered = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), late))
+    found = near_duplicates(numbered.select(F.col("_id").alias("doc_id"), "text"))
+    keep = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
     # Repeated rows of one id: the first; the join has them next to each other.
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    named = named.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
-    if found.where("kept AND doc_id IS NULL").isEmpty():
-        return named
-    unnamed = near_duplicates(docs.where("doc_id IS NOT NULL").unionByName(
-        docs.where("doc_id IS NULL").withColumn("doc_id", -1 - F.abs(F.xxhash64("text")))))
-    stay = unnamed.where("kept AND doc_id < 0").select(F.col("doc_id").alias("_stay")).distinct()
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.unionByName(nameless.join(stay, F.col("_stay") == -1 - F.abs(F.xxhash64("text")), "left_semi"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
+    return numbered.join(keep, "_id", "left_semi").withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir):
