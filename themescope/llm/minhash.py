@@ -31,6 +31,8 @@ TABLE = 1 << 16
 #: Nodes and bytes of shingle ids that each of the two parts of a group holds.
 GROUP_NODES = 512
 GROUP_BYTES = 8 << 20
+#: Bits of the filter (half a MB) that keeps texts outside all candidates from being shuffled.
+FILTER_BITS = 22
 SEED = 11
 
 
@@ -135,19 +137,51 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
 
 
-def vectors(docs: DataFrame, idf) -> DataFrame:
-    """(node, ids, weights) of docs (node, text): sorted shingle ids and float32 weights as binaries."""
+def _cells_of(nodes: np.ndarray) -> np.ndarray:
+    return (mix64(nodes.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit per hashed cell for the ids in ``nodes`` (one long column): of fixed
+    size, so it can be sent to all tasks; the join after it makes it exact."""
+    def count(batches):
+        total = np.zeros(1 << FILTER_BITS, np.int64)
+        for batch in batches:
+            total[_cells_of(batch.column(0).to_numpy())] = 1
+        return total
+    return np.packbits(cell_counts(nodes, count, 1 << FILTER_BITS) > 0)
+
+
+def vectors(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """(node, ids, tfs) of the rows of docs (node, text) whose node is in ``nodes``
+    (node): sorted 48-bit shingle ids, six bytes each, and their counts."""
+    wanted = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
+
     def make(batches):
-        weights = idf.value
+        bits = wanted.value
         for batch in batches:
+            cell = _cells_of(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)))
             for first, texts in text_slices(batch, 1):
                 doc, ids, tf = shingle_counts(*folded_words(texts))
-                w = (tf * weights[(ids & np.uint64(DF_CELLS - 1)).astype(np.int64)]).astype(np.float32)
                 at = np.searchsorted(doc, np.arange(len(texts) + 1))
+                six = np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                tf = tf.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array([ids[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
-                     pa.array([w[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["node", "ids", "weights"])
-    return docs.mapInArrow(make, "node long, ids binary, weights binary")
+                    [batch.column(0).slice(first, len(texts)), pa.array([six[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
+                     pa.array([tf[a:b].tobytes() if (tf[a:b] > 1).any() else b"" for a, b in zip(at, at[1:])], pa.binary())],
+                    names=["node", "ids", "tfs"])
+    made = docs.mapInArrow(make, "node long, ids binary, tfs binary")
+    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def unpacked(ids, tfs, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, weights) of a stored vector; no counts stored, all are 1."""
+    full = np.zeros((len(ids) // 6, 8), np.uint8)
+    full[:, :6] = np.frombuffer(ids, np.uint8).reshape(-1, 6)
+    full = full.view("<u8").ravel()
+    weights = idf[(full & np.uint64(DF_CELLS - 1)).astype(np.int64)]
+    return full, weights * np.frombuffer(tfs, "<u4").astype(np.float32) if len(tfs) else weights
 
 
 def weighted_jaccard(ids_a, w_a, ids_b, w_b) -> float:
@@ -159,22 +193,20 @@ def weighted_jaccard(ids_a, w_a, ids_b, w_b) -> float:
     return low / (float(w_a.sum(dtype=np.float64)) + float(w_b.sum(dtype=np.float64)) - low)
 
 
-def _similarity(batches):
-    u64, f32 = np.dtype(np.uint64), np.dtype(np.float32)
-    for batch in batches:
-        side = [batch.column(i) for i in range(2, 6)]
-        sim = []
-        for k in range(batch.num_rows):
-            ia, wa, ib, wb = (np.frombuffer(c[k].as_buffer(), t) for c, t in zip(side, (u64, f32, u64, f32)))
-            sim.append(weighted_jaccard(ia, wa, ib, wb))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
-
-
-def similarities(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
+def similarities(pairs: DataFrame, vecs: DataFrame, idf) -> DataFrame:
     """(a, b, sim) of the pairs (a, b)."""
-    side = lambda n: vecs.select(F.col("node").alias(n), F.col("ids").alias(f"ids_{n}"), F.col("weights").alias(f"w_{n}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "w_a", "ids_b", "w_b")
-    return joined.mapInArrow(_similarity, "a long, b long, sim double")
+    def compare(batches):
+        for batch in batches:
+            side = [batch.column(i) for i in range(2, 6)]
+            sim = []
+            for k in range(batch.num_rows):
+                ia, ta, ib, tb = (c[k].as_py() for c in side)
+                sim.append(weighted_jaccard(*unpacked(ia, ta, idf.value), *unpacked(ib, tb, idf.value)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
+
+    side = lambda n: vecs.select(F.col("node").alias(n), F.col("ids").alias(f"ids_{n}"), F.col("tfs").alias(f"tfs_{n}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "tfs_a", "ids_b", "tfs_b")
+    return joined.mapInArrow(compare, "a long, b long, sim double")
 
 
 def _open_links(ids: list, weights: list, comp: np.ndarray, threshold: float):
@@ -205,9 +237,8 @@ def _open_links(ids: list, weights: list, comp: np.ndarray, threshold: float):
             comp[comp == c] = comp[k]
 
 
-def _group_links(threshold: float):
+def _group_links(threshold: float, idf):
     def run(batches):
-        u64, f32 = np.dtype(np.uint64), np.dtype(np.float32)
         key, held = None, []
 
         def links():
@@ -224,7 +255,7 @@ def _group_links(threshold: float):
                     held = []
                 key = k
                 held.append((batch.column(4)[r].as_py(), batch.column(5)[r].as_py(),
-                             np.frombuffer(batch.column(6)[r].as_py(), u64), np.frombuffer(batch.column(7)[r].as_py(), f32)))
+                             *unpacked(batch.column(6)[r].as_py(), batch.column(7)[r].as_py(), idf.value)))
         if held:
             yield links()
     return run
@@ -263,11 +294,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = written(band.join(heads, ["band", "bucket"]), "members")
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(stars, "stars")
-    needed = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    texts = rows.join(needed, "doc_id", "left_semi")
-    vecs = written(vectors(texts.select("doc_id", "text"), idf).dropDuplicates(["node"]), "vectors")
+    needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    vecs = written(vectors(rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text"), needed, idf), "vectors")
     with arrow_rows(spark, 512):
-        tried = written(similarities(stars, vecs), "tried")
+        tried = written(similarities(stars, vecs, idf), "tried")
     links = tried.where(F.col("sim") >= threshold).select("a", "b")
     first = written(components(links), "classes")
 
@@ -283,10 +313,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dealt = (all_nodes.join(open_, ["band", "bucket"]).withColumn("i", i)
              .select("band", "bucket", "node", "c", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
              .select("band", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "c"))
-    groups = (dealt.join(vecs, "node").select("band", "bucket", "i", "j", "node", "c", "ids", "weights")
+    groups = (dealt.join(vecs, "node").select("band", "bucket", "i", "j", "node", "c", "ids", "tfs")
               .repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "node"))
     with arrow_rows(spark, 512):
-        more = written(groups.mapInArrow(_group_links(threshold), "a long, b long"), "more-links")
+        more = written(groups.mapInArrow(_group_links(threshold, idf), "a long, b long"), "more-links")
     classes = components(links.unionByName(more))
 
     of_key = (nodes.select("key", "node").join(classes, "node", "left")
