@@ -130,3 +130,21 @@ def test_hashing_encoder_matches_python_tfidf(spark):
     assert set(got) == set(texts)
     for k in texts:
         assert np.allclose(got[k], want[k], atol=1e-12)
+
+
+def test_list_datasets_finds_empty_and_spark_written_ones(spark, tmp_dir):
+    from themescope.sources import files as fs
+    open(f"{tmp_dir}/empty.csv", "w").close()
+    open(f"{tmp_dir}/a.csv", "w").write("id,text\n1,x\n")
+    open(f"{tmp_dir}/a_clustered.csv", "w").write("id,text\n1,x\n")
+    fs.write_csv(spark.range(3).withColumnRenamed("id", "n"), f"{tmp_dir}/b.csv")
+    assert sorted(r.dataset for r in fs.list_datasets(spark, tmp_dir).collect()) == ["a", "b", "empty"]
+
+
+def test_every_document_is_clustered(spark):
+    from themescope import fixtures as fx
+    from themescope.plans import catalog as cat
+    from tests.conftest import SF_SMALL
+    assert fx.clustered(spark, SF_SMALL).count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    from themescope.operators.ingest import dedup_first
+    assert cat.themed_posts(spark, SF_SMALL).count() == dedup_first(fx.posts(spark, SF_SMALL)).count()

@@ -217,3 +217,16 @@ def test_pair_operators_on_empty_and_single_row(spark):
     one = spark.createDataFrame([("a", [1.0, 0.0], 0)], "id STRING, embedding ARRAY<DOUBLE>, ord BIGINT")
     assert nn.similar_pairs(one, -1.0).count() == 0
     assert nn.similarity_band_counts(one).count() == 0
+
+
+def test_knn_ties_go_to_the_lowest_ids(spark):
+    """300 equal vectors: the three lowest other ids, whatever the block size."""
+    from themescope.operators.neighbours import knn_graph
+    df = spark.createDataFrame([(f"{i:03d}", [1.0, 2.0]) for i in range(300)], "id string, embedding array<double>")
+    for rows in (32, 300):
+        got = {}
+        for r in knn_graph(df, 3, block_rows=rows).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.nbr))
+        for i, nbrs in got.items():
+            assert [n for _, n in sorted(nbrs)] == [x for x in ("000", "001", "002", "003") if x != i][:3]
+        assert len(got) == 300

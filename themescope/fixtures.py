@@ -100,12 +100,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clustered(spark: SparkSession, sf_dir: str, with_embedding: bool = False) -> DataFrame:
-    """documents ⋈ embeddings (vec_id = doc_id) with cluster = label."""
+    """Every document with the vector and label of row doc_id % (number of vectors)."""
     d = documents_with_event(spark, sf_dir, ("doc_id", "text", "source", "lang"))
-    e = read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"),
-        *(["embedding"] if with_embedding else []))
-    j = d.join(e, "doc_id")
+    e = read_table(spark, sf_dir, "embeddings")
+    n_vectors = e.select(F.count(F.lit(1))).scalar()
+    e = e.select("vec_id", F.col("label").alias("cluster"), *(["embedding"] if with_embedding else []))
+    j = d.withColumn("vec_id", F.col("doc_id") % n_vectors).join(e, "vec_id")
     cols = [
         F.col("doc_id").cast("string").alias("id"), "text", "source", "lang",
         F.col("ts").cast("timestamp").alias("created_at"),

@@ -237,7 +237,7 @@ def report_lines(labels: DataFrame, report: DataFrame, topic: str) -> DataFrame:
     head = head.withColumn("line", F.when(F.col("line_no") == 0,
                                           F.concat(F.col("line"), F.upper(F.lit(topic))))
                            .otherwise(F.col("line")))
-    body_start = 1000
+    body_start = 1_000_000                                 # behind any number of clusters
     labels_l = labels.select((F.lit(5) + F.col("cluster")).cast("int").alias("line_no"),
                              F.format_string("  Cluster %d: %s", "cluster", "label").alias("line"))
     tail = spark.createDataFrame(

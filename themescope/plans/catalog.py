@@ -315,9 +315,9 @@ def q_report_prompt(spark, sf):
     SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
     SELECT * FROM (VALUES (0, 'OPINION DRIFT REPORT: ' || upper('{TOPIC}')), (1, repeat('=', 60)), (2, ''),
                           (3, 'CLUSTER LABELS'), (4, repeat('-', 30)),
-                          (996, ''), (997, ''), (998, 'STATE OF DISCOURSE'), (999, repeat('-', 30))) v(line_no, line)
+                          (999996, ''), (999997, ''), (999998, 'STATE OF DISCOURSE'), (999999, repeat('-', 30))) v(line_no, line)
     UNION ALL SELECT 5 + cluster, '  Cluster ' || CAST(cluster AS VARCHAR) || ': ' || label FROM labels
-    UNION ALL SELECT 1000 + generate_subscripts(parts, 1) - 1, unnest(parts) FROM (
+    UNION ALL SELECT 1000000 + generate_subscripts(parts, 1) - 1, unnest(parts) FROM (
       SELECT string_split('Across ' || CAST(total AS VARCHAR) || ' posts in ' || CAST(k AS VARCHAR)
         || ' themes, the most common view is "' || top.label || '" (' || CAST(top.pct AS VARCHAR) || '% of posts), e.g. "'
         || top.sample || '". The least common is "' || low.label || '" (' || CAST(low.pct AS VARCHAR)
@@ -714,17 +714,33 @@ def _summary_sql(src: str) -> tuple[str, str]:
 
 _THEMED = [
     ("dp", "SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1"),
-    ("pv", f"SELECT dp.*, {l2n('v.embedding')} AS v, v.embedding FROM dp JOIN vectors v USING (id)"),
+    ("pv", f"SELECT dp.*, {l2n('v.embedding')} AS v, v.embedding FROM dp JOIN vectors v "
+           "ON v.ord = CAST(dp.id AS BIGINT) % (SELECT count(*) FROM vectors)"),
     _assign_sql("pv", "centroids", "pa"),
     ("themed", "SELECT pv.id, pv.text, pv.ord, pv.score, pv.embedding, pa.cluster FROM pv JOIN pa USING (id)"),
 ]
 
 
 def themed_posts(spark, sf) -> DataFrame:
-    """Deduplicated posts joined to their vectors and assigned to the nearest centre."""
+    """Every deduplicated post with a vector (row id % number of vectors), assigned to the nearest centre."""
     posts = ing.dedup_first(fx.posts(spark, sf))
-    v = fx.vectors(spark, sf).select("id", "embedding")
-    return cl.assign_nearest(posts.join(v, "id"), cl.centres_literal(fx.centroids(spark, sf)))
+    v = fx.vectors(spark, sf)
+    keyed = posts.withColumn("vec", F.col("id").cast("long") % v.select(F.count(F.lit(1))).scalar())
+    v = v.select(F.col("ord").alias("vec"), "embedding")
+    return cl.assign_nearest(keyed.join(v, "vec").drop("vec"), cl.centres_literal(fx.centroids(spark, sf)))
+
+
+def _plane_sql(turn: str) -> str:
+    return (f"round(list_sum(list_transform(t.embedding, lambda e, i: CAST(e AS DOUBLE) * {turn}((i - 1) % {PLANE_TURN}))), 6)")
+
+
+PLANE_TURN = 7
+
+
+def plane(v, turn):
+    """One axis of a fixed plane: the dot product with turn(0), turn(1), .. turn(6), turn(0), .."""
+    return F.aggregate(F.transform(v, lambda e, i: e.cast("double") * turn((i % PLANE_TURN).cast("double"))),
+                       F.lit(0.0), lambda a, x: a + x)
 
 
 @register("theme_summary", sql("SELECT * FROM summary", "posts", "vectors", "centroids",
@@ -736,13 +752,12 @@ def q_theme_summary(spark, sf):
 @register("cluster_layout_join", sql("""
     SELECT t.id, t.cluster, 'Cluster ' || CAST(t.cluster AS VARCHAR) AS cluster_name,
            'Theme ' || CAST(t.cluster AS VARCHAR) AS label,
-           round(CAST(t.embedding[1] AS DOUBLE), 6) AS x, round(CAST(t.embedding[2] AS DOUBLE), 6) AS y,
+           """ + _plane_sql("cos") + " AS x, " + _plane_sql("sin") + """ AS y,
            substring(t.text, 1, 150) || '...' AS text_150, t.score
     FROM themed t""", "posts", "vectors", "centroids", extra=_THEMED))
 def q_cluster_layout_join(spark, sf):
     t = themed_posts(spark, sf)
-    layout = fx.vectors(spark, sf).select("id", _r(F.col("embedding")[0].cast("double")).alias("x"),
-                                          _r(F.col("embedding")[1].cast("double")).alias("y"))
+    layout = t.select("id", _r(plane("embedding", F.cos)).alias("x"), _r(plane("embedding", F.sin)).alias("y"))
     j = rp.label_lookup(t, fx.cluster_labels(t)).join(layout, "id")
     return j.select("id", "cluster", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")).alias("cluster_name"),
                     "label", "x", "y", tx.preview("text", rp.HOVER_CHARS_APP).alias("text_150"), "score")
@@ -754,20 +769,15 @@ STREAM_FILES = 4
 STREAM_DELAY = "31 days"   # longer than the fixture month: no fixture row is late
 
 
-@register("stream_ingest", sql("SELECT DISTINCT id FROM posts WHERE created_at > TIMESTAMP '1970-01-01'",
-                               "posts"))
+@register("stream_ingest", sql("SELECT DISTINCT id FROM posts", "posts"))
 def q_stream_ingest(spark, sf):
-    """Hits landed as JSON page files → streaming posts → dedup within the watermark.
-
-    A post without a time gets 1970-01-01, which is at or behind the first
-    watermark (0): the stream drops it as late, as it should.  An id with a
-    timed copy survives through that copy.
-    """
+    """Hits landed as JSON page files → streaming posts → dedup within the watermark
+    on the landing time: posts without a time of their own are kept."""
     root = scratch_path(spark, "stream-ingest")
     pages = hs.pages_as_json(fx.hits(spark, sf))
     pages.repartition(STREAM_FILES).write.mode("overwrite").text(f"{root}/in")
     posts = st.dedup_stream(st.ingest_stream(spark, f"{root}/in"), STREAM_DELAY)
-    st.run_available_now(posts.select("id", "created_at"), f"{root}/out", f"{root}/chk")
+    st.run_available_now(posts.select("id", "landed_at"), f"{root}/out", f"{root}/chk")
     return spark.read.parquet(f"{root}/out").select("id")
 
 

@@ -88,7 +88,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT CAST(de.doc_id AS VARCHAR) AS id, de.text, de.source, de.lang,
                de.ts AS created_at, CAST(floor(de.value) AS BIGINT) AS score,
                de.doc_id AS ord, e.label AS cluster, e.embedding
-        FROM de JOIN embeddings e ON e.vec_id = de.doc_id"""),
+        FROM de JOIN embeddings e ON e.vec_id = de.doc_id % (SELECT count(*) FROM embeddings)"""),
     "labels": (("clustered",), """
         SELECT DISTINCT cluster, 'Theme ' || CAST(cluster AS VARCHAR) AS label FROM clustered"""),
     "centroids": ((), """

@@ -159,9 +159,11 @@ def cluster_phase(spark: SparkSession, posts_path: str, vectors_path: str, k: in
 
 def report_phase(spark: SparkSession, clustered_folder: str, topic: str, report_path: str,
                  labeler: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
-    """Every ``*_clustered.csv`` of a folder → labels → report file lines."""
+    """The topic's ``*_clustered.csv`` in a folder → labels → report file lines.
+    Other datasets of the folder take no part."""
     rp.require_topic(topic)
-    clustered = fs.read_clustered(spark, clustered_folder).withColumn("ord", F.monotonically_increasing_id())
+    clustered = (fs.read_clustered(spark, clustered_folder).where(F.col("dataset") == dataset_key(F.lit(topic)))
+                 .withColumn("ord", F.monotonically_increasing_id()))
     if labeler is not None:
         labels = en.apply_labeler(rp.label_prompts(rp.cluster_samples(clustered)), labeler) \
             .select("cluster", "label")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,12 +40,29 @@ def get_spark(master: str | None = None, app: str = "themescope",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings themescope needs to an existing session."""
+    """Apply the runtime SQL settings themescope needs to an existing session,
+    and ship the package to its Python workers."""
     for k, v in SESSION_CONF.items():
         spark.conf.set(k, v)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers (once a context), so that Python
+    operators run whatever folder the driver was started in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_themescope_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="themescope-ship-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(path))
+    sc._themescope_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -38,11 +38,14 @@ def read_clustered(spark: SparkSession, folder: str) -> DataFrame:
 
 def list_datasets(spark: SparkSession, folder: str, suffix: str = ".csv",
                   exclude_suffix: str = CLUSTERED_SUFFIX) -> DataFrame:
-    """Dataset names in a folder of landed CSV files; outputs are excluded."""
-    df = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder)
-    names = df.select(F.col("_metadata.file_name").alias("file")).distinct()
-    return (names.where(~F.col("file").endswith(exclude_suffix))
-            .select(F.expr(f"substr(file, 1, length(file) - {len(suffix)})").alias("dataset")))
+    """Dataset names in a folder of landed CSV files, empty ones and folders that
+    Spark wrote included; outputs are excluded.  Only the folder is listed, no
+    file is opened (Spark's readers leave out empty files)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(e.getPath().getName() for e in entries)
+    return spark.createDataFrame([(n[:-len(suffix)],) for n in names if n.endswith(suffix) and not n.endswith(exclude_suffix)],
+                                 "dataset string")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

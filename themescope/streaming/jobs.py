@@ -21,19 +21,21 @@ from themescope.sources.hits import flatten_pages, hits_to_posts
 
 
 def ingest_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Landed JSON response pages → post rows, as a stream (STR-1)."""
+    """Landed JSON response pages → post rows, as a stream (STR-1), with the
+    time of the micro-batch that read them as ``landed_at``."""
     reader = spark.readStream.schema(schemas.RESPONSE_PAGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return hits_to_posts(flatten_pages(reader.json(path)))
+    return hits_to_posts(flatten_pages(reader.json(path))).withColumn("landed_at", F.current_timestamp())
 
 
 def dedup_stream(posts: DataFrame, delay: str = "1 day", key: str = "id",
-                 ts: str = "created_at") -> DataFrame:
+                 ts: str = "landed_at") -> DataFrame:
     """Drop repeated ids while their first copy is within the watermark (STR-2).
 
-    State per id is evicted once the watermark passes, so state stays bounded
-    by the ids seen within ``delay`` of the newest event.
+    The watermark is on the landing time, never on ``created_at``: a post that
+    has no time, or an old one, is not late.  State per id is evicted once the
+    watermark passes, so it stays bounded by the ids landed within ``delay``.
     """
     return posts.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
