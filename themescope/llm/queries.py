@@ -21,6 +21,5 @@ ORACLE_SQL = {
     "op5_norm_sorted_search": topk.ORACLE,
     "op6_cover_tree": covertree.ORACLE,
     "op8_source_schedule": mixing.ORACLE,
-    "op9_importance_resampling": quality.query,
     "op10_chat_format": chat.ORACLE,
 }
