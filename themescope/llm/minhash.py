@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
               .repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "node"))
     with arrow_rows(spark, 512):
         more = written(groups.mapInArrow(_group_links(threshold, idf), "a long, b long"), "more-links")
-    classes = components(links.unionByName(more))
+    # The classes found so far are stars already: what is left is to join them.
+    classes = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     of_key = (nodes.select("key", "node").join(classes, "node", "left")
               .select("key", F.coalesce("component", "node").alias("class_id")))
