@@ -21,8 +21,6 @@ from themescope.operators import blocks
 # Upper bound on k·d inlined into a plan as a literal (8 bytes each): 8 MB.
 MAX_CENTRE_CELLS = 1_000_000
 MAX_CENTRES = 4096
-# K-Means starts share their passes over the data above this feature-table size.
-SHARED_PASS_BYTES = 256 * 1024 * 1024
 
 
 def centroids_from_labels(df: DataFrame, label_col: str = "cluster",
@@ -131,145 +129,28 @@ def _fit_all(feats: DataFrame, specs: list[tuple[int, int]], max_iter: int, tol:
 
 def kmeans_fit(df: DataFrame, k: int, n_init: int = 10, seed: int = 42,
                max_iter: int = 300, tol: float = 1e-4, vec_col: str = "embedding",
-               id_col: str = "id", parallelism: int = 10, shared_passes: bool | None = None):
+               id_col: str = "id", parallelism: int = 10):
     """Best of ``n_init`` K-Means starts (seeds seed..seed+n_init-1) on
-    L2-normalised vectors, by training cost (ties → lower seed).
-
-    Every start is initialised by Spark ML (k-means||, concurrent fits).  With
-    ``shared_passes`` the Lloyd iterations of all starts then run together —
-    one pass over the data per iteration for all starts (see
-    ``lloyd_shared``) — and the result is a list of centre rows; otherwise
-    each start is a full Spark ML fit and the result is its model.
-    Returns (model or centre rows, cost); ``kmeans_labels`` accepts both.
-
-    ``shared_passes=None`` chooses by the size of the feature table: above
-    ``SHARED_PASS_BYTES`` the job is bound by passes over the data and the
-    starts share them; below it, concurrent Spark ML fits over the cached
-    table finish sooner (latency-bound).
+    L2-normalised vectors, by training cost (ties → lower seed).  Every start
+    is a Spark ML fit (k-means||, concurrent) at every size.  Returns (model,
+    cost).
     """
     feats = normalized_features(df.select(id_col, vec_col), vec_col).select(id_col, "features").persist()
     try:
-        specs = [(k, seed + i) for i in range(n_init)]
-        # one pass fills the cache (and sizes the table) before concurrent fits start
-        n, dim = feats.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
-        if shared_passes is None:
-            shared_passes = (n or 0) * (dim or 0) * 8 > SHARED_PASS_BYTES
-        if not shared_passes:
-            fits = _fit_all(feats, specs, max_iter, tol, parallelism)
-            best = min(fits, key=lambda f: (f[3], f[1]))
-            return best[2], best[3]
-        inits = _fit_all(feats, specs, 1, tol, parallelism)
-        starts = [[{"cluster": c, "center": [float(x) for x in v]} for c, v in enumerate(m.clusterCenters())]
-                  for _, _, m, _ in inits]
-        vecs = feats.select(vector_to_array("features").alias("v"))
-        runs, costs = lloyd_shared(vecs, starts, max_iter - 1, tol)
-        best = min(range(len(runs)), key=lambda r: (costs[r], r))
-        return runs[best], costs[best]
+        feats.count()                                  # fills the cache before concurrent fits start
+        fits = _fit_all(feats, [(k, seed + i) for i in range(n_init)], max_iter, tol, parallelism)
     finally:
         feats.unpersist()
-
-
-_STEP_SCHEMA = T.StructType([
-    T.StructField("run", T.IntegerType()), T.StructField("cluster", T.IntegerType()),
-    T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
-    T.StructField("cost", T.DoubleType()),
-])
-
-
-def _shared_step(vecs: DataFrame, runs: list[list[dict]]) -> DataFrame:
-    """Per (run, cluster): member count, vector sum and cost of one assignment
-    of every row to its nearest centre in every run.
-
-    Arrow batches meet all runs' centres (a broadcast of k·runs rows, size
-    checked) in one matrix product; each batch emits only k·runs partial-sum
-    rows, which a partial/final aggregate folds.  Ties → lowest cluster id.
-    """
-    k = max(len(cs) for cs in runs)
-    d = len(runs[0][0]["center"])
-    if k * d * len(runs) > MAX_CENTRE_CELLS:
-        raise ValueError("centres of all starts too large to broadcast")
-    cents = np.full((len(runs), k, d), np.inf)
-    for r, cs in enumerate(runs):
-        for c in cs:
-            cents[r, c["cluster"]] = c["center"]
-    bc = vecs.sparkSession.sparkContext.broadcast(cents)
-
-    def kernel(batches):
-        C = bc.value
-        R, K, D = C.shape
-        flat = np.where(np.isfinite(C), C, 0.0).reshape(R * K, D)
-        cn = np.where(np.isfinite(C[..., 0]), (flat * flat).sum(1).reshape(R, K), np.inf)
-        sums, cnt, cost = np.zeros((R, K, D)), np.zeros((R, K), np.int64), np.zeros((R, K))
-        for b in batches:
-            if len(b) == 0:
-                continue
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in b["v"]])
-            d2 = (X * X).sum(1)[:, None, None] + cn[None] - 2.0 * (X @ flat.T).reshape(len(X), R, K)
-            d2 = np.maximum(d2, 0.0)
-            lab = d2.argmin(axis=2)                                  # (B, R), first minimum
-            rows = np.arange(len(X))
-            for r in range(R):
-                np.add.at(sums[r], lab[:, r], X)
-                np.add.at(cost[r], lab[:, r], d2[rows, r, lab[:, r]])
-                cnt[r] += np.bincount(lab[:, r], minlength=K)
-        rr, cc = np.nonzero(cnt)
-        yield pd.DataFrame({"run": rr.astype("int32"), "cluster": cc.astype("int32"), "n": cnt[rr, cc],
-                            "s": list(sums[rr, cc]), "cost": cost[rr, cc]})
-
-    part = vecs.select("v").mapInPandas(kernel, _STEP_SCHEMA)
-    return part.groupBy("run", "cluster").agg(
-        F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("_s"), F.sum("cost").alias("cost"))
-
-
-def lloyd_shared(vecs: DataFrame, starts: list[list[dict]], max_iter: int, tol: float,
-                 max_k: int = MAX_CENTRES) -> tuple[list[list[dict]], list[float]]:
-    """Lloyd iterations for several starts at once over ``vecs`` (column ``v``,
-    already normalised).  Each iteration is one pass over the data for all
-    still-moving starts (``_shared_step``); a start stops when no centre moved
-    more than ``tol``; an emptied cluster keeps its centre.  Returns the final
-    centres and each start's inertia against them."""
-    runs = [list(cs) for cs in starts]
-    active = list(range(len(runs)))
-
-    def step(which):
-        out = _shared_step(vecs, [runs[r] for r in which]).select(
-            "run", "cluster", "n", vector_to_array("_s").alias("s"), "cost")
-        return collect_small(out, max_k * len(which), "centres of all starts")
-
-    for _ in range(max(0, max_iter)):
-        if not active:
-            break
-        rows = step(active)
-        still = []
-        for pos, r in enumerate(active):
-            new = {c["cluster"]: list(c["center"]) for c in runs[r]}
-            for row in rows:
-                if row["run"] == pos:
-                    new[row["cluster"]] = [x / row["n"] for x in row["s"]]
-            moved = max(float(np.sqrt(np.sum((np.asarray(new[c["cluster"]]) - np.asarray(c["center"])) ** 2)))
-                        for c in runs[r])
-            runs[r] = [{"cluster": c, "center": new[c]} for c in sorted(new)]
-            if moved > tol:
-                still.append(r)
-        active = still
-    costs = [0.0] * len(runs)
-    for row in step(list(range(len(runs)))):
-        costs[row["run"]] += float(row["cost"])
-    return runs, costs
+    best = min(fits, key=lambda f: (f[3], f[1]))
+    return best[2], best[3]
 
 
 def kmeans_labels(df: DataFrame, model, vec_col: str = "embedding", id_col: str = "id") -> DataFrame:
-    """Apply a fitted model (Spark ML model or centre rows), then relabel
-    clusters stably: by size descending, then by smallest member id (ids are
-    arbitrary otherwise)."""
-    if isinstance(model, list):
-        raw = assign_nearest(df, centres_literal(model), vec_col, out="raw_cluster").drop("sq_dist")
-        k = len(model)
-    else:
-        raw = model.transform(normalized_features(df, vec_col)).drop("features")
-        k = model.getK()
+    """Apply a fitted model, then relabel clusters stably: by size descending,
+    then by smallest member id (ids are arbitrary otherwise)."""
+    raw = model.transform(normalized_features(df, vec_col)).drop("features")
     stats = raw.groupBy("raw_cluster").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("m"))
-    rows = collect_small(stats, k, "cluster sizes")
+    rows = collect_small(stats, model.getK(), "cluster sizes")
     order = sorted(rows, key=lambda r: (-r["n"], r["m"]))
     mapping = F.create_map(*[x for new, r in enumerate(order)
                              for x in (F.lit(int(r["raw_cluster"])), F.lit(new))])
@@ -278,27 +159,13 @@ def kmeans_labels(df: DataFrame, model, vec_col: str = "embedding", id_col: str
 
 def elbow_curve(df: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42,
                 vec_col: str = "embedding", max_iter: int = 300, tol: float = 1e-4,
-                parallelism: int = 8, shared_passes: bool | None = None) -> list[tuple[int, float]]:
-    """(k, best inertia over ``n_init`` starts) for k = 2..max_k.
-
-    With shared passes (chosen as in ``kmeans_fit``) all (k, seed) starts —
-    different k included — advance together, one pass per iteration.
-    """
+                parallelism: int = 8) -> list[tuple[int, float]]:
+    """(k, best inertia over ``n_init`` starts) for k = 2..max_k."""
     feats = normalized_features(df.select(vec_col), vec_col).select("features").persist()
     try:
         specs = [(k, seed + i) for k in range(2, max_k + 1) for i in range(n_init)]
-        n, dim = feats.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
-        if shared_passes is None:
-            shared_passes = (n or 0) * (dim or 0) * 8 > SHARED_PASS_BYTES
-        if shared_passes:
-            inits = _fit_all(feats, specs, 1, tol, parallelism)
-            starts = [[{"cluster": c, "center": [float(x) for x in v]} for c, v in enumerate(m.clusterCenters())]
-                      for _, _, m, _ in inits]
-            _, costs = lloyd_shared(feats.select(vector_to_array("features").alias("v")), starts,
-                                    max_iter - 1, tol)
-            fits = [(k, sd, None, c) for (k, sd), c in zip(specs, costs)]
-        else:
-            fits = _fit_all(feats, specs, max_iter, tol, parallelism)
+        feats.count()                                  # fills the cache before concurrent fits start
+        fits = _fit_all(feats, specs, max_iter, tol, parallelism)
     finally:
         feats.unpersist()
     best: dict[int, float] = {}
