@@ -68,3 +68,16 @@ def test_phase_by_phase_over_files(spark, tmp_dir):
     text = [r.line for r in lines.orderBy("line_no").collect()]
     assert text[0] == "OPINION DRIFT REPORT: AI HYPE"
     assert sum(t.startswith("  Cluster ") for t in text) == 3 and text[-1].startswith("Across ")
+
+
+def test_clustered_file_keeps_arrival_order(spark, tmp_dir):
+    from themescope.sources import files as fs
+    rows = [(f"p{i}", f"text {i}", "s", "p", None, i, "u", i % 2, i) for i in range(40)]
+    schema = "id string, text string, source string, platform string, created_at timestamp, score long, url string, cluster int, ord long"
+    path = os.path.join(tmp_dir, "cats_clustered.csv")
+    fs.write_csv(spark.createDataFrame(rows, schema).orderBy("id").repartition(3, "id"), path)
+    assert {r.id: r.ord for r in fs.read_clustered(spark, tmp_dir).collect()} == {f"p{i}": i for i in range(40)}
+    # a file of another writer has no such column: its row order counts
+    fs.write_csv(spark.createDataFrame(rows, schema).coalesce(1).drop("ord"), os.path.join(tmp_dir, "dogs_clustered.csv"))
+    dogs = fs.read_clustered(spark, tmp_dir).where("dataset = 'dogs'").orderBy("ord").collect()
+    assert [r.id for r in dogs] == [f"p{i}" for i in range(40)]

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themescope import schemas
 from themescope.functions.text import dataset_key
 from themescope.operators import cluster as cl
 from themescope.operators import encode as en
@@ -144,17 +145,15 @@ def embed_phase(spark: SparkSession, posts_path: str, vectors_path: str,
 def cluster_phase(spark: SparkSession, posts_path: str, vectors_path: str, k: int,
                   clustered_path: str, max_k: int = 10, n_init: int = N_INIT, seed: int = SEED):
     """posts CSV + vectors → elbow curve, cluster profile, clustered CSV.
-    Returns (elbow rows, profile DataFrame).  Arrival order of the re-read
-    CSV is its row order (``monotonically_increasing_id`` over the splits)."""
-    posts = fs.read_posts_csv(spark, posts_path)
+    Returns (elbow rows, profile DataFrame).  Arrival order is the row order of
+    the posts CSV, taken at its scan and kept as column ``ord`` of the output."""
+    posts = fs.read_posts_csv(spark, posts_path).withColumn("ord", F.monotonically_increasing_id())
     vecs = spark.read.parquet(vectors_path).select("id", "embedding")
     curve = cl.elbow_curve(vecs, max_k=max_k, n_init=n_init, seed=seed)
     model, _ = cl.kmeans_fit(vecs, k, n_init=n_init, seed=seed)
     clustered = posts.join(cl.kmeans_labels(vecs, model).select("id", "cluster"), "id")
-    fs.write_csv(clustered.drop("ord"), clustered_path)
-    stored = fs.read_posts_csv(spark, clustered_path, with_cluster=True).withColumn(
-        "ord", F.monotonically_increasing_id())
-    return curve, rp.cluster_profile(stored, k)
+    fs.write_csv(clustered.select(*schemas.CLUSTERED.names), clustered_path)
+    return curve, rp.cluster_profile(fs.read_posts_csv(spark, clustered_path, with_cluster=True), k)
 
 
 def report_phase(spark: SparkSession, clustered_folder: str, topic: str, report_path: str,
@@ -162,8 +161,7 @@ def report_phase(spark: SparkSession, clustered_folder: str, topic: str, report_
     """The topic's ``*_clustered.csv`` in a folder → labels → report file lines.
     Other datasets of the folder take no part."""
     rp.require_topic(topic)
-    clustered = (fs.read_clustered(spark, clustered_folder).where(F.col("dataset") == dataset_key(F.lit(topic)))
-                 .withColumn("ord", F.monotonically_increasing_id()))
+    clustered = fs.read_clustered(spark, clustered_folder).where(F.col("dataset") == dataset_key(F.lit(topic)))
     if labeler is not None:
         labels = en.apply_labeler(rp.label_prompts(rp.cluster_samples(clustered)), labeler) \
             .select("cluster", "label")

@@ -49,7 +49,8 @@ CENTROID = T.StructType([
     T.StructField("center", T.ArrayType(T.DoubleType())),
 ])
 
-CLUSTERED = T.StructType(POST.fields + [T.StructField("cluster", T.IntegerType())])
+# ``ord`` is the arrival order; files of other writers may lack this last column.
+CLUSTERED = T.StructType(POST.fields + [T.StructField("cluster", T.IntegerType()), T.StructField("ord", T.LongType())])
 
 LAYOUT = T.StructType([
     T.StructField("id", T.StringType()),

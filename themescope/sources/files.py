@@ -18,8 +18,14 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true"}
 
 def read_posts_csv(spark: SparkSession, path: str, with_cluster: bool = False) -> DataFrame:
     """Header CSV as written by pandas (quotes doubled), with an explicit schema."""
-    schema = schemas.CLUSTERED if with_cluster else schemas.POST
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    if not with_cluster:
+        return spark.read.schema(schemas.POST).options(**CSV_OPTIONS).csv(path)
+    return _in_order(spark.read.schema(schemas.CLUSTERED).options(**CSV_OPTIONS).csv(path))
+
+
+def _in_order(clustered: DataFrame) -> DataFrame:
+    """Rows of a file without ``ord`` arrive in its row order."""
+    return clustered.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -33,7 +39,7 @@ def read_clustered(spark: SparkSession, folder: str) -> DataFrame:
     df = spark.read.schema(schemas.CLUSTERED).options(**CSV_OPTIONS).csv(
         f"{folder.rstrip('/')}/*{CLUSTERED_SUFFIX}")
     path = F.col("_metadata.file_path")
-    return df.withColumn("dataset", F.regexp_extract(path, r"([^/]+)_clustered\.csv(/[^/]+)?$", 1))
+    return _in_order(df.withColumn("dataset", F.regexp_extract(path, r"([^/]+)_clustered\.csv(/[^/]+)?$", 1)))
 
 
 def list_datasets(spark: SparkSession, folder: str, suffix: str = ".csv",
