@@ -14,11 +14,20 @@ from pyspark.sql import functions as F
 
 from themescope.sources.hits import MIN_TEXT_CHARS
 
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 def first_n_per_group(df: DataFrame, group: str | list[str], n: int,
                       order: list | None = None, rank_col: str | None = None) -> DataFrame:
-    """Rows with the ``n`` smallest ``order`` values in each group."""
+    """Rows with the ``n`` smallest ``order`` values in each group.
+
+    Spark cuts groups before the shuffle only up to a threshold of ``n``; the
+    session's is raised to ``n`` where it is lower.
+    """
     group = [group] if isinstance(group, str) else list(group)
+    conf = df.sparkSession.conf
+    if n > int(conf.get(GROUP_LIMIT_CONF, "1000")):
+        conf.set(GROUP_LIMIT_CONF, str(n))
     w = Window.partitionBy(*group).orderBy(*(order or ["ord"]))
     rc = rank_col or "_rn"
     out = df.withColumn(rc, F.row_number().over(w)).where(F.col(rc) <= n)
