@@ -557,14 +557,11 @@ def q_fuzzy_edges(spark, sf):
     return nn.fuzzy_edges(g, KNN_K).select("src", "dst", _r(F.col("weight")).alias("weight"))
 
 
-LAYOUT_EPOCHS = 50     # registered run; layout_epochs defaults to 200
-
-
 @register("layout_2d", None)
 def q_layout_2d(spark, sf):
     v = fx.vectors(spark, sf)
     edges = nn.fuzzy_edges(nn.knn_graph(v, KNN_K), KNN_K)
-    return lo.layout_epochs(edges, nn.project_2d(v), epochs=LAYOUT_EPOCHS)
+    return lo.layout_epochs(edges, nn.project_2d(v))
 
 
 @register("project_2d", None)
