@@ -345,6 +345,46 @@ def test_quality(spark, docs, nothing):
     assert all(r.selected == bool((r.text or "").strip()) for r in quality.resampled(docs, labels.where("false")).collect())
 
 
+@pytest.fixture(scope="module")
+def held_out_recall(spark):
+    """(dropped, all) of labelled documents that the model did not see, by kind and language or length."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(5)) == 0
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").otherwise("junk")
+    size = F.when(F.size(F.split("text", r"\s+")) >= 1000, "long").otherwise("short")
+    got = (quality.resampled(docs, labels.where(~out)).join(labels.where(out), "doc_id")
+           .select(kind.alias("kind"), F.explode(F.array("lang", size)).alias("of"), "selected")
+           .groupBy("kind", "of").agg(F.sum(F.when(F.col("selected"), 0).otherwise(1)), F.count(F.lit(1))).collect())
+    return {(r[0], r[1]): (r[2], r[3]) for r in got}
+
+
+def test_clean_documents_outside_the_fit_stay(held_out_recall):
+    for of in ("en", "de", "fr", "es", "short", "long"):
+        dropped, n = held_out_recall["clean", of]
+        assert n > 20 and dropped <= max(2, 0.02 * n), of
+    assert sum(held_out_recall["junk", of][0] for of in ("short", "long")) >= 0.9 * sum(held_out_recall["junk", of][1] for of in ("short", "long"))
+
+
+def test_levels_of_small_groups(spark):
+    rows = [("a", 2, i / 1000) for i in range(1000)] + [("a", 3, -5.0), ("b", 2, -1.0)]
+    levels = quality.Levels(spark.createDataFrame(rows, "_lang string, _size int, x double"), "x")
+    new = spark.createDataFrame([("a", 2, 0.0), ("a", 3, 0.0), ("b", 2, 0.0), ("b", 3, 0.0), ("c", 5, 0.0)], "_lang string, _size int, x double")
+    got = {(r._lang, r._size): round(quality.TEMPERATURE - r.x, 9) for r in levels.relative(new, "x").collect()}
+    one = {k: sorted(x for la, si, x in rows if k in (la, si, ""))[max(0, int(np.ceil(quality.TAIL * sum(k in (la, si, "") for la, si, _ in rows))) - 1)]
+           for k in ("a", "b", 2, 3, "")}
+    assert got == {("a", 2): sorted(i / 1000 for i in range(1000))[int(np.ceil(quality.TAIL * 1000)) - 1], ("a", 3): min(one["a"], one[3]),
+                   ("b", 2): min(one["b"], one[2]), ("b", 3): min(one["b"], one[3]), ("c", 5): sorted(x for *_, x in rows)[int(np.ceil(quality.TAIL * 1002)) - 1]}
+
+
+def test_sample_is_spread_over_groups(spark):
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 300, "es").otherwise("en").alias("_lang"), F.lit(2).alias("_size"))
+    got = [r.doc_id for r in quality.stratified(ids, 1000).collect()]
+    assert 200 <= sum(i < 300 for i in got) and len(got) <= 1100
+    assert quality.stratified(ids, 40_000).count() == 20_000
+
+
 def test_log_weight_is_the_weakest_passage():
     ratios = np.random.default_rng(0).normal(size=2 * quality.CELLS).astype(np.float32)
     ratios[quality.CELLS] = 0

@@ -26,9 +26,11 @@ PASSAGE = 8
 BIGRAM_SHARE = 0.3
 #: Pseudo-count of a cell, in words of the target sample.
 PRIOR = 2.0
-#: Labelled target documents that the target model and the level are fitted on, at most.
+#: Labelled target documents that the target model is fitted on, at most (in expectation).
 SAMPLE_ROWS = 20_000
-#: Share of target documents below the level that counts the documents to keep.
+#: Folds of that sample: a document of it is scored by a model without its fold.
+FOLDS = 5
+#: Share of target documents outside the fit below the level that counts the documents to keep.
 TAIL = 0.002
 #: Weights are sharpened by this before the Gumbel noise is added.
 TEMPERATURE = 0.1
@@ -110,6 +112,10 @@ def weighted(docs: DataFrame, ratios, rest: list[str]) -> DataFrame:
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields[1:], T.StructField("log_weight", T.DoubleType())]))
 
 
+def has_word():
+    return F.coalesce(F.col("text").rlike(r"[^\s]"), F.lit(False))
+
+
 def _kth_largest(rows: DataFrame, k: int, key: str) -> float:
     """The k-th largest key.  Counts per bin of the key, then per bin of bins,
     find the bin it is in; only that bin is sorted."""
@@ -126,49 +132,118 @@ def _kth_largest(rows: DataFrame, k: int, key: str) -> float:
     return edge.agg(F.min(key)).first()[0]
 
 
+def with_group(docs: DataFrame) -> DataFrame:
+    """docs with the group that its level is for: ``lang``, where there is such
+    a column, and the length in characters as a power of ten."""
+    size = F.floor(F.log10(F.greatest(F.length("text"), F.lit(100)))).cast("int")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    return docs.withColumns({"_lang": lang, "_size": F.coalesce(F.least(size, F.lit(5)), F.lit(2))})
+
+
+def stratified(ids: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of ids (doc_id, _lang, _size), all where there are at most
+    half as many: one half by the share of a group, the other even over groups."""
+    groups = ids.groupBy("_lang", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    total, n_groups = groups.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    share = rows / 2 * (1 / max(total or 0, 1) + 1 / (max(n_groups, 1) * F.col("_n")))
+    u = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    return ids.join(F.broadcast(groups), ["_lang", "_size"]).where(u < share).select("doc_id").distinct()
+
+
+class Levels:
+    """TAIL quantile of a score by group, from the scores of target documents
+    outside the fit (_lang, _size, score), less the scale of the noise.
+
+    A group of at least 1 / TAIL such documents has its own level; others take
+    the lower one of all documents of their language and of their length."""
+
+    def __init__(self, held_out: DataFrame, score: str):
+        # Exact up to a million rows of a group.
+        level = F.percentile_approx(score, F.lit(TAIL), F.lit(1_000_000))
+        cube = written(held_out.cube("_lang", "_size").agg(
+            F.grouping_id().cast("int").alias("kind"), F.count(score).alias("n"), level.alias("level")), "levels")
+        self.own = cube.where((F.col("kind") == 0) & (F.col("n") >= 1 / TAIL)).select("_lang", "_size", F.col("level").alias("_own"))
+        self.lang = cube.where("kind = 1").select("_lang", F.col("level").alias("_of_lang"))
+        self.size = cube.where("kind = 2").select("_size", F.col("level").alias("_of_size"))
+        top = cube.where("kind = 3").select("level").first()
+        self.all = top[0] if top and top[0] is not None else None
+
+    def relative(self, rows: DataFrame, score: str) -> DataFrame:
+        """rows (_lang, _size, score, ...) with the score less the level of their group."""
+        if self.all is None:
+            return rows
+        for part, on in ((self.own, ["_lang", "_size"]), (self.lang, ["_lang"]), (self.size, ["_size"])):
+            rows = rows.join(F.broadcast(part), on, "left")
+        level = F.coalesce("_own", F.least("_of_lang", "_of_size"), F.lit(self.all))
+        return rows.withColumn(score, F.col(score) - level + TEMPERATURE).drop("_own", "_of_lang", "_of_size")
+
+
 class Resampler:
-    """Model and cut of one corpus, fitted on docs (doc_id, text) and labels
-    (doc_id, quality, toxic).
+    """Model and cut of one corpus, fitted on docs (doc_id, text, and lang where
+    there is one) and labels (doc_id, quality, toxic).
 
-    Target: quality 1, toxic not 1; its model and the level are fitted on the
-    ``SAMPLE_ROWS`` such documents of least hash.  The raw model is fitted on
-    all documents.  As many documents are drawn as reach the level, the TAIL
-    quantile of the sample's weights: those with the largest
+    Target: quality 1, toxic not 1.  The target model is fitted on about
+    ``SAMPLE_ROWS`` such documents at most, spread over languages and lengths;
+    the raw model on all documents.  Weights are relative to a level by group
+    (``Levels``), taken from all target documents: those of the sample are
+    scored by a model without their fold, the others are no part of the fit.
+    As many documents are drawn as reach their level: those with the largest
     log_weight / TEMPERATURE + Gumbel noise, the noise a hash of id and text.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         spark = docs.sparkSession
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        rows = with_group(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select("doc_id", "text", "_lang", "_size")
         good = (labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1) & F.col("doc_id").isNotNull())
-                .select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-                .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(SAMPLE_ROWS))
-        # At most SAMPLE_ROWS ids, so they can be broadcast.
-        sample = written(rows.join(F.broadcast(good), "doc_id", "left_semi").select("text"), "target-sample")
-        self.ratios = spark.sparkContext.broadcast(log_ratios(ngram_counts(sample), ngram_counts(rows)))
-        level = (weighted(sample.withColumn("one", F.lit(1)), self.ratios, ["one"])
-                 .agg(F.percentile("log_weight", F.lit(TAIL))).first()[0])
-        scored = written(self.scored(rows, ["doc_id"]).where("gumbel_key IS NOT NULL"), "weights")
-        k = scored.where(F.col("log_weight") >= (level if level is not None else float("-inf"))).count()
+                .select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+        labelled = written(rows.select("doc_id", "_lang", "_size").join(good, "doc_id", "left_semi"), "target-groups")
+        chosen = written(stratified(labelled, SAMPLE_ROWS), "target-ids")
+        fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS))
+        # About SAMPLE_ROWS ids, so they can be broadcast.
+        sample = written(rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("_fold", fold), "target-sample")
+        few = max(1, sample.rdd.getNumPartitions() // FOLDS)
+        parts = [sample.where(F.col("_fold") == f).coalesce(few) for f in range(FOLDS)]
+        raw, targets = ngram_counts(rows), [ngram_counts(p) for p in parts]
+        target = sum(targets)
+        self.ratios = spark.sparkContext.broadcast(log_ratios(target, raw))
+        group = ["_lang", "_size"]
+        scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
+        held_out = scored.join(good, "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti").select(*group, "log_weight")
+        for part, own in zip(parts, targets):
+            # Counted up to the whole sample: pseudo-counts weigh as much as in the model of all folds.
+            others = target - own
+            without = spark.sparkContext.broadcast(log_ratios(others * (target.sum() / max(others.sum(), 1)), raw))
+            held_out = held_out.unionByName(written(
+                weighted(part.where(has_word()), without, group), "fold-weights"))
+            without.unpersist()
+        self.levels = Levels(held_out, "log_weight")
+        scored = written(self.keyed(scored), "keys")
+        k = scored.where("log_weight >= 0").count() if self.levels.all is not None else scored.count()
         self.cut = _kth_largest(scored, k, "gumbel_key") if k else float("inf")
 
-    def scored(self, docs: DataFrame, rest: list[str]) -> DataFrame:
-        """(*rest, log_weight, gumbel_key) of docs (doc_id, text, *rest)."""
+    def noisy(self, docs: DataFrame, rest: list[str]) -> DataFrame:
+        """(*rest, log_weight, _noise) of docs (doc_id, text, *rest); no noise where there is no word."""
         u = (F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        word = F.coalesce(F.col("text").rlike(r"[^\s]"), F.lit(False))
-        rows = docs.select("text", F.when(word, -F.log(-F.log(u))).alias("_noise"), F.struct(*rest).alias("_row"))
+        rows = docs.select("text", F.when(has_word(), -F.log(-F.log(u))).alias("_noise"), F.struct(*rest).alias("_row"))
         out = weighted(rows, self.ratios, ["_row", "_noise"])
-        return out.select(*[F.col("_row")[c].alias(c) for c in rest],
-                          F.when(F.col("_noise").isNotNull(), F.col("log_weight")).alias("log_weight"),
-                          (F.col("log_weight") / TEMPERATURE + F.col("_noise")).alias("gumbel_key"))
+        return out.select(*[F.col("_row")[c].alias(c) for c in rest], "log_weight", "_noise")
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """rows (_lang, _size, log_weight, _noise, ...) with weights relative to the level, and keys."""
+        rows = self.levels.relative(rows, "log_weight").withColumn("gumbel_key", F.col("log_weight") / TEMPERATURE + F.col("_noise"))
+        return rows.withColumn("log_weight", F.when(F.col("_noise").isNotNull(), F.col("log_weight")))
+
+    def scored(self, docs: DataFrame, rest: list[str]) -> DataFrame:
+        """(*rest, log_weight, gumbel_key) of docs (doc_id, text, *rest)."""
+        rows = self.noisy(with_group(docs), [*rest, "_lang", "_size"])
+        return self.keyed(rows).select(*rest, "log_weight", "gumbel_key")
 
 
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with log_weight, gumbel_key and selected (see ``Resampler``).
 
     A text that is null, empty or blank is never drawn, its log_weight is null.
-    Without labelled target text all ratios are 0 and every other document is
-    drawn.  Repeated rows (equal id and text) have one key and are drawn
+    Without labelled target text every other document is drawn.  Repeated rows (equal id and text) have one key and are drawn
     together; rows without id are rows like others.  An empty table gives no
     rows.  Input columns of the new names are replaced, others are kept.
     """
@@ -179,4 +254,4 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    return resampled(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")).drop("text", "lang")
