@@ -105,6 +105,16 @@ def test_word_encoder_equals_whole_text(name):
         assert np.frombuffer(e([t])[0], "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_encoder_equals_untouched_tokenizer(name):
+    from tokenizers import Tokenizer
+    path = public_path(name)
+    encode, tok = WordEncoder(path), Tokenizer.from_file(path)
+    hard = ["see <|endoftext|> here", "plain words", "<|startoftext|>a<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "İ.", " İstanbul  é", "", "</w> x"]
+    for t, ids in zip(hard, encode(hard), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing(docs, nothing):
     path = public_path(packing.TOKENIZER)
     got = packing.packed(docs, path, window=64).collect()

@@ -29,16 +29,16 @@ def public_path(name: str) -> str:
 class WordEncoder:
     """Encodes texts word by word: BPE never merges across the words of the
     tokenizer's own splitting pattern, so each distinct word goes through the
-    library once and repeated ones come from a bounded cache.  Ids are packed
-    as little-endian unsigned 32-bit integers; strings of special tokens are
-    ordinary text."""
+    library once and repeated ones come from a bounded cache.  Texts that hold
+    the string of an added token, or a character whose lower case is several
+    characters, go through it whole.  Ids are packed as little-endian unsigned
+    32-bit integers."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         spec = json.loads(self.tok.to_str())
         pre = spec["pre_tokenizer"]
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -51,6 +51,10 @@ class WordEncoder:
         else:
             raise ValueError(f"no word pattern known for the pre-tokenizer of {path}")
         self.words = regex.compile(pattern).findall
+        added = [regex.escape(t["content"]) for t in spec["added_tokens"]]
+        if "Lowercase" in kinds:
+            added += [c for c in map(chr, range(sys.maxunicode + 1)) if len(c.lower()) > 1]
+        self.whole = regex.compile("|".join(added), regex.IGNORECASE).search if added else lambda text: None
         self.leading = pattern is BYTE_LEVEL              # a word may start with its space
         self.rare = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
         self.cache: dict[str, bytes] = {}
@@ -65,7 +69,25 @@ class WordEncoder:
         parts = text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]] if self.leading else parts
 
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text by the library alone."""
+        out = []
+        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+            ids = array("I", e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if self.whole(t) or self.nfc and self.whole(unicodedata.normalize("NFC", t))]
+        if not whole:
+            return self.by_words(texts)
+        found = dict(zip(whole, self.packed([texts[i] for i in whole])))
+        rest = iter(self.by_words([t for i, t in enumerate(texts) if i not in found]))
+        return [found[i] if i in found else next(rest) for i in range(len(texts))]
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         if len(cache) > self.cache_words:
             cache.clear()
@@ -81,11 +103,7 @@ class WordEncoder:
         words = list(set(words).union(plain))
         for at in range(0, len(words), 4096):
             some = words[at:at + 4096]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                ids = array("I", e.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                cache[w] = ids.tobytes()
+            cache.update(zip(some, self.packed(some)))
         ids = cache.__getitem__
         for p, w in mixed.items():
             if p not in cache:
