@@ -377,6 +377,21 @@ def test_clean_documents_outside_the_fit_stay(held_out_recall):
     assert sum(held_out_recall["junk", of][0] for of in ("short", "long")) >= 0.9 * sum(held_out_recall["junk", of][1] for of in ("short", "long"))
 
 
+def test_toxic_documents_outside_the_fit_go(held_out_recall):
+    dropped, n = map(sum, zip(*(held_out_recall["toxic", of] for of in ("de", "fr", "es"))))
+    assert n > 20 and dropped >= 0.8 * n
+    assert held_out_recall["toxic", "en"][0] >= 0.95 * held_out_recall["toxic", "en"][1]
+
+
+def test_toxic_evidence_is_that_of_the_worst_words():
+    evidence = -np.random.default_rng(0).random(quality.CELLS + 1).astype(np.float32)
+    evidence[-1] = 0
+    for t in ["", "one", ENGLISH, "a ab abc abcd abcdefghijk", "réeuxment, çaX"]:
+        kinds, _ = quality.mark_cells([t])
+        each = sorted(min(float(evidence[c]) for c in word) for word in zip(*kinds))
+        assert quality.toxic_evidence(["b c", t, "d " * 30], evidence)[1] == pytest.approx(sum(each[:quality.WORST]), abs=1e-4)
+
+
 def test_levels_of_small_groups(spark):
     rows = [("a", 2, i / 1000) for i in range(1000)] + [("a", 3, -5.0), ("b", 2, -1.0)]
     levels = quality.Levels(spark.createDataFrame(rows, "_lang string, _size int, x double"), "x")

@@ -5,7 +5,10 @@ of all text, give every n-gram a log ratio.  Unigrams are the first five
 letters of a word, bigrams two words in a row; a repeated word is one bigram
 whatever the word.  A document's log weight is that of its weakest passage: the
 least sum of ratios over eight words in a row, relative to what target text has
-on average.  Documents are drawn without replacement by the Gumbel top-k rule.
+on average.  Toxic text may be few words of an otherwise clean document, so a
+second ratio, target text against text labelled toxic, gives every beginning of
+a word its evidence; a document's is that of its three worst words.  Documents
+are drawn without replacement by the Gumbel top-k rule.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import types as T
 
 from themescope.llm.common import table, written
 from themescope.llm.shingles import cell_counts
-from themescope.llm.textcodes import classes, code_points, mix64, span_hashes, text_slices, word_spans
+from themescope.llm.textcodes import classes, code_points, mix64, span_hasher, span_hashes, text_slices, word_spans
 
 CELLS = 1 << 20
 PREFIX = 5
@@ -26,8 +29,17 @@ PASSAGE = 8
 BIGRAM_SHARE = 0.3
 #: Pseudo-count of a cell, in words of the target sample.
 PRIOR = 2.0
-#: Labelled target documents that the target model is fitted on, at most (in expectation).
+#: Labelled target documents that the target model is fitted on, at most (in
+#: expectation); as many toxic ones for the evidence of toxic text.
 SAMPLE_ROWS = 20_000
+#: Beginnings of words that may mark toxic text, in letters; the word is longer.  Whole words may too.
+MARKS = range(3, 9)
+#: A mark counts this often in a document at most; a document's evidence is that of so many words.
+WORST = 3
+#: Share of target documents outside the fit below the level of toxic evidence.
+TOXIC_TAIL = 0.0075
+#: Pseudo-count of a mark, in the toxic sample.
+MARK_PRIOR = 0.5
 #: Folds of that sample: a document of it is scored by a model without its fold.
 FOLDS = 5
 #: Share of target documents outside the fit below the level that counts the documents to keep.
@@ -100,16 +112,68 @@ def log_weights(texts: list[str], ratios: np.ndarray) -> np.ndarray:
     return out
 
 
-def weighted(docs: DataFrame, ratios, rest: list[str]) -> DataFrame:
-    """docs (text, *rest) with its log weight: (*rest, log_weight)."""
+def mark_cells(texts: list[str]):
+    """(cells of each kind of mark, offsets): per word, CELLS where it has no such mark."""
+    points, at = code_points(texts)
+    first, end = word_spans(points, classes()[points])
+    hashes, mask = span_hasher(points, True), np.uint64(CELLS - 1)
+    cells = [np.where(end - first > p, (mix64(hashes(first, np.minimum(end, first + p)) + np.uint64(p)) & mask).astype(np.int64), CELLS)
+             for p in MARKS]
+    return [*cells, (hashes(first, end) & mask).astype(np.int64)], np.searchsorted(first, at)
+
+
+def mark_counts(docs: DataFrame) -> np.ndarray:
+    """Counts of mark cells over all rows of docs (text), each at most WORST times a document."""
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, texts in text_slices(batch, 0):
+                kinds, offsets = mark_cells(texts)
+                doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+                for cells in kinds:
+                    has = cells < CELLS
+                    key, n = np.unique(doc[has] * CELLS + cells[has], return_counts=True)
+                    total += np.bincount(key % CELLS, np.minimum(n, WORST), CELLS).astype(np.int64)
+        return total
+    return cell_counts(docs.select("text"), count, CELLS)
+
+
+def mark_evidence(target: np.ndarray, toxic: np.ndarray, n_target: int, n_toxic: int) -> np.ndarray:
+    """Per mark cell, log of target over toxic counts a document, 0 where target
+    text has it more often; the last is that of no mark."""
+    ratio = np.log((target * (n_toxic / max(n_target, 1)) + MARK_PRIOR) / (toxic + MARK_PRIOR))
+    return np.append(np.minimum(ratio, 0), 0).astype(np.float32)
+
+
+def toxic_evidence(texts: list[str], evidence: np.ndarray) -> np.ndarray:
+    """Sum over the WORST words of each text, a word's evidence that of its worst mark; 0 is none."""
+    kinds, offsets = mark_cells(texts)
+    each = evidence[kinds[0]]
+    for cells in kinds[1:]:
+        each = np.minimum(each, evidence[cells])
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    has = np.flatnonzero(each < 0)
+    has = has[np.lexsort((each[has], doc[has]))]
+    rank = np.arange(len(has)) - np.searchsorted(doc[has], doc[has])
+    has = has[rank < WORST]
+    return np.bincount(doc[has], each[has], len(texts))
+
+
+def weighted(docs: DataFrame, models, rest: list[str]) -> DataFrame:
+    """docs (text, *rest) with its log weight and toxic evidence, null where
+    nothing is labelled toxic: (*rest, log_weight, toxic)."""
     def score(batches):
-        table_ = ratios.value
+        ratios, evidence = models.value
         for batch in batches:
-            got = [log_weights(texts, table_) for _, texts in text_slices(batch, 0)]
+            some = [texts for _, texts in text_slices(batch, 0)]
+            got = [log_weights(texts, ratios) for texts in some]
+            toxic = [toxic_evidence(texts, evidence) for texts in some] if evidence is not None else []
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(np.concatenate(got) if got else [], pa.float64())], names=[*rest, "log_weight"])
+                [*batch.columns[1:], pa.array(np.concatenate(got) if got else [], pa.float64()),
+                 pa.array(np.concatenate(toxic), pa.float64()) if toxic else pa.nulls(batch.num_rows, pa.float64())],
+                names=[*rest, "log_weight", "toxic"])
     docs = docs.select("text", *rest)
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields[1:], T.StructField("log_weight", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields[1:], T.StructField("log_weight", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
 
 
 def has_word():
@@ -151,22 +215,23 @@ def stratified(ids: DataFrame, rows: int) -> DataFrame:
 
 
 class Levels:
-    """TAIL quantile of a score by group, from the scores of target documents
+    """Quantile at ``tail`` of a score by group, from the scores of target documents
     outside the fit (_lang, _size, score), less the scale of the noise.
 
-    A group of at least 1 / TAIL such documents has its own level; others take
+    A group of at least 1 / tail such documents has its own level; others take
     the lower one of all documents of their language and of their length."""
 
-    def __init__(self, held_out: DataFrame, score: str):
+    def __init__(self, held_out: DataFrame, score: str, tail: float = TAIL, additive: bool = False):
         # Exact up to a million rows of a group.
-        level = F.percentile_approx(score, F.lit(TAIL), F.lit(1_000_000))
+        level = F.percentile_approx(score, F.lit(tail), F.lit(1_000_000))
         cube = written(held_out.cube("_lang", "_size").agg(
             F.grouping_id().cast("int").alias("kind"), F.count(score).alias("n"), level.alias("level")), "levels")
-        self.own = cube.where((F.col("kind") == 0) & (F.col("n") >= 1 / TAIL)).select("_lang", "_size", F.col("level").alias("_own"))
+        self.own = cube.where((F.col("kind") == 0) & (F.col("n") >= 1 / tail)).select("_lang", "_size", F.col("level").alias("_own"))
         self.lang = cube.where("kind = 1").select("_lang", F.col("level").alias("_of_lang"))
         self.size = cube.where("kind = 2").select("_size", F.col("level").alias("_of_size"))
         top = cube.where("kind = 3").select("level").first()
         self.all = top[0] if top and top[0] is not None else None
+        self.additive = additive
 
     def relative(self, rows: DataFrame, score: str) -> DataFrame:
         """rows (_lang, _size, score, ...) with the score less the level of their group."""
@@ -174,7 +239,8 @@ class Levels:
             return rows
         for part, on in ((self.own, ["_lang", "_size"]), (self.lang, ["_lang"]), (self.size, ["_size"])):
             rows = rows.join(F.broadcast(part), on, "left")
-        level = F.coalesce("_own", F.least("_of_lang", "_of_size"), F.lit(self.all))
+        both = F.col("_of_lang") + F.col("_of_size") - self.all if self.additive else F.lit(None)
+        level = F.coalesce("_own", both, F.least("_of_lang", "_of_size"), F.lit(self.all))
         return rows.withColumn(score, F.col(score) - level + TEMPERATURE).drop("_own", "_of_lang", "_of_size")
 
 
@@ -184,10 +250,12 @@ class Resampler:
 
     Target: quality 1, toxic not 1.  The target model is fitted on about
     ``SAMPLE_ROWS`` such documents at most, spread over languages and lengths;
-    the raw model on all documents.  Weights are relative to a level by group
+    the raw model on all documents.  Evidence of toxic text compares that sample
+    with as many documents labelled toxic.  Weights and evidence are relative to a level by group
     (``Levels``), taken from all target documents: those of the sample are
     scored by a model without their fold, the others are no part of the fit.
-    As many documents are drawn as reach their level: those with the largest
+    A document whose evidence misses its level weighs no more than by how much.
+    As many documents are drawn as reach their levels: those with the largest
     log_weight / TEMPERATURE + Gumbel noise, the noise a hash of id and text.
     """
 
@@ -196,42 +264,58 @@ class Resampler:
         rows = with_group(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select("doc_id", "text", "_lang", "_size")
         good = (labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1) & F.col("doc_id").isNotNull())
                 .select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-        labelled = written(rows.select("doc_id", "_lang", "_size").join(good, "doc_id", "left_semi"), "target-groups")
-        chosen = written(stratified(labelled, SAMPLE_ROWS), "target-ids")
-        fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS))
-        # About SAMPLE_ROWS ids, so they can be broadcast.
-        sample = written(rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("_fold", fold), "target-sample")
+        toxic = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        sample, chosen = self.sampled(rows, good)
+        toxic_sample, _ = self.sampled(rows, toxic)
         few = max(1, sample.rdd.getNumPartitions() // FOLDS)
         parts = [sample.where(F.col("_fold") == f).coalesce(few) for f in range(FOLDS)]
         raw, targets = ngram_counts(rows), [ngram_counts(p) for p in parts]
-        target = sum(targets)
-        self.ratios = spark.sparkContext.broadcast(log_ratios(target, raw))
-        group = ["_lang", "_size"]
-        scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
-        held_out = scored.join(good, "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti").select(*group, "log_weight")
-        for part, own in zip(parts, targets):
+        n_toxic, n_targets = toxic_sample.count(), [p.count() for p in parts]
+        marks, toxic_marks = ([mark_counts(p) for p in parts], mark_counts(toxic_sample)) if n_toxic else ([], None)
+
+        def models(left_out=None):
+            use = [f for f in range(FOLDS) if f != left_out]
+            target = sum(targets[f] for f in use)
             # Counted up to the whole sample: pseudo-counts weigh as much as in the model of all folds.
-            others = target - own
-            without = spark.sparkContext.broadcast(log_ratios(others * (target.sum() / max(others.sum(), 1)), raw))
-            held_out = held_out.unionByName(written(
-                weighted(part.where(has_word()), without, group), "fold-weights"))
+            target = target * (sum(t.sum() for t in targets) / max(target.sum(), 1))
+            evidence = mark_evidence(sum(marks[f] for f in use), toxic_marks, sum(n_targets[f] for f in use), n_toxic) if n_toxic else None
+            return spark.sparkContext.broadcast((log_ratios(target, raw), evidence))
+
+        self.models = models()
+        group, scores = ["_lang", "_size"], ["log_weight", "toxic"]
+        scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
+        held_out = scored.join(good, "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti").select(*group, *scores)
+        for f, part in enumerate(parts):
+            without = models(f)
+            held_out = held_out.unionByName(written(weighted(part.where(has_word()), without, group), "fold-weights"))
             without.unpersist()
-        self.levels = Levels(held_out, "log_weight")
+        self.levels = [Levels(held_out, "log_weight", TAIL), Levels(held_out, "toxic", TOXIC_TAIL, additive=True)]
         scored = written(self.keyed(scored), "keys")
-        k = scored.where("log_weight >= 0").count() if self.levels.all is not None else scored.count()
+        k = scored.where("log_weight >= 0").count() if self.levels[0].all is not None else scored.count()
         self.cut = _kth_largest(scored, k, "gumbel_key") if k else float("inf")
 
+    def sampled(self, rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(about SAMPLE_ROWS of the rows with these ids, at most, and their fold; their ids)."""
+        groups = written(rows.select("doc_id", "_lang", "_size").join(ids, "doc_id", "left_semi"), "labelled-groups")
+        chosen = written(stratified(groups, SAMPLE_ROWS), "sample-ids")
+        fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS))
+        # About SAMPLE_ROWS ids, so they can be broadcast.
+        return written(rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("_fold", fold), "label-sample"), chosen
+
     def noisy(self, docs: DataFrame, rest: list[str]) -> DataFrame:
-        """(*rest, log_weight, _noise) of docs (doc_id, text, *rest); no noise where there is no word."""
+        """(*rest, log_weight, toxic, _noise) of docs (doc_id, text, *rest); no noise where there is no word."""
         u = (F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
         rows = docs.select("text", F.when(has_word(), -F.log(-F.log(u))).alias("_noise"), F.struct(*rest).alias("_row"))
-        out = weighted(rows, self.ratios, ["_row", "_noise"])
-        return out.select(*[F.col("_row")[c].alias(c) for c in rest], "log_weight", "_noise")
+        out = weighted(rows, self.models, ["_row", "_noise"])
+        return out.select(*[F.col("_row")[c].alias(c) for c in rest], "log_weight", "toxic", "_noise")
 
     def keyed(self, rows: DataFrame) -> DataFrame:
-        """rows (_lang, _size, log_weight, _noise, ...) with weights relative to the level, and keys."""
-        rows = self.levels.relative(rows, "log_weight").withColumn("gumbel_key", F.col("log_weight") / TEMPERATURE + F.col("_noise"))
-        return rows.withColumn("log_weight", F.when(F.col("_noise").isNotNull(), F.col("log_weight")))
+        """rows (_lang, _size, log_weight, toxic, _noise, ...) with weights relative to the levels, and keys."""
+        for levels, score in zip(self.levels, ["log_weight", "toxic"]):
+            rows = levels.relative(rows, score)
+        weight = F.when(F.col("toxic") < 0, F.least("log_weight", "toxic")).otherwise(F.col("log_weight"))
+        rows = rows.withColumn("log_weight", F.when(F.col("_noise").isNotNull(), weight)).drop("toxic")
+        return rows.withColumn("gumbel_key", F.col("log_weight") / TEMPERATURE + F.col("_noise"))
 
     def scored(self, docs: DataFrame, rest: list[str]) -> DataFrame:
         """(*rest, log_weight, gumbel_key) of docs (doc_id, text, *rest)."""

@@ -70,10 +70,15 @@ def word_spans(points: np.ndarray, kinds: np.ndarray):
     return edge[word], np.append(edge[1:], len(kinds))[word]
 
 
-def span_hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+def span_hasher(points: np.ndarray, fold: bool):
+    """Hashes of spans (first, end) of these points."""
     up, down = _powers(len(points) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_values(fold)[points] * up[:-1])))
-    return mix64((sums[end] - sums[first]) * down[first])
+    return lambda first, end: mix64((sums[end] - sums[first]) * down[first])
+
+
+def span_hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+    return span_hasher(points, fold)(first, end)
 
 
 def folded_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
