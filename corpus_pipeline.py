@@ -53,7 +53,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality classifier", quality_classifier), ("language ID", language_id), ("MinHash near-dedup", near_dedup),
           ("mixing sources", mix_sources), ("packing", pack)]
 
-#: The first stage's model and the token ids can't be expressed in SQL; tests/llm compares the stages with plain Python.
+#: The first stage's model and the token ids can't be expressed in SQL; of the stages, tests/llm
+#: compares near-dedup alone with plain Python.
 ORACLE_SQL = None
 
 
