@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from themescope.llm import chat, covertree, grammar, langid, minhash, mixing, packing, quality, sharding, topk
+from themescope.llm import chat, covertree, grammar, langid, minhash, mixing, packing, quality, repair, runs, sharding, topk
 
 QUERIES = {
     "op1_external_shuffle": sharding.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_source_schedule": mixing.query,
     "op9_importance_resampling": quality.query,
     "op10_chat_format": chat.query,
+    "op11_grammar_runs": runs.query,
+    "op12_structure_repair": repair.query,
 }
 
 ORACLE_SQL = {
