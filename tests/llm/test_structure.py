@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themescope.llm import repair, runs
+from themescope.llm import passages, repair, runs
 from themescope.llm.common import table
+from themescope.llm.runindex import RunIndex
 
 SF = "/root/testdata/sf0.001"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -252,3 +253,75 @@ def test_repair_query_equals_plain_repair(spark):
     assert got.keys() == {r[0] for r in data}
     for conv in got:
         assert got[conv] == plain_row(conv, [r[1:] for r in hurt if r[0] == conv])
+
+
+# --- repeated passages --------------------------------------------------------------
+
+def plain_passages(data):
+    """doc_id, text -> (n_bytes, spans, kept): every window looked up in a set, in order."""
+    seen, out = set(), []
+    for _, text in data:
+        b = (text or "").encode()
+        gone = set()
+        for i in range(len(b) - 99):
+            w = b[i:i + 100]
+            if w in seen:
+                gone.update(range(i, i + 100))
+            seen.add(w)
+        spans = []
+        for i in sorted(gone):
+            if spans and spans[-1][0] + spans[-1][1] == i:
+                spans[-1][1] += 1
+            else:
+                spans.append([i, 1])
+        out.append((len(b), spans, bytes(x for i, x in enumerate(b) if i not in gone)))
+    return out
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        k = int(rng.choice([2, 3, 250]))
+        refs = [bytes(rng.integers(0, k, rng.integers(1, 60)).astype(np.uint8)) for _ in range(rng.integers(1, 8))]
+        patterns = [r + refs[0][:9] for r in refs] + [bytes(rng.integers(0, k, 40).astype(np.uint8))]
+        least = int(rng.integers(1, 12))
+        got = RunIndex(refs).matching_statistics(patterns, least)
+        assert [g.tolist() for g in got] == [[i for i in range(len(p) - least + 1) if any(p[i:i + least] in r for r in refs)] for p in patterns]
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_passages_of_awkward_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
+    monkeypatch.setattr(passages, "FLUSH_BYTES", 3000)
+    rng = np.random.default_rng(9)
+
+    def prose(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+
+    common, data = prose(40), [(1, None), (2, ""), (3, "short"), (4, "x" * 99), (5, "x" * 100), (6, "x" * 101), (7, "ab" * 400)]
+    for i in range(10, 60):
+        data.append((i, prose(int(rng.integers(0, 30))) + common + prose(int(rng.integers(0, 30)))))
+    for i in range(60, 90):                               # copies with a letter changed
+        t = data[i - 50][1]
+        k = int(rng.integers(0, max(len(t), 1)))
+        data.append((i, t[:k] + "é" + t[k + 1:]))
+    data += [(100, data[20][1]), (101, common * 3), (102, "\0" * 250), (103, prose(3000) + common), (104, common[30:] + common[:50])]
+    want = plain_passages(data)
+    rows = [(None, data[12][1]), *data[::-1], data[40]]   # a null id comes first, a repeated row is one document
+    df = spark.createDataFrame([(*r, 0, "clash") for r in rows], "doc_id long, text string, key long, bytes string").repartition(3)
+    want = dict(zip([None] + [r[0] for r in data], plain_passages([(None, data[12][1]), *data])))
+    got = passages.without_repeats(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, [[s.start, s.length] for s in r.spans], bytes(r.kept)) == want[r.doc_id], r.doc_id
+    assert passages.without_repeats(df.limit(0)).collect() == []
+
+
+def test_passages_query_equals_plain_search(spark):
+    data = sorted((r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in passages.query(spark, SF).collect()}
+    assert len(got) == len(data)
+    for (i, _), (n, spans, kept) in zip(data, plain_passages(data)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, sum(s[1] for s in spans), len(spans), hashlib.sha256(kept).hexdigest())
+    assert sum(r.n_removed > 0 for r in got.values()) > 10

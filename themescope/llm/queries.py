@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from themescope.llm import chat, covertree, grammar, langid, minhash, mixing, packing, quality, repair, runs, sharding, topk
+from themescope.llm import chat, covertree, grammar, langid, minhash, mixing, packing, passages, quality, repair, runs, sharding, topk
 
 QUERIES = {
     "op1_external_shuffle": sharding.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat.query,
     "op11_grammar_runs": runs.query,
     "op12_structure_repair": repair.query,
+    "op13_run_length_index": passages.query,
 }
 
 ORACLE_SQL = {
