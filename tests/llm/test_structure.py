@@ -289,9 +289,11 @@ def test_matching_statistics():
         assert [g.tolist() for g in got] == [[i for i in range(len(p) - least + 1) if any(p[i:i + least] in r for r in refs)] for p in patterns]
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_passages_of_awkward_rows(spark, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("many", [64, 3])
+def test_passages_of_awkward_rows(spark, monkeypatch, many):
+    monkeypatch.setattr(passages, "MANY", many)
+    monkeypatch.setattr(passages, "SAMPLE", 1)
+    monkeypatch.setattr(passages, "INDEX_BYTES", 2000)
     monkeypatch.setattr(passages, "FLUSH_BYTES", 3000)
     rng = np.random.default_rng(9)
 

@@ -4,23 +4,29 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier:
 document of smaller id, or in the same one.  Strings are called windows below.
 
 1. *Anchors.*  The least hashed ``GRAM`` bytes inside a window are its anchor, so equal windows
-   have equal anchors.  Windows that share one anchor occurrence lie side by side and
-   never equal each other.  Each task deals out the anchors of its text once, with their
-   number; tasks by anchor answer which ones occur again.
-2. *Contexts.*  Texts meet the answers, and send the bytes around recurring anchors
-   (at most 2 * LENGTH - GRAM), each distinct context of a task once.  Contexts of an anchor that
-   occurs more than ``HOT`` times are sent window by window, as hashes of the window.
-3. *Index.*  Tasks by anchor order the distinct contexts of each anchor by place and halve
-   them, and the halves again, down to single contexts.  On each level the earlier halves go into
-   one run-compressed Burrows-Wheeler transform with sampled run ends (``runindex``), and
-   the later halves stream through it: where their matching statistics reach LENGTH, the
+   have equal anchors.  Windows that share one anchor occurrence lie side by side (their
+   bytes are its *context*, at most 2 * LENGTH - GRAM) and never equal each other.  Each task
+   deals out the anchors of its text with a hash of their context, equal ones once.  Tasks by
+   anchor answer: of equal contexts all but the first stand earlier as a whole; first ones
+   are asked for if their anchor has other contexts as well.
+2. *Contexts* asked for are cut from the texts and sent to tasks by anchor.
+3. *Index.*  The contexts of each anchor are ordered by place and halved, and the halves
+   again, down to single contexts.  On each level the earlier halves go into one
+   run-compressed Burrows-Wheeler transform with sampled run ends (``runindex``), and the
+   later halves stream through it: where their matching statistics reach LENGTH, the
    window stands earlier.  Windows found on one level leave the levels below, so whatever
    a window still meets there belongs to its own anchor's half.
 4. *Cut.*  Texts meet their windows and drop the bytes these cover.
+
+Anchors at the edge of a very common passage have a context of their own in every document.
+A sample of the documents names the commonest of them; these are dealt out window by
+window, each with a hash of its own as anchor, so no task gets all of them.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +42,12 @@ GRAM = 24
 FLUSH_BYTES = 4 << 20
 #: Bytes of text for each task by anchor.
 BUCKET_BYTES = 16 << 20
-#: Contexts of one anchor that a task indexes at most.
-HOT = 4096
+#: One in so many documents is looked at for anchors with many contexts.
+SAMPLE = 64
+#: Contexts in the sample from which an anchor is dealt out by window; at most so many anchors are.
+MANY, MOST_MANY = 64, 1 << 14
+#: Bytes of contexts that are indexed together.
+INDEX_BYTES = 2 << 20
 _SEGMENT = (1 << 20) - 256
 _SPAN = LENGTH - GRAM + 1                                # grams of a window
 _FIRST = -(1 << 63)                                      # stands for a null id: before all others
@@ -56,16 +66,15 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def _window_hashes(b: np.ndarray) -> np.ndarray:
-    """Two hashes of every window."""
-    n = len(b) - LENGTH + 1
-    both = []
+def _window_hashes(b: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the windows at these positions."""
+    words, both = _words(b, len(b) - 7, 0), []
     for seed in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-        h = np.full(n, seed, np.uint64)
-        for at in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-            h = mix64(h * np.uint64(seed) + _words(b, n, at))
+        h = np.full(len(at), seed, np.uint64)
+        for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+            h = mix64(h * np.uint64(seed) + words[at + k])
         both.append(h)
-    return np.stack(both, 1)
+    return both
 
 
 def _least(a: np.ndarray, span: int) -> np.ndarray:
@@ -117,122 +126,120 @@ def _flushes(batches, columns: list[str], of: str):
         yield held
 
 
-_DEALT = "bucket int, n int, hash binary, key binary, window binary, count binary"
-_ANSWER = "key long, window long, hash long, total long"
+_DEALT = "bucket int, known boolean, hash binary, context binary, id binary, key binary, window binary"
+_ANSWER = "key long, id long, window long, hash long, asked boolean"
+_PACKED = (("hash", np.uint64), ("context", np.uint64), ("id", np.int64), ("key", np.int64), ("window", np.int64))
+
+
+def _context_hashes(texts: list[bytes], text, first, number) -> np.ndarray:
+    """A hash of each context: its 8-byte words, taken from its first byte on and back from its last."""
+    b = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    at = (np.cumsum(size) - size)[text] + first
+    words, length = _words(b, len(b) - 7, 0), number + LENGTH - 1
+    h = mix64(length.astype(np.uint64))
+    for k in range(0, 2 * LENGTH - GRAM, 8):
+        more = length > k
+        place = at + np.minimum(k, length - 8)           # the last word overlaps the one before
+        h = np.where(more, mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[np.where(more, place, 0)]), h)
+    return h
 
 
-def _deal(buckets: int):
-    """Texts -> their anchors by bucket.  An anchor that occurs again in the task's own
-    text recurs for certain; only its first occurrence asks, the others pass with count 0."""
+def dealt(ids, keys, texts, many: np.ndarray) -> list[np.ndarray]:
+    """Anchor, context, id, key and window (first * 256 + number) of some texts' anchors;
+    those of ``many`` by window."""
+    text, first, number, value = anchors(texts)
+    context = _context_hashes(texts, text, first, number)
+    wide = np.isin(value, many)
+    if wide.any():
+        k = np.repeat(np.flatnonzero(wide), number[wide])
+        step = np.arange(len(k)) - np.repeat(np.cumsum(number[wide]) - number[wide], number[wide])
+        size = np.array([len(t) for t in texts], np.int64)
+        at = (np.cumsum(size) - size)[text[k]] + first[k] + step
+        hashes = _window_hashes(np.frombuffer(b"".join(texts), np.uint8), at)
+        text, first = np.concatenate((text[~wide], text[k])), np.concatenate((first[~wide], first[k] + step))
+        number = np.concatenate((number[~wide], np.ones(len(k), np.int64)))
+        value, context = (np.concatenate((x[~wide], h)) for x, h in zip((value, context), hashes))
+    return [value, context, np.array(ids, np.int64)[text], np.array(keys, np.int64)[text], (first << 8) | number]
+
+
+def _ordered(value, context, id_, key, window):
+    """Entries by anchor, context and place; which are the first of their context; which
+    stand at the place of that one (a row that is repeated)."""
+    order = np.lexsort((window, key, id_, context, value))
+    value, context, id_, key, window = (x[order] for x in (value, context, id_, key, window))
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (context[1:] != context[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    same = (id_ == id_[first]) & (key == key[first]) & (window == window[first])
+    return new, same, [value, context, id_, key, window]
+
+
+def _deal(buckets: int, many: np.ndarray):
+    """Texts -> their anchors by bucket; contexts that the task's own text holds earlier are known."""
     names = [x.split()[0] for x in _DEALT.split(", ")]
+    types = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
 
     def deal(batches):
         from pyspark import TaskContext
         task, turn = TaskContext.get().partitionId(), 0
-        for rows in _flushes(batches, ["key", "bytes"], "bytes"):
-            text, first, number, value = anchors(rows["bytes"])
-            key = np.array(rows["key"], np.int64)[text]
-            window = (first << 8) | number
-            order = np.argsort(value, kind="stable")
-            value, key, window = value[order], key[order], window[order]
-            new = np.concatenate(([True], value[1:] != value[:-1])) if len(value) else np.zeros(0, bool)
-            count = np.zeros(len(value), np.uint32)
-            count[new] = np.diff(np.append(np.flatnonzero(new), len(value)))
-            turn += 1
-            bucket = np.where(new, (value >> np.uint64(20)) % np.uint64(buckets), (task * 31 + turn) % buckets).astype(np.int64)
+        for rows in _flushes(batches, ["id", "key", "bytes"], "bytes"):
+            new, same, entries = _ordered(*dealt(rows["id"], rows["key"], rows["bytes"], many))
+            bucket = ((entries[0][new] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
+            fresh = [x[new][order] for x in entries]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
-            for k in np.flatnonzero(np.diff(cut)):
-                own = order[cut[k]:cut[k + 1]]
-                out.append((int(k), len(own), value[own].tobytes(), key[own].tobytes(), window[own].tobytes(), count[own].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32()] * 2 + [pa.binary()] * 4)], names)
+            out = [(int(k), False, *[x[cut[k]:cut[k + 1]].tobytes() for x in fresh]) for k in np.flatnonzero(np.diff(cut))]
+            turn += 1
+            out.append(((task * 31 + turn) % buckets, True, *[x[~same].tobytes() for x in entries]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
     return deal
 
 
 def _answer(batches):
-    """Dealt anchors -> those that recur, with their number (0: passed)."""
+    """Dealt anchors -> windows that stand earlier, and contexts asked for."""
+    names = [x.split()[0] for x in _ANSWER.split(", ")]
+
+    def rows(which, value, context, id_, key, window, asked):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (
+            key[which], id_[which], window[which], value[which].view(np.int64), asked[which])], names)
+
     held: dict[int, list] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            held.setdefault(r["bucket"], []).append([np.frombuffer(r[c], t) for c, t in (
-                ("hash", np.uint64), ("key", np.int64), ("window", np.int64), ("count", np.uint32))])
+            entries = [np.frombuffer(r[c], t) for c, t in _PACKED]
+            if r["known"]:
+                every = np.ones(len(entries[0]), bool)
+                yield rows(every, *entries, ~every)
+            else:
+                held.setdefault(r["bucket"], []).append(entries)
     for bucket in list(held):
-        value, key, window, count = (np.concatenate(x) for x in zip(*held.pop(bucket)))
-        order = np.argsort(value, kind="stable")
-        value, key, window, count = value[order], key[order], window[order], count[order].astype(np.int64)
+        new, same, entries = _ordered(*(np.concatenate(x) for x in zip(*held.pop(bucket))))
+        value = entries[0]
         edge = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-        total = np.repeat(np.add.reduceat(count, edge), np.diff(np.append(edge, len(value))))
-        again = (total > 1) | (count == 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-            key[again], window[again], value[again].view(np.int64), np.where(count[again] == 0, 0, total[again]))],
-            ["key", "window", "hash", "total"])
+        contexts = np.repeat(np.add.reduceat(new.astype(np.int64), edge), np.diff(np.append(edge, len(value))))
+        yield rows(~same | (new & (contexts > 1)), *entries, same)
 
 
-_CONTEXT = "bucket int, hash long, id long, key long, first long, n int, bytes binary"
+_CONTEXT = "bucket int, hash long, id long, key long, first long, bytes binary"
 
 
 def _contexts(buckets: int):
-    """Texts with their recurring anchors -> contexts by bucket, each of the task's distinct
-    ones once; windows of the others stand earlier and pass with no bytes."""
+    """Texts with the contexts asked for -> these by bucket."""
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    types = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
 
     def contexts(batches):
         for rows in _flushes(batches, ["id", "key", "bytes", "found"], "bytes"):
-            best: dict = {}
             out = []
-            for doc, key, text, found in zip(*rows.values()):
-                for r in {(f["window"], f["hash"], f["hot"]) for f in found}:
-                    first, n = r[0] >> 8, r[0] & 255
-                    context = text[first:first + n + LENGTH - 1]
-                    place = (doc, key, first)
-                    known = best.get((r[1], context))
-                    if known is None or place < known[0]:
-                        best[(r[1], context)] = (place, n, r[2])
-                        if known is not None:
-                            place = known[0]
-                    if known is not None and place != best[(r[1], context)][0]:
-                        out.append((key_bucket(place[1], buckets), 0, *place, n, b""))
-            hot = []
-            for (value, context), (place, n, is_hot) in best.items():
-                if is_hot:
-                    hot.append((place, n, context))
-                else:
-                    out.append(((value >> 20) % buckets, value, *place, n, context))
-            out += _by_window(hot, buckets)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+            for id_, key, text, found in zip(*rows.values()):
+                for value, window in {(f["hash"], f["window"]) for f in found}:
+                    first, n = window >> 8, window & 255
+                    out.append(((value >> 20) % buckets, value, id_, key, first, text[first:first + n + LENGTH - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
     return contexts
 
 
-def key_bucket(key: int, buckets: int) -> int:
-    return key % buckets
-
-
-def _by_window(contexts: list, buckets: int):
-    """Every window of the contexts as a context of its own: one hash is its anchor, the other its bytes."""
-    if not contexts:
-        return
-    hashes = _window_hashes(np.frombuffer(b"".join(c for _, _, c in contexts), np.uint8))
-    best: dict = {}
-    at = 0
-    for (doc, key, first), n, context in contexts:
-        for k, (h, rest) in enumerate(hashes[at:at + n].tolist()):
-            place = (doc, key, first + k)
-            known = best.get((h, rest))
-            if known is None:
-                best[(h, rest)] = place
-            elif place != known:
-                best[(h, rest)], later = (place, known) if place < known else (known, place)
-                yield key_bucket(later[1], buckets), 0, *later, 1, b""
-        at += len(context)
-    for (h, rest), place in best.items():
-        value = h - (1 << 63)
-        yield (value >> 20) % buckets, value, *place, 1, rest.to_bytes(8, "little")
-
-
 def earlier_windows(hashes: list[int], contexts: list[bytes]) -> list[np.ndarray]:
     """For each context whether its windows stand in an earlier context of the same anchor.
 
@@ -271,31 +278,22 @@ def _stretches(mask: np.ndarray) -> list[tuple[int, int]]:
 def _match(batches):
     """Contexts by bucket -> (key, first, n): windows that stand earlier."""
     schema = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("n", pa.int32())])
-    best: dict = {}
-    out = []
-    for batch in batches:
-        for value, doc, key, first, n, context in zip(*(batch.column(k).to_pylist() for k in range(1, 7))):
-            place = (doc, key, first, n)
-            if not context:
-                out.append(place)
-                continue
-            known = best.setdefault((value, context), place)
-            if place < known:
-                best[(value, context)], place = place, known
-            if place != best[(value, context)]:
-                out.append(place)
-        if len(out) > 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out))[1:], schema.types)], schema=schema)
-            out = []
-    several: dict = {}
-    for value, context in best:
-        several[value] = several.get(value, 0) + 1
-    left = sorted((value, place, context) for (value, context), place in best.items() if several[value] > 1 and len(context) >= LENGTH)
-    if left:
-        for (_, place, _), done in zip(left, earlier_windows([x[0] for x in left], [x[2] for x in left])):
-            out += [(*place[:2], place[2] + a, b - a) for a, b in _stretches(done)]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out))[1:], schema.types)], schema=schema)
+
+    def matched(some):
+        out = []
+        for (_, _, key, first, _), done in zip(some, earlier_windows([x[0] for x in some], [x[4] for x in some])):
+            out += [(key, first + a, b - a) for a, b in _stretches(done)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), schema.types)], schema=schema)
+
+    # A row that is repeated asks twice for the same place.
+    rows = sorted({x for batch in batches for x in zip(*(batch.column(k).to_pylist() for k in range(1, 6)))})
+    some, size = [], 0
+    for k, row in enumerate(rows):
+        some.append(row)
+        size += len(row[4])
+        if k + 1 == len(rows) or size >= INDEX_BYTES and rows[k + 1][0] != row[0]:
+            yield matched(some)
+            some, size = [], 0
 
 
 def _cut(batches):
@@ -320,6 +318,31 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
 
 
+def many_contexts(texts: DataFrame) -> np.ndarray:
+    """Anchors with the most contexts in a sample of the texts, in ascending order: a bounded
+    list that settles only how these are dealt out."""
+    def sampled(batches):
+        for rows in _flushes(batches, ["id", "key", "bytes"], "bytes"):
+            value, context, *_ = dealt(rows["id"], rows["key"], rows["bytes"], np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(context.view(np.int64))], ["hash", "context"])
+
+    some = texts.where(F.pmod("key", F.lit(SAMPLE)) == 0).mapInArrow(sampled, "hash long, context long").distinct()
+    often = some.groupBy("hash").count().where(F.col("count") >= MANY).orderBy(F.desc("count"), "hash").limit(MOST_MANY)
+    return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+
+
+@contextmanager
+def shuffles_removed(spark):
+    """Shuffle files of the queries inside go when a query ends: their results are read from tables."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row of ``docs`` (doc_id, text): bytes of the
     text, maximal (start, length) of what is removed, the remaining bytes.
@@ -334,14 +357,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     d = d.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "bytes")).withColumn("id", F.coalesce("doc_id", F.lit(_FIRST)))
     size = d.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(spark), size // BUCKET_BYTES)
-    long = F.octet_length("bytes") >= LENGTH
-    dealt = d.where(long).select("key", "bytes").mapInArrow(_deal(buckets), _DEALT)
-    found = written(dealt.repartition(buckets, "bucket").mapInArrow(_answer, _ANSWER), "anchors")
-    hot = written(found.where(F.col("total") > HOT).select("hash", F.lit(True).alias("hot")).distinct(), "hot-anchors")
-    found = found.join(hot, "hash", "left").groupBy("key").agg(
-        F.collect_list(F.struct("window", "hash", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
-    context = d.where(long).join(found, "key").select("id", "key", "bytes", "found").mapInArrow(_contexts(buckets), _CONTEXT)
-    marks = context.repartition(buckets, "bucket").mapInArrow(_match, "key long, first long, n int")
+    long = d.where(F.octet_length("bytes") >= LENGTH).select("id", "key", "bytes")
+    with shuffles_removed(spark):
+        entries = long.mapInArrow(_deal(buckets, many_contexts(long)), _DEALT)
+        found = written(entries.repartition(buckets, "bucket").mapInArrow(_answer, _ANSWER), "anchors")
+        asked = found.where("asked").groupBy("key").agg(F.collect_list(F.struct("hash", "window")).alias("found"))
+        context = long.join(asked, "key").select("id", "key", "bytes", "found").mapInArrow(_contexts(buckets), _CONTEXT)
+        marks = written(context.repartition(buckets, "bucket").mapInArrow(_match, "key long, first long, n int"), "windows")
+    marks = marks.unionByName(found.where("not asked").select(
+        "key", F.shiftright("window", 8).alias("first"), F.col("window").bitwiseAND(255).cast("int").alias("n")))
     marks = marks.groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
     return d.join(marks, "key", "left").select("doc_id", "bytes", "first", "n").mapInArrow(
         _cut, "doc_id long, n_bytes long, spans array<struct<start long, length long>>, kept binary")
