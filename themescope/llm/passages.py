@@ -37,7 +37,7 @@ from themescope.llm.runindex import RunIndex
 from themescope.llm.textcodes import mix64
 
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 #: A task deals out the anchors of about so many bytes together.
 FLUSH_BYTES = 4 << 20
 #: Bytes of text for each task by anchor.
@@ -250,29 +250,28 @@ def earlier_windows(hashes: list[int], contexts: list[bytes]) -> list[np.ndarray
     group = np.cumsum(new) - 1
     rank = np.arange(len(value)) - np.flatnonzero(new)[group]
     done = [np.zeros(max(len(c) - LENGTH + 1, 0), bool) for c in contexts]
+    hit = [False] * len(contexts)                        # some of its windows found
     depth = int(rank.max()).bit_length()
     for level in range(depth - 1, -1, -1):
         block, side = (group << 32) | (rank >> (level + 1)), (rank >> level) & 1
         both = np.intersect1d(block[side == 0], block[side == 1])
         meets = np.isin(block, both)
-        earlier, later = ([(k, a, n) for k in np.flatnonzero(meets & (side == s)).tolist() for a, n in _open(done[k])] for s in (0, 1))
+        earlier, later = ([(k, a, n) for k in np.flatnonzero(meets & (side == s)).tolist()
+                           for a, n in (_stretches(~done[k]) if hit[k] else [(0, len(done[k]))])] for s in (0, 1))
         if not earlier or not later:
             continue
         index = RunIndex([contexts[k][a:a + n + LENGTH - 1] for k, a, n in earlier])
-        hits = index.matching_statistics([contexts[k][a:a + n + LENGTH - 1] for k, a, n in later], LENGTH)
-        for (k, a, _), hit in zip(later, hits):
-            done[k][a + hit] = True
+        found = index.matching_statistics([contexts[k][a:a + n + LENGTH - 1] for k, a, n in later], LENGTH)
+        for (k, a, _), at in zip(later, found):
+            if len(at):
+                done[k][a + at] = hit[k] = True
     return done
 
 
-def _open(done: np.ndarray) -> list[tuple[int, int]]:
-    """(first, number) of the stretches of windows not found yet."""
-    return [(a, b - a) for a, b in _stretches(~done)]
-
-
 def _stretches(mask: np.ndarray) -> list[tuple[int, int]]:
+    """(first, number) of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
 def _match(batches):
@@ -282,7 +281,8 @@ def _match(batches):
     def matched(some):
         out = []
         for (_, _, key, first, _), done in zip(some, earlier_windows([x[0] for x in some], [x[4] for x in some])):
-            out += [(key, first + a, b - a) for a, b in _stretches(done)]
+            if done.any():
+                out += [(key, first + a, n) for a, n in _stretches(done)]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), schema.types)], schema=schema)
 
     # A row that is repeated asks twice for the same place.
@@ -311,8 +311,8 @@ def _cut(batches):
                 np.add.at(cover, a, 1)
                 np.add.at(cover, a + n + LENGTH - 1, -1)
                 found = _stretches(np.cumsum(cover[:-1]) > 0)
-                spans = [{"start": a, "length": b - a} for a, b in found]
-                kept = b"".join(text[b:a] for (_, b), (a, _) in zip([(0, 0), *found], [*found, (len(text), 0)]))
+                spans = [{"start": a, "length": n} for a, n in found]
+                kept = b"".join(text[a + n:b] for (a, n), (b, _) in zip([(0, 0), *found], [*found, (len(text), 0)]))
             for o, x in zip(out, (doc.as_py(), len(text), spans, kept)):
                 o.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)

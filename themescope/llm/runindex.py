@@ -74,7 +74,8 @@ class RunIndex:
         return np.minimum(got, most)
 
     def matching_statistics(self, texts: list[bytes], least: int) -> list[np.ndarray]:
-        """For each pattern the positions at which a match of at least ``least`` bytes starts."""
+        """For each pattern the positions at which a match of at least ``least`` bytes starts.
+        A pattern is left as soon as its match ends before ``least``: ends never move right."""
         size = np.array([len(t) for t in texts])
         longest, count = int(size.max()), len(texts)
         chars = np.zeros((longest, count), np.int64)     # row t: symbol t places before the end
@@ -83,9 +84,11 @@ class RunIndex:
         chars[(np.cumsum(size)[row] - 1 - np.arange(len(flat))), row] = flat.astype(np.int64) + 1
         at, pos = np.zeros(count, np.int64), np.full(count, self.first[0])
         length = np.zeros(count, np.int64)
-        runs, found = len(self.start), []
+        runs, found, live = len(self.start), [], np.arange(count)
         for t in range(longest):
-            q = np.flatnonzero(size > t)
+            live = q = live[size[live] > t]
+            if len(q) == 0:
+                break
             c = chars[t, q]
             run = np.searchsorted(self.start, at[q], "right") - 1
             same = self.symbol[run] == c
@@ -114,7 +117,8 @@ class RunIndex:
             hit = best >= 0
             length[move] = best + 1
             at[move[hit]], pos[move[hit]] = row_to[hit], pos_to[hit]
-            long = q[length[q] >= least]
+            live = q[size[q] - 1 - t + length[q] >= least]
+            long = live[length[live] >= least]
             found.append((long, size[long] - 1 - t))
         who, where = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((where, who))
