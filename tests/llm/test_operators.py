@@ -115,6 +115,14 @@ def test_word_encoder_equals_untouched_tokenizer(name):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_texts_use_the_word_cache(name):
+    e = WordEncoder(public_path(name))
+    assert not any(e.whole(t) for t in (ENGLISH, FRENCH, "I like it, ENDOFTEXT <|ENDOFTEXT|>"))
+    assert e.whole("a <|endoftext|> b")
+    assert e.whole("\u0130.") == (name == "word_bpe_49k.json")
+
+
 def test_packing(docs, nothing):
     path = public_path(packing.TOKENIZER)
     got = packing.packed(docs, path, window=64).collect()

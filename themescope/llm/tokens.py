@@ -51,10 +51,11 @@ class WordEncoder:
         else:
             raise ValueError(f"no word pattern known for the pre-tokenizer of {path}")
         self.words = regex.compile(pattern).findall
-        added = [regex.escape(t["content"]) for t in spec["added_tokens"]]
+        if any(t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"added tokens of {path} are looked for in normalised text")
+        self.special = [t["content"] for t in spec["added_tokens"]]
         if "Lowercase" in kinds:
-            added += [c for c in map(chr, range(sys.maxunicode + 1)) if len(c.lower()) > 1]
-        self.whole = regex.compile("|".join(added), regex.IGNORECASE).search if added else lambda text: None
+            self.special += [c for c in map(chr, range(sys.maxunicode + 1)) if len(c.lower()) > 1]
         self.leading = pattern is BYTE_LEVEL              # a word may start with its space
         self.rare = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
         self.cache: dict[str, bytes] = {}
@@ -79,8 +80,12 @@ class WordEncoder:
             out.append(ids.tobytes())
         return out
 
+    def whole(self, text: str) -> bool:
+        """Whether the text must go through the library whole: case matters here."""
+        return any(s in text for s in self.special)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self.whole(t) or self.nfc and self.whole(unicodedata.normalize("NFC", t))]
+        whole = [i for i, t in enumerate(texts) if self.whole(t) or self.nfc and not t.isascii() and self.whole(unicodedata.normalize("NFC", t))]
         if not whole:
             return self.by_words(texts)
         found = dict(zip(whole, self.packed([texts[i] for i in whole])))
