@@ -48,7 +48,7 @@ SAMPLE = 64
 MANY, MOST_MANY = 64, 1 << 14
 #: Bytes of contexts that are indexed together.
 INDEX_BYTES = 2 << 20
-_SEGMENT = (1 << 20) - 256
+_SEGMENT = 1 << 18                                      # windows hashed at a time
 _SPAN = LENGTH - GRAM + 1                                # grams of a window
 _FIRST = -(1 << 63)                                      # stands for a null id: before all others
 
@@ -89,25 +89,30 @@ def _least(a: np.ndarray, span: int) -> np.ndarray:
 def anchors(texts: list[bytes]):
     """(text, first window, number of windows, hash) of the anchors of some texts, in order."""
     b = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts], np.int64)
-    end = np.cumsum(size)
+    end = np.cumsum([len(t) for t in texts])
     total = len(b) - LENGTH + 1
-    if total < 1:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    place, value = np.empty(total, np.int64), np.empty(total, np.uint64)
+    starts, places, values, before = [], [], [], -1
     for s in range(0, total, _SEGMENT):
         m = min(_SEGMENT, total - s)
         h = _gram_hashes(b[s:s + m + LENGTH - 1])
         # 44 bits of the hash, then the position: of equal grams the leftmost.
         least = _least((h & ~np.uint64((1 << 20) - 1)) | np.arange(len(h), dtype=np.uint64), _SPAN)
         at = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
-        place[s:s + m], value[s:s + m] = s + at, h[at]
-    text = np.repeat(np.arange(len(texts)), size)[:total]
-    inside = np.flatnonzero(np.arange(total) + LENGTH <= end[text])
-    place = place[inside]
-    edge = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
-    first = inside[edge]
-    return text[first], first - (end - size)[text[first]], np.diff(np.append(edge, len(place))), value[first]
+        new = np.flatnonzero(np.concatenate(([s + at[0] != before], at[1:] != at[:-1])))
+        starts.append(s + new)
+        places.append(s + at[new])
+        values.append(h[at[new]])
+        before = s + at[-1]
+    if not starts:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    first, place, value = (np.concatenate(x) for x in (starts, places, values))
+    # Windows with one anchor occurrence, those that lie inside its text.
+    text = np.searchsorted(end, place, "right")
+    begin = np.concatenate(([0], end))[text]
+    stop = np.minimum(np.append(first[1:], total), end[text] - LENGTH + 1)
+    first = np.maximum(first, begin)
+    keep = stop > first
+    return text[keep], (first - begin)[keep], (stop - first)[keep], value[keep]
 
 
 def _flushes(batches, columns: list[str], of: str):
