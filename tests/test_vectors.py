@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from themescope.functions import vector as vx
 from themescope.operators import cluster as cl
+from themescope.operators import kmeans as km
 from themescope.operators import neighbours as nn
 
 
@@ -106,14 +107,14 @@ def test_fuzzy_weights_sum_to_log2k(spark):
 
 def test_kmeans_recovers_blobs_and_is_reproducible(spark):
     df, rows = blobs(spark, n_per=20, k=3)
-    model, cost = cl.kmeans_fit(df, 3, n_init=3)
-    labels = {r.id: r.cluster for r in cl.kmeans_labels(df, model).collect()}
+    model, cost = km.kmeans_fit(df, 3, n_init=3)
+    labels = {r.id: r.cluster for r in km.kmeans_labels(df, model).collect()}
     groups = {}
     for rid, _, true in rows:
         groups.setdefault(true, set()).add(labels[rid])
     assert all(len(v) == 1 for v in groups.values()) and len({next(iter(v)) for v in groups.values()}) == 3
-    model2, cost2 = cl.kmeans_fit(df, 3, n_init=3)
-    labels2 = {r.id: r.cluster for r in cl.kmeans_labels(df, model2).collect()}
+    model2, cost2 = km.kmeans_fit(df, 3, n_init=3)
+    labels2 = {r.id: r.cluster for r in km.kmeans_labels(df, model2).collect()}
     assert labels2 == labels                                 # same seed, same clustering
     assert abs(cost - cost2) <= 1e-12 * max(1.0, cost)       # cost up to summation order
 
@@ -171,10 +172,10 @@ def test_fit_ab_matches_curve():
 
 def test_elbow_takes_the_best_start_of_each_k(spark):
     df, _ = blobs(spark, n_per=10, k=3, seed=11)
-    a = cl.elbow_curve(df, max_k=4, n_init=2)
+    a = km.elbow_curve(df, max_k=4, n_init=2)
     assert [k for k, _ in a] == [2, 3, 4]
     for k, cost in a:
-        best = cl.kmeans_fit(df, k, n_init=2)[1]
+        best = km.kmeans_fit(df, k, n_init=2)[1]
         assert abs(cost - best) <= 1e-9 * max(1.0, best)
     assert a[1][1] <= a[0][1] + 1e-9                          # k=3 no worse than k=2 here
 
@@ -221,3 +222,66 @@ def test_knn_ties_go_to_the_lowest_ids(spark):
         for i, nbrs in got.items():
             assert [n for _, n in sorted(nbrs)] == [x for x in ("000", "001", "002", "003") if x != i][:3]
         assert len(got) == 300
+
+
+def plain_kmeans(ids, X, k, seed, tol=1e-4, max_iter=300):
+    """One start in plain NumPy: the same draws, distances as sums of squared differences."""
+    import hashlib
+    h = np.array([int(hashlib.md5(i.encode()).hexdigest()[:15], 16) for i in ids], np.uint64)
+    centres = []
+    for step in range(k):
+        w = np.ones(len(X)) if not centres else np.min([((X - c) ** 2).sum(1) for c in centres], axis=0)
+        with np.errstate(divide="ignore"):
+            centres.append(X[np.argmin(-np.log(km.uniform(h, seed, step)) / np.where(w < 1e-12, 0.0, w))])
+    C = np.array(centres)
+    for _ in range(max_iter):
+        near = ((X[:, None] - C[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([X[near == c].mean(0) if (near == c).any() else C[c] for c in range(k)])
+        moved, C = np.sqrt(((new - C) ** 2).sum(1)).max(), new
+        if moved <= tol:
+            break
+    D = ((X[:, None] - C[None]) ** 2).sum(-1)
+    return D.min(1).sum(), D.argmin(1)
+
+
+def test_kmeans_and_elbow_equal_plain_numpy_on_the_whole_table(spark):
+    """Every start of kmeans_fit (k = 5) and of elbow_curve (k = 2..10) over all vectors of sf0.001."""
+    from themescope import fixtures as fx
+    v = fx.vectors(spark, "/root/testdata/sf0.001")
+    rows = v.select("id", "embedding").collect()
+    ids, X = [r.id for r in rows], np.array([r.embedding for r in rows])
+    X = X / np.linalg.norm(X, axis=1, keepdims=True)
+    plain = {(k, s): plain_kmeans(ids, X, k, s) for k in range(2, 11) for s in range(42, 52)}
+    for k, cost in km.elbow_curve(v):
+        assert abs(cost - min(plain[k, s][0] for s in range(42, 52))) < 1e-9
+    model, cost = km.kmeans_fit(v, 5)
+    want = min(((round(plain[5, s][0], 9), s) for s in range(42, 52)))
+    assert (round(cost, 9), model.seed) == want
+    groups = {}
+    for r in km.kmeans_labels(v, model).select("id", "cluster").collect():
+        groups.setdefault(r.cluster, set()).add(r.id)
+    near = plain[5, model.seed][1]
+    sets = [{i for i, c in zip(ids, near) if c == x} for x in range(5)]
+    sets.sort(key=lambda s: (-len(s), min(s)))
+    assert [groups[c] for c in range(5)] == sets
+
+
+def test_kmeans_reads_the_vectors_once_a_pass(spark, monkeypatch):
+    df, _ = blobs(spark, n_per=10, k=3)
+    passes = []
+    real = km._pass
+    monkeypatch.setattr(km, "_pass", lambda v, sets: passes.append(len(sets)) or real(v, sets))
+    km.elbow_curve(df, max_k=5, n_init=4)
+    assert passes[0] == 16 and passes[-1] == 16               # all starts in one pass, and for the final cost
+    assert sorted(passes[:-1], reverse=True) == passes[:-1]   # converged starts leave
+
+
+def test_kmeans_of_awkward_tables(spark):
+    schema = "id STRING, embedding ARRAY<DOUBLE>"
+    two = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 2.0]), ("c", [0.0, 2.0]), (None, [0.0, 1.0]), ("n", None)], schema)
+    model, cost = km.kmeans_fit(two, 4, n_init=2)
+    assert len(model.centres) == 2 and cost < 1e-12            # fewer different vectors than k
+    got = {(r.id, r.cluster) for r in km.kmeans_labels(two, model).collect()}
+    assert got == {("c", 0), (None, 0), ("a", 1), ("b", 1), ("n", None)}
+    with pytest.raises(ValueError):
+        km.kmeans_fit(two.limit(0), 2)

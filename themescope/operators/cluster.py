@@ -1,14 +1,12 @@
-"""K-Means family: centres, nearest-centre assignment, Lloyd step, restarts,
-elbow sweep, silhouettes (exact Euclidean and scalable squared)."""
+"""Centres, nearest-centre assignment, Lloyd step, elbow point, silhouettes (exact
+Euclidean and scalable squared).  Whole K-Means fits are in ``kmeans``."""
 
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -109,71 +107,6 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("sq_dist").alias("inertia"), F.count(F.lit(1)).alias("n"))
 
 
-def normalized_features(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    return df.withColumn("features", array_to_vector(l2_normalize(vec_col)))
-
-
-def _fit_all(feats: DataFrame, specs: list[tuple[int, int]], max_iter: int, tol: float,
-             parallelism: int) -> list:
-    """Fit one Spark ML K-Means per (k, seed); independent fits run as
-    concurrent Spark jobs from a driver thread pool."""
-    def fit(spec):
-        k, sd = spec
-        km = KMeans(k=k, seed=sd, maxIter=max_iter, tol=tol,
-                    featuresCol="features", predictionCol="raw_cluster")
-        model = km.fit(feats)
-        return k, sd, model, model.summary.trainingCost
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(specs)))) as pool:
-        return list(pool.map(fit, specs))
-
-
-def kmeans_fit(df: DataFrame, k: int, n_init: int = 10, seed: int = 42,
-               max_iter: int = 300, tol: float = 1e-4, vec_col: str = "embedding",
-               id_col: str = "id", parallelism: int = 10):
-    """Best of ``n_init`` K-Means starts (seeds seed..seed+n_init-1) on
-    L2-normalised vectors, by training cost (ties → lower seed).  Every start
-    is a Spark ML fit (k-means||, concurrent) at every size.  Returns (model,
-    cost).
-    """
-    feats = normalized_features(df.select(id_col, vec_col), vec_col).select(id_col, "features").persist()
-    try:
-        feats.count()                                  # fills the cache before concurrent fits start
-        fits = _fit_all(feats, [(k, seed + i) for i in range(n_init)], max_iter, tol, parallelism)
-    finally:
-        feats.unpersist()
-    best = min(fits, key=lambda f: (f[3], f[1]))
-    return best[2], best[3]
-
-
-def kmeans_labels(df: DataFrame, model, vec_col: str = "embedding", id_col: str = "id") -> DataFrame:
-    """Apply a fitted model, then relabel clusters stably: by size descending,
-    then by smallest member id (ids are arbitrary otherwise)."""
-    raw = model.transform(normalized_features(df, vec_col)).drop("features")
-    stats = raw.groupBy("raw_cluster").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("m"))
-    rows = collect_small(stats, model.getK(), "cluster sizes")
-    order = sorted(rows, key=lambda r: (-r["n"], r["m"]))
-    mapping = F.create_map(*[x for new, r in enumerate(order)
-                             for x in (F.lit(int(r["raw_cluster"])), F.lit(new))])
-    return raw.withColumn("cluster", mapping[F.col("raw_cluster")].cast("int")).drop("raw_cluster")
-
-
-def elbow_curve(df: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42,
-                vec_col: str = "embedding", max_iter: int = 300, tol: float = 1e-4,
-                parallelism: int = 8) -> list[tuple[int, float]]:
-    """(k, best inertia over ``n_init`` starts) for k = 2..max_k."""
-    feats = normalized_features(df.select(vec_col), vec_col).select("features").persist()
-    try:
-        specs = [(k, seed + i) for k in range(2, max_k + 1) for i in range(n_init)]
-        feats.count()                                  # fills the cache before concurrent fits start
-        fits = _fit_all(feats, specs, max_iter, tol, parallelism)
-    finally:
-        feats.unpersist()
-    best: dict[int, float] = {}
-    for k, _, _, cost in fits:
-        best[k] = min(cost, best.get(k, float("inf")))
-    return sorted(best.items())
-
-
 def elbow_k(curve: list[tuple[int, float]]) -> int:
     """Bend of the curve: the k farthest from the chord between its ends (ours)."""
     if len(curve) < 3:

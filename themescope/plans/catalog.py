@@ -21,6 +21,7 @@ from themescope.operators import cluster as cl
 from themescope.operators import drift as dr
 from themescope.operators import encode as en
 from themescope.operators import ingest as ing
+from themescope.operators import kmeans as km
 from themescope.operators import layout as lo
 from themescope.operators import neighbours as nn
 from themescope.operators import report as rp
@@ -572,13 +573,13 @@ def q_project_2d(spark, sf):
 @register("kmeans_fit", None)
 def q_kmeans_fit(spark, sf):
     v = fx.vectors(spark, sf)
-    model, _ = cl.kmeans_fit(v, KMEANS_K)
-    return cl.kmeans_labels(v, model).select("id", "cluster")
+    model, _ = km.kmeans_fit(v, KMEANS_K)
+    return km.kmeans_labels(v, model).select("id", "cluster")
 
 
 @register("elbow_curve", None)
 def q_elbow_curve(spark, sf):
-    curve = cl.elbow_curve(fx.vectors(spark, sf), max_k=10)
+    curve = km.elbow_curve(fx.vectors(spark, sf), max_k=10)
     return spark.createDataFrame([(k, float(c)) for k, c in curve], "k INT, inertia DOUBLE")
 
 

@@ -21,6 +21,7 @@ from themescope.functions.text import dataset_key
 from themescope.operators import cluster as cl
 from themescope.operators import encode as en
 from themescope.operators import ingest as ing
+from themescope.operators import kmeans as km
 from themescope.operators import neighbours as nn
 from themescope.operators import report as rp
 from themescope.session import scratch_path
@@ -94,8 +95,8 @@ def theme_map(posts: DataFrame, topic: str, k: int = DEFAULT_K,
         vectors = en.encode(posts, encoder) if encoder else en.hashing_encoder(posts)
     vectors = _durable(vectors.select("id", "embedding"), "vectors")
 
-    model, cost = cl.kmeans_fit(vectors, k, n_init=n_init, seed=seed)
-    assigned = cl.kmeans_labels(vectors, model).select("id", "cluster")
+    model, cost = km.kmeans_fit(vectors, k, n_init=n_init, seed=seed)
+    assigned = km.kmeans_labels(vectors, model).select("id", "cluster")
     clustered = _durable(posts.join(assigned, "id"), "clustered")
     with_vec = clustered.join(vectors, "id")
 
@@ -149,9 +150,9 @@ def cluster_phase(spark: SparkSession, posts_path: str, vectors_path: str, k: in
     the posts CSV, taken at its scan and kept as column ``ord`` of the output."""
     posts = fs.read_posts_csv(spark, posts_path).withColumn("ord", F.monotonically_increasing_id())
     vecs = spark.read.parquet(vectors_path).select("id", "embedding")
-    curve = cl.elbow_curve(vecs, max_k=max_k, n_init=n_init, seed=seed)
-    model, _ = cl.kmeans_fit(vecs, k, n_init=n_init, seed=seed)
-    clustered = posts.join(cl.kmeans_labels(vecs, model).select("id", "cluster"), "id")
+    curve = km.elbow_curve(vecs, max_k=max_k, n_init=n_init, seed=seed)
+    model, _ = km.kmeans_fit(vecs, k, n_init=n_init, seed=seed)
+    clustered = posts.join(km.kmeans_labels(vecs, model).select("id", "cluster"), "id")
     fs.write_csv(clustered.select(*schemas.CLUSTERED.names), clustered_path)
     return curve, rp.cluster_profile(fs.read_posts_csv(spark, clustered_path, with_cluster=True), k)
 
