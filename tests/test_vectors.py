@@ -237,8 +237,8 @@ def plain_kmeans(ids, X, k, seed, tol=1e-4, max_iter=300):
     for _ in range(max_iter):
         near = ((X[:, None] - C[None]) ** 2).sum(-1).argmin(1)
         new = np.array([X[near == c].mean(0) if (near == c).any() else C[c] for c in range(k)])
-        moved, C = np.sqrt(((new - C) ** 2).sum(1)).max(), new
-        if moved <= tol:
+        moved, C = ((new - C) ** 2).sum(), new
+        if moved <= tol * X.var(0).mean():
             break
     D = ((X[:, None] - C[None]) ** 2).sum(-1)
     return D.min(1).sum(), D.argmin(1)

@@ -1,8 +1,8 @@
 """K-Means for many starts in shared passes (CLU-3, CLU-4).
 
 All starts — every (k, seed) — are seeded and moved together: a pass reads the vectors
-once, works on the centres of all starts that still move, and sends one row per (start,
-cluster) and task to the aggregate.  Starts that have converged leave the passes.
+once, works on the centres of all starts that still move, and sends the sums of each
+cluster up a tree of tasks.  Starts that have converged leave the passes.
 
 Seeding is k-means++ as an exponential race: the next centre of a seed is the row with the
 least −ln(u) / d², d² being the squared distance to the seed's centres so far and u a
@@ -17,8 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,79 +62,60 @@ def unit_vectors(df: DataFrame, vec_col: str = "embedding", id_col: str = "id")
         l2_normalize(vec_col).alias("v"))
 
 
-def _race(centres: dict[int, np.ndarray], step: int):
-    """For each seed the best row of the task: (seed, key, id, v)."""
-    schema = pa.schema([("seed", pa.int64()), ("key", pa.float64()), ("id", pa.string()), ("v", pa.list_(pa.float64()))])
+def blocks(vectors: DataFrame) -> RDD:
+    """The vectors as NumPy blocks (ids, h, matrix), one per Arrow batch.
 
-    def race(batches):
-        best: dict[int, tuple] = {}
+    An iteration is one tree-aggregated job over these; as a query it would be planned anew
+    every time, which takes longer than a pass over a small table."""
+    def pack(batches):
         for batch in batches:
-            x, h = _matrix(batch.column(2)), batch.column(1).to_numpy()
-            if len(x) == 0:
-                continue
-            for seed, c in centres.items():
-                weight = _squared_distances(x, c).min(1) if len(c) else np.ones(len(x))
-                if len(c):                               # a centre's own copies: rounding leaves no weight
-                    weight[weight < 1e-12] = 0.0
-                with np.errstate(divide="ignore"):
-                    key = -np.log(uniform(h, seed, step)) / weight
-                least = key.min()
-                if not np.isfinite(least):
-                    continue
-                for k in np.flatnonzero(key == least):
-                    row = (least, batch.column(0)[int(k)].as_py(), x[k].tolist())
-                    if seed not in best or row < best[seed]:
-                        best[seed] = row
-        yield pa.RecordBatch.from_pylist([{"seed": s, "key": r[0], "id": r[1], "v": r[2]} for s, r in best.items()], schema)
-    return race
-
-
-def seed_centres(vectors: DataFrame, k: int, seeds: list[int]) -> dict[int, np.ndarray]:
+            if batch.num_rows:
+                x = _matrix(batch.column(2))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([batch.column(0).to_pylist()], pa.list_(pa.string())), pa.array([batch.column(1).to_numpy().tobytes()]),
+                    pa.array([np.ascontiguousarray(x).tobytes()])], ["ids", "h", "v"])
+
+    def unpack(row):
+        return row.ids, np.frombuffer(row.h, np.int64), np.frombuffer(row.v).reshape(len(row.ids), -1)
+
+    return vectors.select("id", "h", "v").mapInArrow(pack, "ids array<string>, h binary, v binary").rdd.map(unpack)
+
+
+def _by_tree(data: RDD, of_block, merge):
+    """One value for all blocks: merged in each task, then up a tree; None without blocks."""
+    def both(a, b):
+        return b if a is None else a if b is None else merge(a, b)
+    return data.treeAggregate(None, lambda acc, block: both(acc, of_block(block)), both)
+
+
+def seed_centres(data: RDD, k: int, seeds: list[int]) -> dict[int, np.ndarray]:
     """The first k centres of every seed, one pass per centre; fewer where the table has
     fewer different vectors."""
-    centres = {s: np.zeros((0, 0)) for s in seeds}
+    centres: dict[int, np.ndarray] = {}
     for step in range(k):
-        open_ = {s: c for s, c in centres.items() if len(c) == step}
-        if not open_:
-            break
-        found = vectors.mapInArrow(_race(open_, step), "seed long, key double, id string, v array<double>")
-        best = found.groupBy("seed").agg(F.min(F.struct("key", "id", "v")).alias("b")).select("seed", "b.v")
-        for r in collect_small(best, len(seeds), "seeds"):
-            new = np.array(r["v"])[None]
-            centres[r["seed"]] = np.concatenate((centres[r["seed"]], new)) if step else new
-    return centres
+        open_ = {s: centres.get(s) for s in seeds if len(centres.get(s, ())) == step}
+
+        def race(block, open_=open_, step=step):
+            ids, h, x = block
+            best = {}
+            for seed, c in open_.items():
+                weight = np.ones(len(x))
+                if c is not None:
+                    weight = _squared_distances(x, c).min(1)
+                    weight[weight < 1e-12] = 0.0         # a centre's own copies: rounding leaves no weight
+                with np.errstate(divide="ignore"):
+                    key = -np.log(uniform(h, seed, step)) / weight
+                if np.isfinite(least := key.min()):
+                    best[seed] = min((least, ids[i], x[i].tolist()) for i in np.flatnonzero(key == least))
+            return best
 
+        found = _by_tree(data, race, lambda a, b: {s: min(x for x in (a.get(s), b.get(s)) if x) for s in a.keys() | b.keys()}) or {}
+        for s, (_, _, v) in found.items():
+            centres[s] = np.concatenate((centres[s], [v])) if step else np.array([v])
+    return centres
 
-def _sums(sets: dict[int, np.ndarray]):
-    """For each start and cluster the task's number of rows, their sum and their cost."""
-    schema = pa.schema([("start", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64()), ("cost", pa.float64()),
-                        ("total", pa.list_(pa.float64()))])
-    every = np.concatenate(list(sets.values()))
-    ends = np.cumsum([len(c) for c in sets.values()])
 
-    def sums(batches):
-        n, cost, total = np.zeros(len(every), np.int64), np.zeros(len(every)), np.zeros(every.shape)
-        for batch in batches:
-            x = _matrix(batch.column(0))
-            if len(x) == 0:
-                continue
-            d = _squared_distances(x, every)
-            for lo, hi in zip([0, *ends[:-1]], ends):
-                near = d[:, lo:hi].argmin(1)
-                own = np.zeros((len(x), hi - lo))
-                own[np.arange(len(x)), near] = 1.0
-                n[lo:hi] += own.sum(0).astype(np.int64)
-                cost[lo:hi] += own.T @ d[np.arange(len(x)), lo + near]
-                total[lo:hi] += own.T @ x
-        at = [(s, c) for s, cs in sets.items() for c in range(len(cs))]
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([at[i][0] for i in some], pa.int32()), pa.array([at[i][1] for i in some], pa.int32()),
-            pa.array(n[some]), pa.array(cost[some]), pa.array(list(total[some]), pa.list_(pa.float64()))], schema=schema)
-    return sums
-
-
-def _pass(vectors: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+def _pass(data: RDD, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
     """One pass over the vectors: new centres and cost of every start.  An empty cluster
     keeps its centre.  Starts are taken together up to ``MAX_CENTRE_CELLS`` numbers."""
     out, todo = {}, list(sets.items())
@@ -146,37 +126,47 @@ def _pass(vectors: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np
             if centres.size > MAX_CENTRE_CELLS:
                 raise ValueError(f"centres hold {centres.size} values; above {MAX_CENTRE_CELLS}")
             some[start], cells = centres, cells + centres.size
-        part = vectors.select("v").mapInArrow(_sums(some), "start int, cluster int, n long, cost double, total array<double>")
-        agg = part.groupBy("start", "cluster").agg(
-            F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(array_to_vector("total")).alias("t"))
-        rows = collect_small(agg.select("start", "cluster", "n", "cost", vector_to_array("t").alias("t")),
-                             sum(len(c) for c in some.values()), "cluster sums")
-        for start, centres in some.items():
-            new, cost = centres.copy(), 0.0
-            for r in sorted((r for r in rows if r["start"] == start), key=lambda r: r["cluster"]):
-                new[r["cluster"]] = np.array(r["t"]) / r["n"]
-                cost += r["cost"]
-            out[start] = (new, cost)
+        every = np.concatenate(list(some.values()))
+        ends = np.cumsum([len(c) for c in some.values()])
+
+        def sums(block, every=every, ends=ends):
+            x = block[2]
+            d, rows = _squared_distances(x, every), np.arange(len(x))
+            own, cost = np.zeros(d.shape), np.zeros(len(every))
+            for lo, hi in zip([0, *ends[:-1]], ends):
+                near = lo + d[:, lo:hi].argmin(1)
+                own[rows, near] = 1.0
+                cost += np.bincount(near, d[rows, near], len(every))
+            return own.sum(0), cost, own.T @ x
+
+        n, cost, total = _by_tree(data, sums, lambda a, b: tuple(p + q for p, q in zip(a, b)))
+        for (start, centres), lo, hi in zip(some.items(), [0, *ends[:-1]], ends):
+            filled = n[lo:hi, None] > 0
+            out[start] = (np.where(filled, total[lo:hi] / np.maximum(n[lo:hi, None], 1), centres), float(cost[lo:hi].sum()))
     return out
 
 
-def fit_starts(vectors: DataFrame, starts: list[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4) -> list[KMeansModel]:
-    """One model per (k, seed).  A start stops when no centre moves farther than ``tol``."""
+def fit_starts(data: RDD, starts: list[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4) -> list[KMeansModel]:
+    """One model per (k, seed).  A start stops when its centres' squared moves add up to at
+    most ``tol`` times the mean variance of a component."""
     seeds = sorted({s for _, s in starts})
-    chosen = seed_centres(vectors, max(k for k, _ in starts), seeds)
-    sets = {i: chosen[s][:k] for i, (k, s) in enumerate(starts)}
-    if any(c.size == 0 for c in sets.values()):
+    moments = _by_tree(data, lambda b: (len(b[2]), b[2].sum(0), (b[2] ** 2).sum(0)), lambda a, b: tuple(p + q for p, q in zip(a, b)))
+    if moments is None:
         raise ValueError("no vectors to cluster")
+    n, total, squares = moments
+    enough = tol * float((squares / n - (total / n) ** 2).mean())
+    chosen = seed_centres(data, max(k for k, _ in starts), seeds)
+    sets = {i: chosen[s][:k] for i, (k, s) in enumerate(starts)}
     moving = dict(sets)
     for _ in range(max_iter):
         if not moving:
             break
-        for i, (new, _) in _pass(vectors, moving).items():
-            moved = np.sqrt(((new - moving[i]) ** 2).sum(1)).max()
+        for i, (new, _) in _pass(data, moving).items():
+            moved = ((new - moving[i]) ** 2).sum()
             sets[i] = moving[i] = new
-            if moved <= tol:
+            if moved <= enough:
                 del moving[i]
-    cost = _pass(vectors, sets)
+    cost = _pass(data, sets)
     return [KMeansModel(s, sets[i], cost[i][1]) for i, (_, s) in enumerate(starts)]
 
 
@@ -188,11 +178,11 @@ def kmeans_fit(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter
     Rows without a vector take no part; rows of one id draw the same number; a table with
     fewer than k different vectors has as many clusters as vectors; an empty one is an error.
     """
-    vectors = unit_vectors(df, vec_col, id_col).persist()
+    data = blocks(unit_vectors(df, vec_col, id_col)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = fit_starts(vectors, [(k, seed + i) for i in range(n_init)], max_iter, tol)
+        models = fit_starts(data, [(k, seed + i) for i in range(n_init)], max_iter, tol)
     finally:
-        vectors.unpersist()
+        data.unpersist()
     best = min(models, key=lambda m: (float(f"{m.cost:.9g}"), m.seed))
     return best, best.cost
 
@@ -212,9 +202,9 @@ def kmeans_labels(df: DataFrame, model: KMeansModel, vec_col: str = "embedding",
 def elbow_curve(df: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42, vec_col: str = "embedding",
                 max_iter: int = 300, tol: float = 1e-4, id_col: str = "id") -> list[tuple[int, float]]:
     """(k, best cost over ``n_init`` starts) for k = 2..max_k, all starts in the same passes."""
-    vectors = unit_vectors(df, vec_col, id_col).persist()
+    data = blocks(unit_vectors(df, vec_col, id_col)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = fit_starts(vectors, [(k, seed + i) for k in range(2, max_k + 1) for i in range(n_init)], max_iter, tol)
+        models = fit_starts(data, [(k, seed + i) for k in range(2, max_k + 1) for i in range(n_init)], max_iter, tol)
     finally:
-        vectors.unpersist()
+        data.unpersist()
     return [(k, min(m.cost for m in models[j * n_init:(j + 1) * n_init])) for j, k in enumerate(range(2, max_k + 1))]
