@@ -285,3 +285,35 @@ def test_kmeans_of_awkward_tables(spark):
     assert got == {("c", 0), (None, 0), ("a", 1), ("b", 1), ("n", None)}
     with pytest.raises(ValueError):
         km.kmeans_fit(two.limit(0), 2)
+
+
+def brute_knn(ids, X, k):
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    D[np.array(ids)[:, None] == np.array(ids)[None]] = np.inf
+    return {i: [ids[j] for j in sorted(range(len(ids)), key=lambda j: (d[j], ids[j]))[:k] if np.isfinite(d[j])] for i, d in zip(ids, D)}
+
+
+@pytest.mark.parametrize("spread", [0.05, 10.0])
+def test_knn_cells_lose_nothing(spark, spread):
+    """Clustered rows meet few blocks, unclustered ones nearly all; neighbours are exact in both."""
+    from themescope.operators import knn
+    rng = np.random.default_rng(2)
+    C = rng.normal(0, 1, (12, 6))
+    X = np.concatenate((C[rng.integers(0, 12, 400)] + rng.normal(0, spread, (400, 6)), np.zeros((5, 6)), C[:1].repeat(60, 0)))
+    ids = [f"{i:04d}" for i in rng.permutation(len(X))]
+    df = spark.createDataFrame([*((i, x.tolist(), "c") for i, x in zip(ids, X)), ("null", None, "c")], "id string, embedding array<double>, block string")
+    _, _, meets, n = knn.knn_blocks(df, 4, block_rows=25)
+    pairs = meets.select("block", "meets").distinct().count()
+    assert n > 15 and (pairs < 0.5 * n * (n - 1) if spread < 1 else pairs <= n * (n - 1))
+    got = {}
+    for r in sorted(nn.knn_graph(df, 4, block_rows=25).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.id, []).append(r.nbr)
+    assert got == brute_knn(ids, X, 4)
+
+
+def test_knn_of_awkward_tables(spark):
+    df = spark.createDataFrame([("a", [0.0]), ("a", [1.0]), ("b", [1.0]), ("c", None), (None, [5.0])], "id string, embedding array<double>")
+    got = {(r.id, r.nbr, r["rank"], r.dist) for r in nn.knn_graph(df.where("id is not null"), 3).collect()}
+    assert got == {("a", "b", 1, 0.0), ("a", "b", 2, 1.0), ("b", "a", 1, 0.0), ("b", "a", 2, 1.0)}
+    assert nn.knn_graph(df.limit(0), 3).collect() == []
+    assert nn.knn_graph(df.where("id = 'b'"), 3).collect() == []

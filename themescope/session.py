@@ -89,6 +89,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """``df`` written once below the shared folder and read back: cuts the lineage, and
+    several later uses read files.  The schema is given, so empty tables stay readable."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def balance(df, min_partitions: int | None = None):
     """Spread a scan that yields fewer partitions than the cluster has cores
     (e.g. one large single-row-group file) round-robin over all of them, so
