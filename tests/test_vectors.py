@@ -317,3 +317,49 @@ def test_knn_of_awkward_tables(spark):
     assert got == {("a", "b", 1, 0.0), ("a", "b", 2, 1.0), ("b", "a", 1, 0.0), ("b", "a", 2, 1.0)}
     assert nn.knn_graph(df.limit(0), 3).collect() == []
     assert nn.knn_graph(df.where("id = 'b'"), 3).collect() == []
+
+
+def plain_layout(ids, edges, init, epochs, total, negatives=5, seed=42):
+    """Epochs in plain Python loops over edges and nodes."""
+    import hashlib
+    from themescope.operators import layout as lo
+    a, b = lo.fit_ab()
+    h = {i: np.array([int(hashlib.md5(i.encode()).hexdigest()[:15], 16)], np.int64) for i in ids}
+    at = {i: np.array(init[i]) * lo.INIT_EXTENT / max(abs(v) for xy in init.values() for v in xy) for i in ids}
+    top = max(w for _, _, w in edges)
+    rate = {i: sum(w for s, _, w in edges if s == i) / top for i in ids}
+    for epoch in range(epochs):
+        grad = {i: np.zeros(2) for i in ids}
+        for s, d, w in edges:
+            diff = at[s] - at[d]
+            d2 = float(diff @ diff)
+            if d2 > 0:
+                grad[s] += w * np.clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2 ** b) * diff, -4, 4)
+        u = {i: lo.uniform(h[i], seed, epoch)[0] for i in ids}
+        pool = sorted((i for i in ids if u[i] < lo.POOL / len(ids)), key=lambda i: (u[i], h[i][0]))
+        for i in ids:
+            for s in range(negatives if pool else 0):
+                j = pool[int(lo.uniform(h[i], seed + 1 + s, epoch)[0] * len(pool))]
+                if j != i:
+                    diff = at[i] - at[j]
+                    d2 = float(diff @ diff)
+                    grad[i] += rate[i] * np.clip(2 * b / ((lo.REPULSION_EPS + d2) * (1 + a * d2 ** b)) * diff, -4, 4)
+        at = {i: at[i] + (1 - epoch / total) * grad[i] for i in ids}
+    return at
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_layout_equals_plain_epochs(spark, monkeypatch, parts):
+    from themescope.operators import layout as lo
+    monkeypatch.setattr(lo, "POOL", 20)
+    monkeypatch.setattr(lo, "CHECKPOINT_EPOCHS", 2)
+    df, _ = blobs(spark, n_per=12, k=3, d=6, seed=5)
+    edges = nn.fuzzy_edges(nn.knn_graph(df, k=5, block_rows=16), k=5)
+    e, p = [tuple(r) for r in edges.collect()], {r.id: (r.x, r.y) for r in nn.project_2d(df).collect()}
+    init = spark.createDataFrame([(i, *xy) for i, xy in p.items()], "id string, x double, y double")
+    got = {r.id: (r.x, r.y) for r in lo.layout_epochs(spark.createDataFrame(e, "src string, dst string, weight double"), init, epochs=3, parts=parts).collect()}
+    want = plain_layout(list(p), e, p, 3, 3)
+    assert got.keys() == want.keys()
+    assert max(abs(np.array(got[i]) - want[i]).max() for i in want) < 1e-9
+    assert lo.layout_epochs(edges.limit(0), init.limit(0)).collect() == []
+    assert len(lo.layout_epochs(edges.limit(0), init, epochs=2, parts=parts).collect()) == len(p)

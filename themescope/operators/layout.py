@@ -1,33 +1,39 @@
 """Layout epochs for the 2-D theme map (VEC-8), after McInnes et al. 2018.
 
-Start from the centred PCA coordinates, then run ``epochs`` rounds of
+Start from given coordinates (the centred PCA), then run ``epochs`` rounds of
 expected-gradient updates:
 
-* attraction along every fuzzy edge (src, dst, w): edge list ⋈ coordinates
-  twice, per-edge gradient, partial ``groupBy(src)`` sum;
-* repulsion from ``negatives`` samples per node, picked by hashing
-  (node, epoch, s) into a dense node index — an equi-join, no cross join —
-  and scaled by how often the node's edges would be sampled (Σw / max w).
-
-Each epoch's coordinates reference the previous ones several times, so the
-table is ``checkpoint()``-ed into the shared ``spark.checkpoint.dir`` every
-epoch: lineage stays one epoch long and a lost executor redoes one epoch.
-Persisting alone is not enough: the logical plan of epoch e would hold four
-copies of epoch e−1's plan, so planning time grows exponentially (measured:
-checkpointing every fifth epoch made a 50-epoch run eight times slower).
+* attraction along every fuzzy edge (src, dst, w), weighted by w;
+* repulsion from ``negatives`` rows per node, drawn by a hash of (node, epoch, s) from a
+  pool of about ``POOL`` nodes that a hash of (node, epoch) chooses, and scaled by how often
+  the node's edges would be sampled (Σw / max w).
+
+Nodes and their edges are packed once into parts of NumPy arrays, keyed by part.  An epoch is
+one exchange: each part sends every other part the coordinates that its edges point to, and
+its nodes of the pool to all; the arrays themselves stay where they are.  Every
+``CHECKPOINT_EPOCHS`` epochs the coordinates are checkpointed into the shared
+``spark.checkpoint.dir``, so a lost executor redoes a few epochs at most.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themescope.session import checkpoint_root
+from themescope.operators.kmeans import uniform
+from themescope.session import checkpoint_root, stored
 
 INIT_EXTENT = 10.0     # initial coordinates scaled to max |coord| = 10
 GRAD_CLIP = 4.0
 REPULSION_EPS = 0.001
+PART_NODES = 50_000    # nodes of a part, on average
+POOL = 1024            # nodes that repel in an epoch, on average
+CHECKPOINT_EPOCHS = 25
 
 
 def fit_ab(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
@@ -50,65 +56,138 @@ def fit_ab(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def _clip(c):
-    return F.greatest(F.least(c, F.lit(GRAD_CLIP)), F.lit(-GRAD_CLIP))
+def _clip(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -GRAD_CLIP, GRAD_CLIP)
+
+
+def attraction(from_: np.ndarray, to: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Gradient on ``from_`` (rows x, y) towards ``to``, clipped."""
+    diff = from_ - to
+    d2 = (diff * diff).sum(1)
+    pull = np.zeros(len(d2))
+    far = d2 > 0
+    pull[far] = -2.0 * a * b * d2[far] ** (b - 1.0) / (1.0 + a * d2[far] ** b)
+    return _clip(pull[:, None] * diff)
+
+
+def repulsion(from_: np.ndarray, to: np.ndarray, a: float, b: float) -> np.ndarray:
+    diff = from_ - to
+    d2 = (diff * diff).sum(1)
+    return _clip((2.0 * b / ((REPULSION_EPS + d2) * (1.0 + a * d2 ** b)))[:, None] * diff)
+
+
+def _packed(df: DataFrame, key: str, order: list[str], columns: dict[str, str]):
+    """(key, {column: array}) for every key, the rows in the given order."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({"key": [int(pdf[key].iloc[0])]} | {c: [pdf[c].to_numpy().astype(t).tobytes()] for c, t in columns.items()})
 
+    rows = df.groupBy(key).applyInPandas(pack, "key long, " + ", ".join(f"{c} binary" for c in columns))
+    return rows.rdd.map(lambda r: (r["key"], {c: np.frombuffer(r[c], t) for c, t in columns.items()}))
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint without computing ``df`` twice (persist, checkpoint,
-    release): the result reads from the shared checkpoint folder."""
-    df = df.persist()
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+
+def _epoch(epoch: int, epochs: int, rate: float, negatives: int, seed: int, pool: float, a: float, b: float):
+    """What a part sends, and how it moves its nodes by what it gets."""
+    def send(item):
+        part, (own, at) = item
+        for k in np.unique(own["to_part"]):
+            yield int(k), ("edge", part, at[own["to_idx"][own["to_part"] == k]])
+        u = uniform(own["h"], seed, epoch)
+        chosen = np.flatnonzero(u < pool)
+        for k in range(own["parts"]):
+            yield k, ("pool", part, np.column_stack((u[chosen], own["h"][chosen].view(np.float64), at[chosen])))
+
+    def move(item):
+        part, (mine, got) = item
+        (own, at), = mine
+        got = list(got)
+        grad = np.zeros_like(at)
+        if len(own["src_idx"]):
+            near = np.concatenate([x for _, _, x in sorted((m for m in got if m[0] == "edge"), key=lambda m: m[1])])
+            pull = attraction(at[own["src_idx"]], near[own["slot"]], a, b) * own["weight"][:, None]
+            for c in (0, 1):
+                grad[:, c] += np.bincount(own["src_idx"], pull[:, c], len(at))
+        near = np.concatenate([x for kind, _, x in got if kind == "pool"])
+        near = near[np.lexsort((near[:, 1].copy().view(np.int64), near[:, 0]))]
+        for s in range(negatives if len(near) else 0):
+            pick = near[(uniform(own["h"], seed + 1 + s, epoch) * len(near)).astype(np.int64)]
+            push = repulsion(at, pick[:, 2:], a, b) * own["rate"][:, None]
+            push[pick[:, 1].copy().view(np.int64) == own["h"]] = 0.0
+            grad += push
+        return part, (own, at + rate * (1.0 - epoch / epochs) * grad)
+    return send, move
 
 
 def layout_epochs(edges: DataFrame, init: DataFrame, epochs: int = 200, negatives: int = 5,
                   min_dist: float = 0.1, spread: float = 1.0, seed: int = 42,
-                  learning_rate: float = 1.0) -> DataFrame:
+                  learning_rate: float = 1.0, parts: int | None = None) -> DataFrame:
     """(id, x, y) after ``epochs`` rounds; ``edges`` = (src, dst, weight) from
-    ``fuzzy_edges``, ``init`` = (id, x, y) from ``project_2d``."""
-    spark = edges.sparkSession
+    ``fuzzy_edges``, ``init`` = (id, x, y) from ``project_2d``.
+
+    Ids are unique; edges of other nodes are left out; nodes without edges are moved by
+    nothing.  The result does not depend on ``parts`` but for the order of sums.
+    """
+    spark = init.sparkSession
     checkpoint_root(spark)
     a, b = fit_ab(min_dist, spread)
-    e = durable(edges.select("src", "dst", "weight"))
-    start = durable(init.select("id", "x", "y"))
-    extent = start.select(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
+    start = stored(init.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "layout-start")
+    n, extent = start.agg(F.count(F.lit(1)), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
+    if not n:
+        return start
+    parts = parts or math.ceil(n / PART_NODES)
     scale = INIT_EXTENT / extent if extent else 1.0
-    # dense node index for negative sampling (zipWithIndex: one counting job, no single-task sort)
-    idx = start.select("id").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["id", "idx"])
-    w_max = e.select(F.max("weight")).first()[0] or 1.0
-    rate = e.groupBy("src").agg((F.sum("weight") / w_max).alias("rate")).withColumnRenamed("src", "id")
-    coords = durable(start.join(idx, "id").join(rate, "id", "left").select(
-        "id", "idx", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"),
-        F.coalesce("rate", F.lit(0.0)).alias("rate")))
-    n = coords.count()
+    e = stored(edges.select("src", "dst", "weight"), "layout-edges")
+    top = e.agg(F.max("weight")).first()[0] or 1.0
+    rate = e.groupBy("src").agg((F.sum("weight") / top).alias("rate")).withColumnRenamed("src", "id")
+    h = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    nodes = start.join(rate, "id", "left").select(
+        "id", h.alias("h"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), (F.col("x") * scale).alias("x"),
+        (F.col("y") * scale).alias("y"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    # A part is a bounded number of nodes.
+    nodes = stored(nodes.withColumn("idx", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1), "layout-nodes")
+    ends = [nodes.select(F.col("id").alias(end), F.col("part").alias(f"{end}_part"), F.col("idx").alias(f"{end}_idx")) for end in ("src", "dst")]
+    e = stored(e.join(ends[0], "src").join(ends[1], "dst").drop("src", "dst"), "layout-indexed")
+    wanted = e.select("src_part", "dst_part", "dst_idx").distinct()
+    mine = _packed(nodes, "part", ["idx"], {"h": "i8", "x": "f8", "y": "f8", "rate": "f8"})
+    along = _packed(e, "src_part", ["src_idx", "dst_part", "dst_idx"], {"src_idx": "i8", "dst_part": "i8", "dst_idx": "i8", "weight": "f8"})
+    sent = _packed(wanted.withColumnRenamed("src_part", "to_part").withColumnRenamed("dst_idx", "to_idx"), "dst_part",
+                   ["to_part", "to_idx"], {"to_part": "i8", "to_idx": "i8"})
+
+    def joined(item):
+        part, (node, edge, to) = item
+        (node,), edge, to = node, list(edge), list(to)
+        none = np.zeros(0, np.int64)
+        own = {"h": node["h"], "rate": node["rate"], "parts": parts, "to_part": none, "to_idx": none, "src_idx": none} | (to[0] if to else {})
+        if edge:
+            # Coordinates arrive by part, in the order of their index: where each edge finds its own.
+            key = (edge[0]["dst_part"] << 32) | edge[0]["dst_idx"]
+            own |= {"src_idx": edge[0]["src_idx"], "weight": edge[0]["weight"], "slot": np.searchsorted(np.unique(key), key)}
+        return part, (own, np.column_stack((node["x"], node["y"])))
+
+    state = mine.groupWith(along, sent).partitionBy(parts).map(joined, preservesPartitioning=True).persist()
+    held = [state]
     for epoch in range(epochs):
-        alpha = learning_rate * (1.0 - epoch / epochs)
-        # attraction: each edge pulls src towards dst, weighted by the edge weight
-        cs = coords.select(F.col("id").alias("src"), F.col("x").alias("xs"), F.col("y").alias("ys"))
-        cd = coords.select(F.col("id").alias("dst"), F.col("x").alias("xd"), F.col("y").alias("yd"))
-        pe = e.join(cs, "src").join(cd, "dst")
-        dx, dy = F.col("xs") - F.col("xd"), F.col("ys") - F.col("yd")
-        d2 = dx * dx + dy * dy
-        att = F.when(d2 > 0, (-2.0 * a * b * F.pow(d2, b - 1.0)) / (1.0 + a * F.pow(d2, b))).otherwise(0.0)
-        pull = pe.select(F.col("src").alias("id"), (_clip(att * dx) * F.col("weight")).alias("gx"),
-                         (_clip(att * dy) * F.col("weight")).alias("gy"))
-        # repulsion: hashed negative samples, scaled by the node's sampling rate
-        neg = (coords.select("id", "x", "y", "rate",
-                             F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("s"))
-               .withColumn("nidx", F.pmod(F.xxhash64("id", F.lit(epoch), "s", F.lit(seed)), F.lit(n))))
-        tgt = coords.select(F.col("idx").alias("nidx"), F.col("id").alias("nid"),
-                            F.col("x").alias("xn"), F.col("y").alias("yn"))
-        pn = neg.join(tgt, "nidx").where(F.col("nid") != F.col("id"))
-        ndx, ndy = F.col("x") - F.col("xn"), F.col("y") - F.col("yn")
-        nd2 = ndx * ndx + ndy * ndy
-        rep = (2.0 * b) / ((REPULSION_EPS + nd2) * (1.0 + a * F.pow(nd2, b)))
-        push = pn.select("id", (_clip(rep * ndx) * F.col("rate")).alias("gx"),
-                         (_clip(rep * ndy) * F.col("rate")).alias("gy"))
-        grad = pull.unionByName(push).groupBy("id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
-        coords = durable(coords.join(grad, "id", "left").select(
-            "id", "idx",
-            (F.col("x") + alpha * F.coalesce("gx", F.lit(0.0))).alias("x"),
-            (F.col("y") + alpha * F.coalesce("gy", F.lit(0.0))).alias("y"), "rate"))
-    return coords.select("id", "x", "y")
+        send, move = _epoch(epoch, epochs, learning_rate, negatives, seed, POOL / n, a, b)
+        inbox = state.flatMap(send).partitionBy(parts)
+        # Read twice by the next epoch: to send and to move.
+        state = state.cogroup(inbox, parts).map(move, preservesPartitioning=True).persist()
+        held.append(state)
+        if (epoch + 1) % CHECKPOINT_EPOCHS == 0 and epoch + 1 < epochs:
+            state.checkpoint()
+            state.count()
+            for old in held[:-1]:
+                old.unpersist()
+            held = [state]
+    flat = spark.createDataFrame(state.map(lambda s: (s[0], s[1][1].tobytes())), "part int, at binary")
+
+    def unpacked(batches):
+        for batch in batches:
+            for part, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                xy = np.frombuffer(at).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xy), part, np.int32)), pa.array(np.arange(len(xy), dtype=np.int32)),
+                                                  pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["part", "idx", "x", "y"])
+
+    done = stored(flat.mapInArrow(unpacked, "part int, idx int, x double, y double"), "layout-done")
+    for old in held:
+        old.unpersist()
+    return nodes.select("id", "part", "idx").join(done, ["part", "idx"]).select("id", "x", "y")

@@ -22,6 +22,7 @@ from themescope.operators import cluster as cl
 from themescope.operators import encode as en
 from themescope.operators import ingest as ing
 from themescope.operators import kmeans as km
+from themescope.operators import layout as lo
 from themescope.operators import neighbours as nn
 from themescope.operators import report as rp
 from themescope.session import scratch_path
@@ -31,6 +32,7 @@ from themescope.sources import hits as hs
 # --- fixed values (run defaults) -------------------------------------------
 DEFAULT_MAX_RESULTS = 200      # posts per scrape
 MIN_POSTS = 20                 # a run stops below this many posts
+NEIGHBOURS = 15
 DEFAULT_K = 5
 N_INIT = 10
 SEED = 42
@@ -102,7 +104,8 @@ def theme_map(posts: DataFrame, topic: str, k: int = DEFAULT_K,
 
     silhouette = (cl.silhouette_exact(with_vec) if exact_silhouette
                   else cl.silhouette_squared(with_vec))
-    layout = nn.project_2d(vectors)
+    edges = nn.fuzzy_edges(nn.knn_graph(vectors, NEIGHBOURS), NEIGHBOURS)
+    layout = _durable(lo.layout_epochs(edges, nn.project_2d(vectors)), "layout")
 
     if labeler is not None:
         prompts = rp.label_prompts(rp.cluster_samples(clustered))
