@@ -81,3 +81,21 @@ def test_clustered_file_keeps_arrival_order(spark, tmp_dir):
     fs.write_csv(spark.createDataFrame(rows, schema).coalesce(1).drop("ord"), os.path.join(tmp_dir, "dogs_clustered.csv"))
     dogs = fs.read_clustered(spark, tmp_dir).where("dataset = 'dogs'").orderBy("ord").collect()
     assert [r.id for r in dogs] == [f"p{i}" for i in range(40)]
+
+
+def test_posts_in_several_files_keep_their_order(spark, tmp_dir):
+    """Spark packs the largest file first; arrival order is by file name all the same."""
+    from themescope.sources import files as fs
+    schema = "id string, text string, source string, platform string, created_at timestamp, score long, url string"
+    sizes = [10, 400, 60]                                   # the second file is the largest
+    ids = iter(range(sum(sizes)))
+    for k, n in enumerate(sizes):
+        rows = [(f"p{i:04d}", f"text {i}, \"quoted\"\nline", "s", "p", None, i, "u") for i in (next(ids) for _ in range(n))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.options(**fs.CSV_OPTIONS).csv(f"{tmp_dir}/part{k}")
+        part = next(f for f in os.listdir(f"{tmp_dir}/part{k}") if f.startswith("part-"))
+        os.makedirs(f"{tmp_dir}/posts.csv", exist_ok=True)
+        os.link(f"{tmp_dir}/part{k}/{part}", f"{tmp_dir}/posts.csv/part-{k:05d}.csv")
+    got = fs.in_order(fs.read_posts_csv(spark, f"{tmp_dir}/posts.csv"))
+    assert got.columns == [*fs.schemas.POST.names, "ord"]
+    rows = sorted(got.collect(), key=lambda r: r.ord)
+    assert [r.id for r in rows] == [f"p{i:04d}" for i in range(sum(sizes))] and len({r.ord for r in rows}) == len(rows)

@@ -149,9 +149,9 @@ def embed_phase(spark: SparkSession, posts_path: str, vectors_path: str,
 def cluster_phase(spark: SparkSession, posts_path: str, vectors_path: str, k: int,
                   clustered_path: str, max_k: int = 10, n_init: int = N_INIT, seed: int = SEED):
     """posts CSV + vectors → elbow curve, cluster profile, clustered CSV.
-    Returns (elbow rows, profile DataFrame).  Arrival order is the row order of
-    the posts CSV, taken at its scan and kept as column ``ord`` of the output."""
-    posts = fs.read_posts_csv(spark, posts_path).withColumn("ord", F.monotonically_increasing_id())
+    Returns (elbow rows, profile DataFrame).  Arrival order is that of the
+    posts CSV (files by name, then rows) and kept as column ``ord`` of the output."""
+    posts = fs.in_order(fs.read_posts_csv(spark, posts_path))
     vecs = spark.read.parquet(vectors_path).select("id", "embedding")
     curve = km.elbow_curve(vecs, max_k=max_k, n_init=n_init, seed=seed)
     model, _ = km.kmeans_fit(vecs, k, n_init=n_init, seed=seed)

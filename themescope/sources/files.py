@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themescope import schemas
@@ -20,12 +20,23 @@ def read_posts_csv(spark: SparkSession, path: str, with_cluster: bool = False) -
     """Header CSV as written by pandas (quotes doubled), with an explicit schema."""
     if not with_cluster:
         return spark.read.schema(schemas.POST).options(**CSV_OPTIONS).csv(path)
-    return _in_order(spark.read.schema(schemas.CLUSTERED).options(**CSV_OPTIONS).csv(path))
+    return in_order(spark.read.schema(schemas.CLUSTERED).options(**CSV_OPTIONS).csv(path))
 
 
-def _in_order(clustered: DataFrame) -> DataFrame:
-    """Rows of a file without ``ord`` arrive in its row order."""
-    return clustered.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows as read from files, with their arrival order as ``ord`` where they have none:
+    files by path, then the row order of a file.
+
+    The scan order alone would not do: Spark packs the largest files first.  The number
+    of a file comes from the sorted list of paths (one row per file); inside a file the
+    generated ids ascend, as ``multiLine`` files are read by one task each."""
+    own = F.col("ord") if "ord" in rows.columns else F.lit(None).cast("long")
+    path, row = F.col("_metadata.file_path"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    at = rows.select(*rows.columns, path.alias("_path"), row.alias("_row"))
+    number = F.row_number().over(Window.orderBy("_path")).cast("long")
+    files = rows.select(path.alias("_path")).distinct().select("_path", number.alias("_file"))
+    place = F.shiftleft(F.col("_file"), 33) + F.col("_row")
+    return at.join(files, "_path").withColumn("ord", F.coalesce(own, place)).drop("_path", "_file", "_row")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -39,7 +50,8 @@ def read_clustered(spark: SparkSession, folder: str) -> DataFrame:
     df = spark.read.schema(schemas.CLUSTERED).options(**CSV_OPTIONS).csv(
         f"{folder.rstrip('/')}/*{CLUSTERED_SUFFIX}")
     path = F.col("_metadata.file_path")
-    return _in_order(df.withColumn("dataset", F.regexp_extract(path, r"([^/]+)_clustered\.csv(/[^/]+)?$", 1)))
+    dataset = F.regexp_extract("_from", r"([^/]+)_clustered\.csv(/[^/]+)?$", 1)
+    return in_order(df.select("*", "_metadata", path.alias("_from"))).withColumn("dataset", dataset).drop("_from", "_metadata")
 
 
 def list_datasets(spark: SparkSession, folder: str, suffix: str = ".csv",
