@@ -495,3 +495,18 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in after.collect()} == set(want.values())
         docs = after
     assert Row(*docs.columns) and docs.count() > 0
+
+
+def test_search_of_repeated_query_rows(spark):
+    """Equal query rows are one query; other vectors of the same id are queries of their own."""
+    rng = np.random.default_rng(4)
+    v = [(i, rng.normal(0, 1, 6).round(3).tolist()) for i in range(1, 60)]
+    one, other = rng.normal(0, 1, 6).round(3).tolist(), rng.normal(0, 1, 6).round(3).tolist()
+    data = v + [(100, one), (100, one), (200, one), (200, other), (300, other), (300, other), (300, other)]
+    got = Counter(tuple(r) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect())
+    want = Counter()
+    for i, e in {(i, tuple(e)) for i, e in data if i % 100 == 0}:
+        q = np.floor(1024 * np.array(e)).astype(int)
+        scores = sorted((-int(q @ np.floor(1024 * np.array(x)).astype(int)), j) for j, x in data if j != i)
+        want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(scores[:10]))
+    assert got == want

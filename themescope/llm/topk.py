@@ -24,6 +24,7 @@ BLOCK = 4096                       # vectors of a block
 QUERY_BLOCK = 512
 CHUNK = 512                        # vectors bounded at a time
 HEAD = 1024                        # longest vectors, for the first thresholds
+SEED = 5
 SAMPLE = 4096                      # vectors the rotation is fitted on
 AXES = 16                          # of the partial sums
 LEAST = np.iinfo(np.int64).min
@@ -142,7 +143,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     floor(1024 * x); ties go to the smaller vec_id.  Vectors that are null or
     hold null or non-finite components, and rows without vec_id, take no part;
     shorter vectors count as filled up with zeros.  Repeated rows are
-    candidates of their own.  Fewer than ``k`` candidates give fewer rows; an
+    candidates of their own; as queries, rows of one vec_id and equal components are one
+    query, rows of one vec_id and other components are queries of their own.  Fewer than ``k`` candidates give fewer rows; an
     empty table, or one without queries, gives none.  Extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -171,7 +173,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     # One row per block of thousands of vectors.
     order = written(blocks.select("part", "block", "longest").withColumn("vb", F.row_number().over(numbers)), "block-order")
     blocks = blocks.join(order.select("part", "block", "vb"), ["part", "block"])
-    queries = written(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    queries = written(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
                       .mapInArrow(_packed(QUERY_BLOCK, width, head, k), PACKED), "query-blocks")
     # A query block needs the blocks up to the last whose longest vector is in reach.
     # Of the driver's own: one length for each block of thousands of vectors.
@@ -187,19 +189,23 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
              .mapInArrow(in_reach, "q_ids binary, q binary, taus binary, needed long").where("needed > 0")
              .select(F.explode(F.sequence(F.lit(1), F.col("needed").cast("int"))).alias("vb"), "q_ids", "q", "taus"))
 
+    odd = np.random.default_rng(SEED).integers(0, 1 << 62, max(width, 1)) * 2 + 1
+
     def search(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 q_ids, q, taus, v_ids, v = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in range(5))
-                qi, ids, scores = best_of_block(q_ids, q.reshape(len(q_ids), -1), taus, v_ids, v.reshape(len(v_ids), -1), turn.value, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(ids), pa.array(scores)],
-                                                 names=["query_id", "vec_id", "score"])
+                q = q.reshape(len(q_ids), -1)
+                which = (q * odd[:q.shape[1]]).sum(1)    # tells the vectors of one vec_id apart
+                qi, ids, scores = best_of_block(q_ids, q, taus, v_ids, v.reshape(len(v_ids), -1), turn.value, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(which[qi]), pa.array(ids), pa.array(scores)],
+                                                 names=["query_id", "which", "vec_id", "score"])
 
     hits = (pairs.join(blocks.select("vb", F.col("ids").alias("v_ids"), F.col("data").alias("v")), "vb")
-            .select("q_ids", "q", "taus", "v_ids", "v").mapInArrow(search, "query_id long, vec_id long, score long"))
+            .select("q_ids", "q", "taus", "v_ids", "v").mapInArrow(search, "query_id long, which long, vec_id long, score long"))
     with arrow_rows(spark, 8):
         hits = written(hits, "hits")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "which").orderBy(F.col("score").desc(), "vec_id"))
     return (hits.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
@@ -212,8 +218,8 @@ ORACLE = f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id,
+s AS (SELECT q.vec_id AS query_id, q.e AS which, c.vec_id,
              CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % {QUERY_EVERY} = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s)
+      FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % {QUERY_EVERY} = 0) q JOIN v c ON c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, which ORDER BY score DESC, vec_id) AS rk FROM s)
 SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= {K}"""
