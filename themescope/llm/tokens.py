@@ -9,9 +9,13 @@ import unicodedata
 from array import array
 from itertools import chain
 
+import numpy as np
+
 END_ID = 2
 #: Distinct words, and words with punctuation, whose ids a worker keeps (about 250 bytes each).
 CACHE_WORDS = 500_000
+#: Distinct words that go through the library at a time.
+CHUNK = 4096
 
 # --- fixed values: how byte-level BPE splits a text into words ----------------
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,10 +33,13 @@ def public_path(name: str) -> str:
 class WordEncoder:
     """Encodes texts word by word: BPE never merges across the words of the
     tokenizer's own splitting pattern, so each distinct word goes through the
-    library once and repeated ones come from a bounded cache.  Texts that hold
-    the string of an added token, or a character whose lower case is several
-    characters, go through it whole.  Ids are packed as little-endian unsigned
-    32-bit integers."""
+    library once and repeated ones come from a bounded cache.  It has two
+    generations: words seen since the older one was put away outlive it.  Words
+    of letters go through the library many at a time, as one text; the tokens
+    that end (or, with their space, start) a word tell them apart.  Texts that
+    hold the string of an added token, or a character whose lower case is
+    several characters, go through it whole.  Ids are packed as little-endian
+    unsigned 32-bit integers."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,7 +65,13 @@ class WordEncoder:
             self.special += [c for c in map(chr, range(sys.maxunicode + 1)) if len(c.lower()) > 1]
         self.leading = pattern is BYTE_LEVEL              # a word may start with its space
         self.rare = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+        vocab, suffix = self.tok.get_vocab(), spec["model"].get("end_of_word_suffix")
+        self.edge = None                                  # by id: first token of a word with its space, or last token
+        if self.leading or suffix:
+            self.edge = np.zeros(max(vocab.values()) + 1, bool)
+            self.edge[[i for t, i in vocab.items() if (t[0] == "Ġ" if self.leading else t.endswith(suffix))]] = True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def parts(self, text: str) -> list[str]:
@@ -80,6 +93,23 @@ class WordEncoder:
             out.append(ids.tobytes())
         return out
 
+    def plain(self, word: str) -> bool:
+        """Letters only, or a space and letters where words have their space: one word."""
+        return word[1:].isalpha() and word[0] == " " if self.leading else word.isalpha()
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, encoded as one text; one by one where the edges don't add up."""
+        if self.edge is None or len(words) < 2:
+            return self.packed(words)
+        text = ("" if self.leading else " ").join(words)
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self.packed(words)
+        at = (4 * (np.append(at, len(ids)) if self.leading else np.append(0, at + 1))).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
     def whole(self, text: str) -> bool:
         """Whether the text must go through the library whole: case matters here."""
         return any(s in text for s in self.special)
@@ -93,27 +123,29 @@ class WordEncoder:
         return [found[i] if i in found else next(rest) for i in range(len(texts))]
 
     def by_words(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
+        if len(self.cache) > self.cache_words // 2:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
         if self.nfc:
             texts = [unicodedata.normalize("NFC", t) for t in texts]
         split = [self.parts(t) for t in texts]
-        new = [p for p in set(chain.from_iterable(split)) if p not in cache]
-        # Letters only, or a space and letters where words have their space: one word.
-        at = int(self.leading)
-        plain = [p for p in new if p[at:].isalpha() and (not at or p[0] == " ")]
-        mixed = {p: self.words(p) for p in set(new).difference(plain)}
-        words = [w for w in set(chain.from_iterable(mixed.values())) if w not in cache]
-        words = list(set(words).union(plain))
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            cache.update(zip(some, self.packed(some)))
+        found = [list(map(cache.get, p)) for p in split]
+        new = {p for ps, ids in zip(split, found) if None in ids for p, x in zip(ps, ids) if x is None}
+        cache.update((p, old[p]) for p in new if p in old)
+        new = [p for p in new if p not in cache]
+        plain = {p for p in new if self.plain(p)}
+        mixed = {p: self.words(p) for p in new if p not in plain}
+        words = plain.union(w for w in set(chain.from_iterable(mixed.values())) if w not in cache)
+        plain = [w for w in words if self.plain(w)]
+        other = list(words.difference(plain))
+        for some, encode in ((plain, self.joined), (other, self.packed)):
+            for at in range(0, len(some), CHUNK):
+                cache.update(zip(some[at:at + CHUNK], encode(some[at:at + CHUNK])))
         ids = cache.__getitem__
         for p, w in mixed.items():
             if p not in cache:
                 cache[p] = b"".join(map(ids, w))
-        return [b"".join(map(ids, p)) for p in split]
+        return [b"".join(map(ids, p) if None in known else known) for p, known in zip(split, found)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
