@@ -13,6 +13,8 @@ are drawn without replacement by the Gumbel top-k rule.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themescope.llm.common import table, written
-from themescope.llm.shingles import cell_counts
+from themescope.llm.shingles import CHUNK, cell_counts, counted_cells, read_cells
 from themescope.llm.textcodes import classes, code_points, mix64, span_hasher, span_hashes, text_slices, word_spans
 
 CELLS = 1 << 20
@@ -65,14 +67,20 @@ def ngram_cells(texts: list[str]):
     return (prefix & mask).astype(np.int64), bigram.astype(np.int64), offsets
 
 
+def add_ngrams(total: np.ndarray, texts: list[str]) -> None:
+    """Adds the counts of unigram cells, then of bigram cells."""
+    one, two, _ = ngram_cells(texts)
+    total[:CELLS] += np.bincount(one, minlength=CELLS)
+    total[CELLS:2 * CELLS] += np.bincount(two, minlength=CELLS)
+
+
 def ngram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of unigram cells, then of bigram cells, over all rows of docs (text)."""
     def count(batches):
         total = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
             for _, texts in text_slices(batch, 0):
-                one, two, _ = ngram_cells(texts)
-                total += np.concatenate((np.bincount(one, minlength=CELLS), np.bincount(two, minlength=CELLS)))
+                add_ngrams(total, texts)
         return total
     return cell_counts(docs.select("text"), count, 2 * CELLS)
 
@@ -122,20 +130,42 @@ def mark_cells(texts: list[str]):
     return [*cells, (hashes(first, end) & mask).astype(np.int64)], np.searchsorted(first, at)
 
 
-def mark_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of mark cells over all rows of docs (text), each at most WORST times a document."""
+def add_marks(total: np.ndarray, texts: list[str]) -> None:
+    """Adds the counts of mark cells, each at most WORST times a document."""
+    kinds, offsets = mark_cells(texts)
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    for cells in kinds:
+        has = cells < CELLS
+        key, n = np.unique(doc[has] * CELLS + cells[has], return_counts=True)
+        total += np.bincount(key % CELLS, np.minimum(n, WORST), CELLS).astype(np.int64)
+
+
+#: Cells of a group of sampled rows: unigrams, bigrams, marks, and the number of rows.
+GROUP_CELLS = 3 * CELLS + CHUNK
+
+
+def sample_counts(sample: DataFrame, parts: int) -> DataFrame:
+    """Counts of the rows of sample (text, _fold), all folds in one job, the first
+    ``parts`` folds being target text and the next one toxic: see ``read_group``."""
     def count(batches):
-        total = np.zeros(CELLS, np.int64)
+        totals = {}
         for batch in batches:
-            for _, texts in text_slices(batch, 0):
-                kinds, offsets = mark_cells(texts)
-                doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-                for cells in kinds:
-                    has = cells < CELLS
-                    key, n = np.unique(doc[has] * CELLS + cells[has], return_counts=True)
-                    total += np.bincount(key % CELLS, np.minimum(n, WORST), CELLS).astype(np.int64)
-        return total
-    return cell_counts(docs.select("text"), count, CELLS)
+            folds = batch.column(1).to_numpy()
+            for fold in np.unique(folds):
+                total = totals.setdefault(int(fold), np.zeros(GROUP_CELLS, np.int64))
+                some = batch.filter(pa.array(folds == fold))
+                total[3 * CELLS] += some.num_rows
+                for _, texts in text_slices(some, 0):
+                    if fold < parts:
+                        add_ngrams(total, texts)
+                    add_marks(total[2 * CELLS:3 * CELLS], texts)
+        return [(f * (GROUP_CELLS // CHUNK), total) for f, total in totals.items()]
+    # A fold's rows (a bounded number) in one task, so that few dense arrays are added up.
+    return counted_cells(sample.select("text", "_fold").repartition(parts + 1, "_fold"), count)
+
+
+def read_group(counts: DataFrame, fold: int) -> np.ndarray:
+    return read_cells(counts, GROUP_CELLS, fold * (GROUP_CELLS // CHUNK))
 
 
 def mark_evidence(target: np.ndarray, toxic: np.ndarray, n_target: int, n_toxic: int) -> np.ndarray:
@@ -267,28 +297,35 @@ class Resampler:
         toxic = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         sample, chosen = self.sampled(rows, good)
         toxic_sample, _ = self.sampled(rows, toxic)
-        few = max(1, sample.rdd.getNumPartitions() // FOLDS)
-        parts = [sample.where(F.col("_fold") == f).coalesce(few) for f in range(FOLDS)]
-        raw, targets = ngram_counts(rows), [ngram_counts(p) for p in parts]
-        n_toxic, n_targets = toxic_sample.count(), [p.count() for p in parts]
-        marks, toxic_marks = ([mark_counts(p) for p in parts], mark_counts(toxic_sample)) if n_toxic else ([], None)
+        raw = ngram_counts(rows)
+        counts = sample_counts(sample.unionByName(toxic_sample.withColumn("_fold", F.lit(FOLDS).cast(sample.schema["_fold"].dataType))), FOLDS)
+        # The driver holds the counts of one fold at a time, besides the totals.
+        toxic_marks = read_group(counts, FOLDS)
+        toxic_marks, n_toxic = toxic_marks[2 * CELLS:3 * CELLS].copy(), int(toxic_marks[3 * CELLS])
+        total = np.zeros(GROUP_CELLS, np.int64)
+        for f in range(FOLDS):
+            total += read_group(counts, f)
 
         def models(left_out=None):
-            use = [f for f in range(FOLDS) if f != left_out]
-            target = sum(targets[f] for f in use)
+            use = total if left_out is None else total - read_group(counts, left_out)
+            target = use[:2 * CELLS]
             # Counted up to the whole sample: pseudo-counts weigh as much as in the model of all folds.
-            target = target * (sum(t.sum() for t in targets) / max(target.sum(), 1))
-            evidence = mark_evidence(sum(marks[f] for f in use), toxic_marks, sum(n_targets[f] for f in use), n_toxic) if n_toxic else None
+            target = target * (total[:2 * CELLS].sum() / max(target.sum(), 1))
+            evidence = mark_evidence(use[2 * CELLS:3 * CELLS], toxic_marks, int(use[3 * CELLS]), n_toxic) if n_toxic else None
             return spark.sparkContext.broadcast((log_ratios(target, raw), evidence))
 
-        self.models = models()
         group, scores = ["_lang", "_size"], ["log_weight", "toxic"]
-        scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
-        held_out = scored.join(good, "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti").select(*group, *scores)
-        for f, part in enumerate(parts):
+        held_out = []
+        for f in range(FOLDS):
             without = models(f)
-            held_out = held_out.unionByName(written(weighted(part.where(has_word()), without, group), "fold-weights"))
-            without.unpersist()
+            part = sample.where((F.col("_fold") == f) & has_word())
+            held_out.append(written(weighted(part, without, group), "fold-weights"))
+            without.destroy()
+        self.models = models()
+        del raw, total, toxic_marks
+        scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
+        outside = scored.join(good, "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti").select(*group, *scores)
+        held_out = reduce(DataFrame.unionByName, held_out, outside)
         self.levels = [Levels(held_out, "log_weight", TAIL), Levels(held_out, "toxic", TOXIC_TAIL, additive=True)]
         scored = written(self.keyed(scored), "keys")
         k = scored.where("log_weight >= 0").count() if self.levels[0].all is not None else scored.count()

@@ -56,28 +56,39 @@ def _summed(batches):
                                      names=["chunk", "counts"])
 
 
-def cell_counts(df: DataFrame, count, n_cells: int) -> np.ndarray:
-    """Total of ``count`` over all rows of ``df``.
+def counted_cells(df: DataFrame, count) -> DataFrame:
+    """(chunk int, counts binary), written: totals of ``count`` over all rows of
+    ``df`` by chunk of ``CHUNK`` cells, only chunks that are not all 0.
 
-    ``count(batches)`` runs once in each task and returns its counts over
-    ``n_cells`` cells.  The dense arrays are added up in two shuffles by chunk
-    of cells, each task streaming through its rows; the driver gets the
-    ``n_cells`` totals, a fixed size.
+    ``count(batches)`` runs once in each task and yields (first chunk, dense
+    counts).  The dense arrays are added up in two shuffles by chunk, each task
+    streaming through its rows.
     """
     def task(batches):
-        total = count(batches)
-        chunks = [(c, total[c * CHUNK:(c + 1) * CHUNK]) for c in range(-(-n_cells // CHUNK))]
-        chunks = [(c, x) for c, x in chunks if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()),
-                                          pa.array([x.astype(np.int64).tobytes() for _, x in chunks], pa.binary())],
-                                         names=["chunk", "counts"])
+        for first, total in count(batches):
+            chunks = [(first + k, total[at:at + CHUNK]) for k, at in enumerate(range(0, len(total), CHUNK))]
+            chunks = [(c, x) for c, x in chunks if x.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()),
+                                              pa.array([x.astype(np.int64).tobytes() for _, x in chunks], pa.binary())],
+                                             names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
     salt = F.floor(F.rand(7) * 16)
     parts = df.mapInArrow(task, schema).repartition("chunk", salt).mapInArrow(_summed, schema)
-    rows = written(parts.repartition("chunk").mapInArrow(_summed, schema), "cells").collect()
-    total = np.zeros(-(-n_cells // CHUNK) * CHUNK, np.int64)
-    for r in rows:
+    return written(parts.repartition("chunk").mapInArrow(_summed, schema), "cells")
+
+
+def read_cells(cells: DataFrame, n_cells: int, first: int = 0) -> np.ndarray:
+    """``n_cells`` totals from chunk ``first`` on: what the driver gets is of that size."""
+    n = -(-n_cells // CHUNK)
+    total = np.zeros(n * CHUNK, np.int64)
+    for r in cells.where(F.col("chunk").between(first, first + n - 1)).collect():
         x = np.frombuffer(r["counts"], np.int64)
-        total[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(x)] += x
+        at = (r["chunk"] - first) * CHUNK
+        total[at:at + len(x)] += x
     return total[:n_cells]
+
+
+def cell_counts(df: DataFrame, count, n_cells: int) -> np.ndarray:
+    """Total of ``count(batches)``, counts over ``n_cells`` cells, over all rows of ``df``."""
+    return read_cells(counted_cells(df, lambda batches: [(0, count(batches))]), n_cells)
