@@ -510,3 +510,16 @@ def test_search_of_repeated_query_rows(spark):
         scores = sorted((-int(q @ np.floor(1024 * np.array(x)).astype(int)), j) for j, x in data if j != i)
         want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(scores[:10]))
     assert got == want
+
+
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "red green blue black white grey pink")
+    df = spark.createDataFrame([(1, a, 7, "x"), (1, b, 7, "x"), (2, b, 7, "x"), (3, c, 7, "x"), (3, c, 7, "x"), (None, a, 7, "x"), (4, None, 7, "x"),
+                                (4, c, 7, "x")], "doc_id long, text string, _id int, _key string")
+    left = minhash.one_per_class(df)
+    assert left.columns == df.columns
+    # The least id of a class, an id with several texts after all others.
+    rows = sorted((r.doc_id, r.text or "") for r in left.collect())
+    assert rows == [(1, a), (2, b), (3, c), (4, "")]
+    got = sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 2), (2, 2), (3, 3), (3, 3), (None, 1), (4, 4), (4, 3)], key=str)

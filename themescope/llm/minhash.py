@@ -33,6 +33,8 @@ GROUP_NODES = 512
 GROUP_BYTES = 8 << 20
 #: Bits of the filter (half a MB) that keeps texts outside all candidates from being shuffled.
 FILTER_BITS = 22
+#: Ids from here on are given to rows that have none of their own.
+LATE = 1 << 62
 SEED = 11
 
 
@@ -261,9 +263,47 @@ def _group_links(threshold: float, idf):
     return run
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs as (_row, _id), whether ids are shared): _id is doc_id, or a number of
+    their own, ``LATE`` or more, for rows whose doc_id stands with different texts."""
+    doc_id = F.col("doc_id").cast("long")
+    text = xxhash64_text("text")
+    shared = written(docs.select(doc_id.alias("_of"), text.alias("h")).where("_of IS NOT NULL").groupBy("_of")
+                     .agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("_of"), "shared-ids")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    doc_id = F.col("_row.doc_id").cast("long")
+    if shared.first() is None:
+        return rows.withColumn("_id", doc_id), False
+    own = F.lit(LATE) + F.pmod(F.xxhash64(doc_id, F.coalesce("_row.text", F.lit(""))), F.lit(1 << 60))
+    rows = rows.withColumn("_key", doc_id).join(shared, F.col("_key") == F.col("_of"), "left")
+    return rows.select("_row", F.when(F.col("_of").isNotNull(), own).otherwise(F.col("_key")).alias("_id")), True
+
+
+def xxhash64_text(text: str):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept), one row per row of ``docs`` (doc_id, text).
 
+    As ``classes``, but a doc_id may stand with different texts: such rows are
+    documents of their own, and name a class only where it has no other id.
+    Extra columns are ignored.
+    """
+    rows, shared = numbered(docs.select("doc_id", "text"))
+    found = classes(rows.select(F.col("_id").alias("doc_id"), "_row.text"), threshold)
+    if not shared:
+        return found
+    own = written(rows.where(F.col("_id") >= LATE).select("_id", F.col("_row.doc_id").cast("long").alias("_doc")).distinct(), "own-ids")
+    for c in ("doc_id", "class_id"):
+        found = (found.join(own, F.col(c) == F.col("_id"), "left")
+                 .withColumn(c, F.coalesce("_doc", c)).drop("_id", "_doc"))
+    return found.select("doc_id", "class_id", "kept")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, kept), one row per row of ``docs`` (doc_id, text).
+
     class_id is the least doc_id of the class, kept marks that document.
 
     Texts of equal words are one node from the start.  In each bucket of a band
@@ -275,7 +315,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Null text counts as empty; all texts without words and with equal
     characters are one class.  Fewer than five words make one shingle.  Rows of
-    one doc_id are one document.  Rows without doc_id join the class of equal
+    one doc_id must have one text.  Rows without doc_id join the class of equal
     words and are compared through it; where no row of that class has an id,
     class_id is null and each such row is kept.  An empty table gives no rows;
     extra columns are ignored.
@@ -318,9 +358,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with arrow_rows(spark, 512):
         more = written(groups.mapInArrow(_group_links(threshold, idf), "a long, b long"), "more-links")
     # The classes found so far are stars already: what is left is to join them.
-    classes = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    joined = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
-    of_key = (nodes.select("key", "node").join(classes, "node", "left")
+    of_key = (nodes.select("key", "node").join(joined, "node", "left")
               .select("key", F.coalesce("component", "node").alias("class_id")))
     return (signed.select("doc_id", "key").join(of_key, "key", "left")
             .select("doc_id", "class_id", (F.col("class_id").isNull() | F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept")))
@@ -328,15 +368,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def one_per_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each class one row, that
-    of its least doc_id.  Rows without id come after all others, in the order
-    of a hash of their text."""
-    late = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    numbered = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), late))
-    found = near_duplicates(numbered.select(F.col("_id").alias("doc_id"), "text"))
+    of its least doc_id.  Rows whose id stands with different texts, and then
+    rows without id, come after all others, in the order of a hash of id and
+    text.  Columns of any name are kept as they are."""
+    rows, _ = numbered(docs)
+    late = F.lit(LATE + (1 << 60)) + F.pmod(xxhash64_text("_row.text"), F.lit(1 << 60))
+    rows = rows.withColumn("_id", F.coalesce("_id", late))
+    found = classes(rows.select(F.col("_id").alias("doc_id"), "_row.text"))
     keep = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    # Repeated rows of one id: the first; the join has them next to each other.
+    # Repeated rows of one id and text: the first; the join has them next to each other.
     first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
-    return numbered.join(keep, "_id", "left_semi").withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    return rows.join(keep, "_id", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")
 
 
 def query(spark, sf_dir):
