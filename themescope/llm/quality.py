@@ -89,19 +89,20 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Per cell, log of the target model over the raw model, less the mean over
     target text; both kinds of n-grams by themselves.  The raw model smooths
     the target one."""
-    out = []
-    for kind in (slice(0, CELLS), slice(CELLS, 2 * CELLS)):
-        t, r = target[kind].astype(np.float64), raw[kind].astype(np.float64)
-        if kind.start:
-            t[0] = r[0] = 0
-        expected = r * (t.sum() / max(r.sum(), 1.0))
-        ratio = np.log((t + PRIOR) / (expected + PRIOR))
-        ratio -= (t * ratio).sum() / max(t.sum(), 1.0)
-        if kind.start:
-            ratio *= BIGRAM_SHARE
-            ratio[0] = 0.0
-        out.append(ratio)
-    return np.concatenate(out).astype(np.float32)
+    out = np.empty(2 * CELLS, np.float32)
+    step = 1 << 16                                        # cells at a time: little memory besides the result
+    for kind in (0, CELLS):
+        skip = int(kind > 0)                              # cell 0 of the bigrams is none
+        t, r = target[kind + skip:kind + CELLS], raw[kind + skip:kind + CELLS]
+        share, n = t.sum() / max(float(r.sum()), 1.0), t.sum()
+        part = lambda at: np.log((t[at:at + step] + PRIOR) / (r[at:at + step] * share + PRIOR))  # noqa: B023, E731
+        mean = sum(float((t[at:at + step] * part(at)).sum()) for at in range(0, len(t), step)) / max(n, 1.0)
+        for at in range(0, len(t), step):
+            made = part(at) - mean
+            first = kind + skip + at
+            out[first:first + len(made)] = made * BIGRAM_SHARE if kind else made
+    out[CELLS] = 0.0
+    return out
 
 
 def log_weights(texts: list[str], ratios: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,14 +48,27 @@ def shingle_counts(values: np.ndarray, offsets: np.ndarray, k: int = SHINGLE):
 CHUNK = 1 << 14
 
 
+def _packed(chunks, counts) -> pa.RecordBatch:
+    """Rows (chunk, counts), deflated: most counts are small, and what the driver
+    collects is a tenth of the dense arrays."""
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in counts], pa.binary())],
+                                      names=["chunk", "counts"])
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), np.int64)
+
+
 def _summed(batches):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(x, np.int64)
-            sums[c] = sums[c] + x if c in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
-                                     names=["chunk", "counts"])
+        for c, x in zip(b.column(0), b.column(1)):
+            c, x = c.as_py(), _unpacked(x.as_py())
+            if c in sums:
+                sums[c] += x
+            else:
+                sums[c] = x.copy()
+    yield _packed(list(sums), sums.values())
 
 
 def counted_cells(df: DataFrame, count) -> DataFrame:
@@ -68,9 +83,7 @@ def counted_cells(df: DataFrame, count) -> DataFrame:
         for first, total in count(batches):
             chunks = [(first + k, total[at:at + CHUNK]) for k, at in enumerate(range(0, len(total), CHUNK))]
             chunks = [(c, x) for c, x in chunks if x.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()),
-                                              pa.array([x.astype(np.int64).tobytes() for _, x in chunks], pa.binary())],
-                                             names=["chunk", "counts"])
+            yield _packed([c for c, _ in chunks], [x.astype(np.int64) for _, x in chunks])
 
     schema = "chunk int, counts binary"
     salt = F.floor(F.rand(7) * 16)
@@ -83,7 +96,7 @@ def read_cells(cells: DataFrame, n_cells: int, first: int = 0) -> np.ndarray:
     n = -(-n_cells // CHUNK)
     total = np.zeros(n * CHUNK, np.int64)
     for r in cells.where(F.col("chunk").between(first, first + n - 1)).collect():
-        x = np.frombuffer(r["counts"], np.int64)
+        x = _unpacked(r["counts"])
         at = (r["chunk"] - first) * CHUNK
         total[at:at + len(x)] += x
     return total[:n_cells]
