@@ -25,6 +25,7 @@ from themescope.operators import kmeans as km
 from themescope.operators import layout as lo
 from themescope.operators import neighbours as nn
 from themescope.operators import report as rp
+from themescope.operators import sparse as sp
 from themescope.plans.oracle import clean, dotp, l2n, norm, sql, sqdist
 from themescope.plans.oracle import terms as sql_terms
 from themescope.session import configure, scratch_path
@@ -630,6 +631,34 @@ def q_near_duplicates(spark, sf):
     return s.select("id_a", "id_b", _r(F.col("sim")).alias("similarity"))
 
 
+_SPARSE_T = 0.8
+
+
+@register("near_duplicate_classes", sql(f"""
+    SELECT s.id, c.class_id, n.copies - 1 + coalesce(o.other, 0) AS n_links, s.id = c.class_id AS kept
+    FROM src s JOIN nodes n USING (node) JOIN classes c USING (node) LEFT JOIN others o USING (node)""", extra=[
+    ("src", "SELECT doc_id AS id, md5(coalesce(text, '')) AS node, coalesce(text, '') AS text FROM documents"),
+    ("nodes", "SELECT node, count(*) AS copies, min(id) AS least, any_value(text) AS text FROM src GROUP BY node"),
+    ("tf", f"""SELECT node, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {sp.TERM_BUCKETS} AS bucket,
+                     CAST(count(*) AS DOUBLE) AS tf
+              FROM (SELECT node, unnest({sql_terms('text')}) AS term FROM nodes) GROUP BY ALL"""),
+    ("w", """SELECT node, bucket, tf * ln(((SELECT count(*) FROM nodes) + 1.0) / (n + 1.0)) AS w
+             FROM tf JOIN (SELECT bucket, count(*) AS n FROM tf GROUP BY bucket) USING (bucket)"""),
+    ("nw", """SELECT node, bucket, w / n AS weight FROM (
+                SELECT *, sqrt(sum(w * w) OVER (PARTITION BY node)) AS n FROM w) WHERE n > 0"""),
+    ("pairs", f"""SELECT a.node AS a, b.node AS b FROM nw a JOIN nw b ON a.bucket = b.bucket AND a.node < b.node
+                  GROUP BY ALL HAVING sum(a.weight * b.weight) >= {_SPARSE_T}"""),
+    ("both_ways", "SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs"),
+    ("others", "SELECT a AS node, CAST(sum(copies) AS BIGINT) AS other FROM both_ways JOIN nodes ON nodes.node = b GROUP BY a"),
+    ("reached", """SELECT * FROM (WITH RECURSIVE r(node, other) AS (
+        SELECT node, node FROM nodes UNION SELECT r.node, b.b FROM r JOIN both_ways b ON b.a = r.other) SELECT * FROM r)"""),
+    ("classes", "SELECT r.node, min(n.least) AS class_id FROM reached r JOIN nodes n ON n.node = r.other GROUP BY r.node")]))
+def q_near_duplicate_classes(spark, sf):
+    """Classes of documents that link at a TF-IDF cosine of 0.8 over whole terms: one row
+    per document, found by an inverted index instead of all block pairs."""
+    return sp.near_duplicate_classes(fx.read_table(spark, sf, "documents", ["doc_id", "text"], balanced=True), _SPARSE_T)
+
+
 @register("hashed_term_counts", f"""
     SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_terms, count(*) AS n_buckets, arg_max(bucket, (n, -bucket)) AS top_bucket,
            max(n) AS top_count
