@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,68 @@ def test_centre_update_replay_is_idempotent(spark, tmp_dir):
     c0 = [c for c in first if c[0] == 0][0]
     assert abs(c0[2] - 2.0) < 1e-12                        # 2·0.5 + 1 member
     assert abs(c0[1][0] - 1.0) < 1e-12
+
+
+def land(spark, rows, schema, path, n):
+    """Rows in ``n`` files, file by file in the order given."""
+    step = -(-len(rows) // n)
+    for k in range(n):
+        spark.createDataFrame(rows[k * step:(k + 1) * step], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_keep_first_stream_equals_batch(spark, tmp_dir):
+    from themescope.operators.ingest import dedup_first
+    rng = random.Random(3)
+    t = dt.datetime(2024, 1, 1, 12, 0, 0, 123456)
+    rows = [(None if i % 3 == 0 else str(rng.randrange(40)), i, rng.choice([None, i]), f'post "{i}"\n', rng.choice([None, t]), t)
+            for i in range(300)]                           # a third of the rows without id
+    rng.shuffle(rows)
+    schema = "id STRING, ord BIGINT, score BIGINT, text STRING, created_at TIMESTAMP, landed_at TIMESTAMP"
+    posts = st.keep_first_stream(land(spark, rows, schema, f"{tmp_dir}/in", 5), "1 day")
+    st.run_updates(posts, f"{tmp_dir}/out", f"{tmp_dir}/chk")
+    got = st.kept_first(spark, f"{tmp_dir}/out", posts.schema)
+    want = dedup_first(spark.createDataFrame(rows, schema).drop("landed_at"))
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_keep_first_state_is_dropped_after_its_time(spark, tmp_dir):
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    rows = [("a", 5, day(1)), ("b", 6, day(2)), ("c", 7, day(9)), ("d", 8, day(10)), ("a", 4, day(11)), ("b", 9, day(12))]
+    posts = st.keep_first_stream(land(spark, rows, "id STRING, ord BIGINT, landed_at TIMESTAMP", f"{tmp_dir}/in", 6), "2 days")
+    st.run_updates(posts, f"{tmp_dir}/out", f"{tmp_dir}/chk")
+    sent = spark.read.schema(posts.schema).parquet(f"{tmp_dir}/out/batch_id=*").collect()
+    assert sorted((r.id, r.ord) for r in sent) == [("a", 4), ("a", 5), ("b", 6), ("b", 9), ("c", 7), ("d", 8)]   # b known no more: sent again
+    assert sorted((r.id, r.ord) for r in st.kept_first(spark, f"{tmp_dir}/out", posts.schema).collect()) == [("a", 4), ("b", 6), ("c", 7), ("d", 8)]
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_dir):
+    rng = random.Random(4)
+    rows = [(str(i), dt.datetime(2024, 1, 1, 6) + dt.timedelta(days=rng.randrange(150)), i % 3) for i in range(240)]   # five months, no order
+    rows += [("none", None, 1)]
+    s = land(spark, rows, "id STRING, created_at TIMESTAMP, cluster INT", f"{tmp_dir}/in", 6)
+    fn = st.drift_with_late_batch(spark, f"{tmp_dir}/out", "7 days", "7 days")
+    st.run_batches(s, fn, f"{tmp_dir}/chk")
+    batch = spark.createDataFrame(rows, "id STRING, created_at TIMESTAMP, cluster INT")
+    w = F.window("created_at", "7 days")
+    want = {(r.s, r.cluster, r.n) for r in batch.groupBy(w.start.alias("s"), "cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    corrected = lambda: {tuple(r) for r in st.drift_counts_corrected(spark, f"{tmp_dir}/out").collect()}
+    assert corrected() == want
+    late = st.late_rows(spark, f"{tmp_dir}/out")
+    on_time = st.drift_counts_on_time(spark, f"{tmp_dir}/out").agg(F.sum("n_posts")).first()[0]
+    assert late.count() + on_time == len(rows) and on_time < 240
+    assert [r.id for r in late.where("period_start IS NULL").collect()] == ["none"]
+    # Plain rule: a row is late when its period ended by the latest time of earlier files less a week.
+    plain, latest = set(), None
+    for k in range(6):
+        part = rows[k * 41:(k + 1) * 41]
+        for i, t, _ in part:
+            end = t and dt.datetime(1970, 1, 1) + dt.timedelta(days=((t - dt.datetime(1970, 1, 1)).days // 7 + 1) * 7)
+            if t is None or (latest and end <= latest - dt.timedelta(days=7)):
+                plain.add(i)
+        latest = max([latest or dt.datetime.min, *[t for _, t, _ in part if t]])
+    assert {r.id for r in late.collect()} == plain
+    fn(batch.limit(0), 99)                                 # an empty batch, and a replay of it
+    fn(batch.limit(0), 99)
+    assert corrected() == want

@@ -793,7 +793,8 @@ def q_cluster_layout_join(spark, sf):
 # -------------------------------------------------------------- streaming ---
 
 STREAM_FILES = 4
-STREAM_DELAY = "31 days"   # longer than the fixture month: no fixture row is late
+STREAM_DELAY = "31 days"   # how long repeated ids are known, by landing time
+DRIFT_DELAY = "3 days"     # rows later than this are counted from the side table
 
 
 @register("stream_ingest", sql("SELECT DISTINCT id FROM posts", "posts"))
@@ -825,12 +826,24 @@ def q_stream_assign(spark, sf):
            cluster, count(*) AS n_posts FROM clustered GROUP BY ALL""", "clustered"))
 def q_stream_drift(spark, sf):
     root = scratch_path(spark, "stream-drift")
-    c = fx.clustered(spark, sf).select("id", "created_at", "cluster", "ord")
-    st.write_stream_input(c, f"{root}/in", STREAM_FILES)
+    c = fx.clustered(spark, sf).select("id", "created_at", "cluster", F.xxhash64("id").alias("ord"))
+    st.write_stream_input(c, f"{root}/in", STREAM_FILES)          # files in no order of time
     s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    st.run_updates(st.drift_counts_stream(s, "7 days", delay=STREAM_DELAY), f"{root}/out", f"{root}/chk")
-    return st.latest_updates(spark, f"{root}/out", ["period_start", "cluster"]).select(
-        "period_start", "cluster", "n_posts")
+    st.run_batches(s, st.drift_with_late_batch(spark, f"{root}/out", "7 days", DRIFT_DELAY), f"{root}/chk")
+    return st.drift_counts_corrected(spark, f"{root}/out")
+
+
+@register("stream_keep_first", sql("""
+    SELECT id, text, source, platform, created_at, score, url, ord, content_type
+    FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1""", "posts"))
+def q_stream_keep_first(spark, sf):
+    """Pages landed in no order, one file a micro-batch → whole first posts by id, as batch dedup keeps them."""
+    root = scratch_path(spark, "stream-keep-first")
+    pages = hs.pages_as_json(fx.hits(spark, sf))
+    pages.repartition(STREAM_FILES, F.xxhash64("json")).write.mode("overwrite").text(f"{root}/in")
+    posts = st.keep_first_stream(st.ingest_stream(spark, f"{root}/in", 1), "1 day")
+    st.run_updates(posts, f"{root}/out", f"{root}/chk")
+    return st.kept_first(spark, f"{root}/out", posts.schema)
 
 
 @register("stream_centres", None)

@@ -8,10 +8,13 @@ query (or a lost executor) resumes exactly where it stopped.
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themescope import schemas
 from themescope.functions.vector import l2_normalize
@@ -40,6 +43,54 @@ def dedup_stream(posts: DataFrame, delay: str = "1 day", key: str = "id",
     return posts.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+_JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def _least_of_batches(batches):
+    """Of each Arrow batch the row of least ``ord`` per id: a hot id is cut before the shuffle."""
+    for batch in batches:
+        rows = pd.DataFrame({"id": batch.column(0).to_pandas(), "ord": batch.column(1).to_numpy(zero_copy_only=False)})
+        yield batch.take(pa.array(rows.sort_values("ord", kind="stable").drop_duplicates("id").index.to_numpy()))
+
+
+def keep_first_stream(posts: DataFrame, ttl: str = "1 day", ts: str = "landed_at") -> DataFrame:
+    """Rows of ``posts`` (id, ord, ...) that come earlier in ``ord`` than every copy of
+    their id so far (STR-2): for ``run_updates``, read by ``kept_first``.
+
+    State per id is its least ``ord`` alone, dropped when no copy has landed for
+    ``ttl`` (watermark of ``ts``); a copy that lands later gives one more row,
+    which ``kept_first`` settles.  Null ids are one key, as in batch.  ``ord`` is
+    not null; other columns of any type may be null.  ``ts`` is not returned.
+    """
+    columns = [f for f in posts.schema.fields if f.name != ts]
+    row = F.to_json(F.struct(*[f.name for f in columns]), _JSON_TIME)
+    packed = posts.withWatermark(ts, ttl).select("id", F.col("ord").cast("long").alias("ord"), F.col(ts).alias("landed"), row.alias("row"))
+    packed = packed.mapInArrow(_least_of_batches, packed.schema)
+    keep_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = pd.concat(list(frames)).sort_values("ord", kind="stable")
+        least, landed = int(first["ord"].iloc[0]), first["landed"].max()
+        known = state.get[0] if state.exists else None
+        if known is None or least < known:
+            state.update((least,))
+            yield first[["row"]].head(1)
+        state.setTimeoutTimestamp(max(int(landed.timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+    out = packed.groupBy("id").applyInPandasWithState(run, "row string", "least bigint", "update", "EventTimeTimeout")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in columns])
+    return out.select(F.from_json("row", schema, _JSON_TIME).alias("r")).select("r.*")
+
+
+def kept_first(spark: SparkSession, sink_path: str, schema: T.StructType) -> DataFrame:
+    """The first row of every id from the updates of ``keep_first_stream``: batch ORD-1."""
+    from themescope.operators.ingest import dedup_first
+    return dedup_first(spark.read.schema(schema).parquet(f"{sink_path}/batch_id=*"))
+
+
 def assign_stream(df: DataFrame, centres: Column, vec_col: str = "embedding",
                   normalize: bool = True) -> DataFrame:
     """Stateless nearest-centre assignment; centres ship as a constant (STR-3)."""
@@ -56,6 +107,59 @@ def drift_counts_stream(clustered: DataFrame, period: str = "7 days", slide: str
                     "cluster", "n_posts"))
 
 
+def drift_with_late_batch(spark: SparkSession, path: str, period: str = "7 days", delay: str = "7 days",
+                          ts: str = "created_at"):
+    """``foreachBatch`` function for drift counts that lose no row (STR-4).
+
+    The watermark of a batch is the latest ``ts`` of earlier batches less
+    ``delay``, as Spark's own.  Rows whose period it has passed go to the table
+    ``late`` whole, as do rows without a time (period null); all others are
+    counted, so counts of passed periods never change.  Tables are versioned by
+    batch id: a replayed batch overwrites its own, the state is one timestamp.
+    """
+    spark.createDataFrame([(None,)], "latest timestamp").write.mode("ignore").parquet(f"{path}/clock/batch=-1")
+
+    def run(batch: DataFrame, batch_id: int):
+        clock = batch.sparkSession.read.schema("latest timestamp, batch long").parquet(f"{path}/clock")
+        latest = clock.where(F.col("batch") < batch_id).select(F.max("latest")).scalar()
+        passed = F.coalesce(F.col("period_end") <= latest - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        batch = batch.persist()
+        w = F.window(F.col(ts), period)
+        # ``window`` leaves out rows without a time.
+        rows = batch.withColumn("_w", w).select(*batch.columns, F.col("_w.start").alias("period_start"), F.col("_w.end").alias("period_end"))
+        untimed = batch.where(F.col(ts).isNull()).withColumns({c: F.lit(None).cast("timestamp") for c in ("period_start", "period_end")})
+        for table, df in (("counts", rows.where(~passed).groupBy("period_start", "period_end", "cluster").agg(F.count(F.lit(1)).alias("n_posts"))),
+                          ("late", rows.where(passed).unionByName(untimed)), ("clock", batch.agg(F.max(ts).alias("latest")))):
+            df.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch_id}")
+        batch.unpersist()
+    return run
+
+
+def drift_counts_on_time(spark: SparkSession, path: str) -> DataFrame:
+    """(period_start, cluster, n_posts) of rows that were not late."""
+    return (spark.read.parquet(f"{path}/counts").groupBy("period_start", "cluster")
+            .agg(F.sum("n_posts").cast("long").alias("n_posts")))
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that came behind the watermark or without a time, with their period."""
+    return spark.read.parquet(f"{path}/late").drop("batch")
+
+
+def drift_counts_corrected(spark: SparkSession, path: str) -> DataFrame:
+    """Counts on time plus late rows: what a batch over all timed rows counts."""
+    late = (late_rows(spark, path).where(F.col("period_start").isNotNull())
+            .groupBy("period_start", "cluster").agg(F.count(F.lit(1)).alias("n_posts")))
+    return (drift_counts_on_time(spark, path).unionByName(late).groupBy("period_start", "cluster")
+            .agg(F.sum("n_posts").cast("long").alias("n_posts")))
+
+
+def run_batches(df: DataFrame, fn, checkpoint: str) -> None:
+    """Every micro-batch through ``fn(batch, batch_id)``, until all that is there is processed."""
+    q = df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
                       fmt: str = "parquet") -> None:
     """Process everything available, then stop (file sink, exactly-once)."""
