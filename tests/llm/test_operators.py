@@ -523,3 +523,26 @@ def test_different_texts_of_one_id_stay(spark):
     assert rows == [(1, a), (2, b), (3, c), (4, "")]
     got = sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1), (1, 2), (2, 2), (3, 3), (3, 3), (None, 1), (4, 4), (4, 3)], key=str)
+
+
+def test_stages_keep_input_columns_named_like_theirs(spark):
+    import corpus_pipeline as C
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = {"score": F.col("doc_id") * 2, "Bits": F.lit("b"), "lang_pred": F.lit("mine"), "log_weight": F.lit(None).cast("int"), "selected": F.lit(False),
+           "gumbel_key": F.lit(-1), "_lang": F.lit("q"), "_size": F.lit(1.5), "_row": F.lit(0), "_noise": F.lit("n"), "toxic": F.lit(1),
+           "_docs_row": F.lit(3), "level": F.lit(4)}
+    more = docs.withColumns(own)
+    rows = [r for r in more.collect() for _ in range(1 + (r.doc_id % 50 == 0))]                      # some rows stand twice
+    rows += [(None, *rows[0][1:]), (10**9, None, *rows[0][2:]), (10**9 + 1, "", *rows[0][2:])]
+    more = spark.createDataFrame(rows, more.schema)
+    whole = {tuple(r) for r in more.collect()}
+    for stage in (C.quality_classifier, C.language_id):
+        after = stage(spark, more, sf)
+        assert after.columns == more.columns
+        got = after.collect()
+        assert got and {tuple(r) for r in got} <= whole
+        assert not any(r.doc_id in (10**9, 10**9 + 1) for r in got)
+        ids = Counter(r.doc_id for r in got)
+        assert all(ids[d] in (0, 2) for d in range(0, 200, 50))                                      # copies share their fate
+        assert stage(spark, more.where("false"), sf).collect() == []

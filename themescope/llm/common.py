@@ -41,6 +41,16 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, old)
 
 
+def free_names(df: DataFrame, names: tuple[str, ...]) -> tuple[str, ...]:
+    """``names`` with as many underscores before them as it takes to clash with no
+    column of ``df`` (Spark's names are equal whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    mark = ""
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return tuple(mark + n for n in names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

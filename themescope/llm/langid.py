@@ -184,26 +184,28 @@ def parser(texts: dict[str, str]) -> Parser:
     return _PARSERS[key]
 
 
-def with_language(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and bits.
+NEW = ("lang_pred", "score", "bits")
+
+
+def with_language(docs: DataFrame, texts: dict[str, str], text_col: str = "text", names: tuple[str, str, str] = NEW) -> DataFrame:
+    """``docs`` with lang_pred, score and bits, called ``names``.
 
     lang_pred: the language of fewest bits per character, ties to the smaller
     name; ``und`` (score 0, bits null) for a text that is null, empty or has no
     letter, and for all texts where no language was learned.  score: bits of the
     second-best language over those of the two best together, 1 where only one
     was learned.  Whole texts are parsed, however long.  Repeated rows and null
-    ids are rows like others; an empty table gives no rows.  Input columns of
-    the names of the three new ones are replaced, others are kept.
+    ids are rows like others; an empty table gives no rows.  Input columns called
+    as in ``names`` are replaced, others are kept.
     """
-    new = ["lang_pred", "score", "bits"]
-    docs = docs.drop(*new)
+    docs = docs.drop(*names)
     columns = docs.columns
     at = columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(texts)
 
     def detect(batches):
         parse = parser(shared.value)
-        names = np.array([*parse.langs, UNKNOWN], object)
+        called = np.array([*parse.langs, UNKNOWN], object)
         for batch in batches:
             for first, some in text_slices(batch, at):
                 bits = parse(some)
@@ -215,11 +217,11 @@ def with_language(docs: DataFrame, texts: dict[str, str], text_col: str = "text"
                 score = np.where(und, 0.0, np.where(np.isinf(second), 1.0, second / np.where(np.isinf(second), 1.0, low + second)))
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(first, len(some)) for c in batch.columns),
-                     pa.array(names[np.where(und, len(parse.langs), best)].tolist(), pa.string()),
-                     pa.array(score, pa.float64()), pa.array(low, pa.float64(), mask=und)], names=[*columns, *new])
+                     pa.array(called[np.where(und, len(parse.langs), best)].tolist(), pa.string()),
+                     pa.array(score, pa.float64()), pa.array(low, pa.float64(), mask=und)], names=[*columns, *names])
 
-    return docs.mapInArrow(detect, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                                                 T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]))
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    return docs.mapInArrow(detect, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
 
 def held_out(doc_id) -> Column:

@@ -190,9 +190,10 @@ def toxic_evidence(texts: list[str], evidence: np.ndarray) -> np.ndarray:
     return np.bincount(doc[has], each[has], len(texts))
 
 
-def weighted(docs: DataFrame, models, rest: list[str]) -> DataFrame:
+def weighted(docs: DataFrame, models, rest: list[str], text: bool = False) -> DataFrame:
     """docs (text, *rest) with its log weight and toxic evidence, null where
-    nothing is labelled toxic: (*rest, log_weight, toxic)."""
+    nothing is labelled toxic: (*rest, log_weight, toxic), the text first if wanted."""
+    first = 0 if text else 1
     def score(batches):
         ratios, evidence = models.value
         for batch in batches:
@@ -200,11 +201,11 @@ def weighted(docs: DataFrame, models, rest: list[str]) -> DataFrame:
             got = [log_weights(texts, ratios) for texts in some]
             toxic = [toxic_evidence(texts, evidence) for texts in some] if evidence is not None else []
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(np.concatenate(got) if got else [], pa.float64()),
+                [*batch.columns[first:], pa.array(np.concatenate(got) if got else [], pa.float64()),
                  pa.array(np.concatenate(toxic), pa.float64()) if toxic else pa.nulls(batch.num_rows, pa.float64())],
-                names=[*rest, "log_weight", "toxic"])
+                names=[*["text"][first:], *rest, "log_weight", "toxic"])
     docs = docs.select("text", *rest)
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields[1:], T.StructField("log_weight", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields[first:], T.StructField("log_weight", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
 
 
 def has_word():
@@ -340,12 +341,13 @@ class Resampler:
         # About SAMPLE_ROWS ids, so they can be broadcast.
         return written(rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("_fold", fold), "label-sample"), chosen
 
-    def noisy(self, docs: DataFrame, rest: list[str]) -> DataFrame:
-        """(*rest, log_weight, toxic, _noise) of docs (doc_id, text, *rest); no noise where there is no word."""
+    def noisy(self, docs: DataFrame, rest: list[str], text: bool = False) -> DataFrame:
+        """(*rest, log_weight, toxic, _noise) of docs (doc_id, text, *rest), the text first if
+        wanted; no noise where there is no word."""
         u = (F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
         rows = docs.select("text", F.when(has_word(), -F.log(-F.log(u))).alias("_noise"), F.struct(*rest).alias("_row"))
-        out = weighted(rows, self.models, ["_row", "_noise"])
-        return out.select(*[F.col("_row")[c].alias(c) for c in rest], "log_weight", "toxic", "_noise")
+        out = weighted(rows, self.models, ["_row", "_noise"], text)
+        return out.select(*["text"][:text], *[F.col("_row")[c].alias(c) for c in rest], "log_weight", "toxic", "_noise")
 
     def keyed(self, rows: DataFrame) -> DataFrame:
         """rows (_lang, _size, log_weight, toxic, _noise, ...) with weights relative to the levels, and keys."""
@@ -356,23 +358,33 @@ class Resampler:
         return rows.withColumn("gumbel_key", F.col("log_weight") / TEMPERATURE + F.col("_noise"))
 
     def scored(self, docs: DataFrame, rest: list[str]) -> DataFrame:
-        """(*rest, log_weight, gumbel_key) of docs (doc_id, text, *rest)."""
-        rows = self.noisy(with_group(docs), [*rest, "_lang", "_size"])
-        return self.keyed(rows).select(*rest, "log_weight", "gumbel_key")
+        """(text, *rest, log_weight, gumbel_key) of docs (doc_id, text, *rest)."""
+        rows = self.noisy(with_group(docs), [*rest, "_lang", "_size"], True)
+        return self.keyed(rows).select("text", *rest, "log_weight", "gumbel_key")
 
 
-def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with log_weight, gumbel_key and selected (see ``Resampler``).
+NEW = ("log_weight", "gumbel_key", "selected")
+
+
+def resampled(docs: DataFrame, labels: DataFrame, names: tuple[str, str, str] = NEW) -> DataFrame:
+    """``docs`` with log_weight, gumbel_key and selected (see ``Resampler``), called ``names``.
 
     A text that is null, empty or blank is never drawn, its log_weight is null.
     Without labelled target text every other document is drawn.  Repeated rows (equal id and text) have one key and are drawn
     together; rows without id are rows like others.  An empty table gives no
-    rows.  Input columns of the new names are replaced, others are kept.
+    rows.  Input columns called as in ``names`` are replaced, all others are kept,
+    whatever they are called.
     """
-    docs = docs.drop("log_weight", "gumbel_key", "selected")
+    docs = docs.drop(*names)
+    columns = docs.columns
     model = Resampler(docs, labels)
-    key = F.col("gumbel_key")
-    return model.scored(docs, docs.columns).withColumn("selected", F.coalesce(key >= model.cut, F.lit(False)))
+    # The columns beside the text travel as one, so that none clashes with the operator's own.
+    group = ["lang"] if "lang" in columns else []
+    rows = docs.select("doc_id", "text", *group, F.struct(*[c for c in columns if c != "text"]).alias("_docs_row"))
+    got = model.scored(rows, ["_docs_row"])
+    selected = F.coalesce(F.col("gumbel_key") >= model.cut, F.lit(False))
+    return got.select(*[F.col("text" if c == "text" else f"_docs_row.`{c}`").alias(c) for c in columns],
+                      *[c.alias(n) for c, n in zip([F.col("log_weight"), F.col("gumbel_key"), selected], names)])
 
 
 def query(spark, sf_dir):
