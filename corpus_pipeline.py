@@ -2,6 +2,7 @@
 ``themescope.llm``.  Every stage works on all rows its predecessor kept; all but
 the last return the columns of ``documents``.
 
+Input columns keep their values, also those named like a stage's own.
 Each operator's docstring says what becomes of nulls, empty and very long texts,
 ties, repeated rows, empty tables and extra columns.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themescope.llm import langid, minhash, mixing, packing, quality
-from themescope.llm.common import table
+from themescope.llm.common import free_names, table
 from themescope.llm.tokens import public_path
 from themescope.session import scratch_path
 
@@ -24,15 +25,17 @@ REJECT_BITS = math.log2(32)
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what importance resampling draws; blank texts go."""
-    return quality.resampled(docs, table(spark, sf_dir, "labels")).where("selected").select(*docs.columns)
+    names = free_names(docs, quality.NEW)
+    return quality.resampled(docs, table(spark, sf_dir, "labels"), names).where(F.col(names[2])).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in one of the languages learned from the labelled rows; texts
     without a letter, or no better explained than by even letters, go."""
     learned = langid.training_text(docs.where(~langid.held_out(F.col("doc_id"))))
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits") <= REJECT_BITS)
-    return langid.with_language(docs, learned).where(known).select(*docs.columns)
+    names = free_names(docs, langid.NEW)
+    known = (F.col(names[0]) != langid.UNKNOWN) & (F.col(names[2]) <= REJECT_BITS)
+    return langid.with_language(docs, learned, names=names).where(known).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
