@@ -6,12 +6,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from themescope.functions.vector import as_double_array, dot, l2_normalize, squared_distance
 from themescope.operators import blocks
@@ -119,32 +119,58 @@ def elbow_k(curve: list[tuple[int, float]]) -> int:
 
 # --- silhouettes -----------------------------------------------------------
 
-_SIL_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("cluster", T.IntegerType()),
-    T.StructField("other", T.IntegerType()), T.StructField("dist_sum", T.DoubleType()),
-    T.StructField("cnt", T.LongType()),
-])
-
-
-def _silhouette_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    left, right = pdf[pdf["side"] == "L"], pdf[pdf["side"] == "R"]
-    out = []
-    same_block = int(pdf["bi"].iloc[0]) == int(pdf["bj"].iloc[0])
-    sides = [(left, right)] if same_block else [(left, right), (right, left)]
-    for a, b in sides:
-        if len(a) == 0 or len(b) == 0:
-            continue
-        d = blocks.pair_distances(blocks.stack(a["vec"]), blocks.stack(b["vec"]))
-        b_cl = b["cluster"].to_numpy()
-        for c in np.unique(b_cl):
-            mask = b_cl == c
-            out.append(pd.DataFrame({
-                "id": a["id"].to_numpy(), "cluster": a["cluster"].to_numpy().astype("int32"),
-                "other": np.int32(c), "dist_sum": d[:, mask].sum(axis=1),
-                "cnt": np.int64(mask.sum())}))
-    if not out:
-        return pd.DataFrame({f.name: [] for f in _SIL_SCHEMA.fields})
-    return pd.concat(out, ignore_index=True)
+SIDE_ROWS = 256                # rows that meet eight times as many: distances that stay in the cache
+_SIL_SCHEMA = "id string, cluster int, other int, dist_sum double, cnt long"
+
+
+def _by_cluster(block, normalize: bool):
+    """(vectors, rows without one, ids, clusters, code of each row, clusters by code), rows sorted by cluster."""
+    v = blocks.vectors_of(block)
+    if normalize:
+        n = np.sqrt((v * v).sum(1, keepdims=True))
+        v = v / np.where(n > 0, n, 1.0)
+    cluster = block["cluster"].values
+    order = pc.array_sort_indices(cluster)
+    names = pc.unique(cluster.take(order))
+    cluster = cluster.take(order)
+    lost = np.isnan(v).any(1)[order.to_numpy()]
+    v = np.where(np.isnan(v).any(1, keepdims=True), 0.0, v)[order.to_numpy()]
+    code = pc.index_in(cluster, names).to_numpy()
+    return v, lost, block["id"].values.take(order), cluster, code, names
+
+
+def _silhouette_kernel(normalize: bool):
+    def sums_of(side, sums, met):
+        _, lost, ids, cluster, _, _ = side
+        names, size = met[5], np.bincount(met[4], minlength=len(met[5]))
+        n, c = sums.shape
+        for s, e in blocks.tiles(n, c):
+            rows = pa.array(np.repeat(np.arange(s, e), c))
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(rows), cluster.take(rows), names.take(pa.array(np.tile(np.arange(c), e - s))),
+                 pa.array(sums[s:e].ravel(), mask=np.repeat(lost[s:e], c)), pa.array(np.tile(size, e - s))],
+                ["id", "cluster", "other", "dist_sum", "cnt"])
+
+    def run(left, right, same):
+        a, b = _by_cluster(left, normalize), _by_cluster(right, normalize)
+        to_b, to_a = np.zeros((len(a[0]), len(b[5]))), np.zeros((len(b[0]), len(a[5])))
+        runs = lambda code: np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        for s in range(0, len(a[0]), SIDE_ROWS):
+            x, xa = a[0][s:s + SIDE_ROWS], a[4][s:s + SIDE_ROWS]
+            for t in range(0, len(b[0]), 8 * SIDE_ROWS):
+                y, yb = b[0][t:t + 8 * SIDE_ROWS], b[4][t:t + 8 * SIDE_ROWS]
+                d = blocks.pair_distances(x, y)
+                d[a[1][s:s + SIDE_ROWS]] = 0.0
+                d[:, b[1][t:t + 8 * SIDE_ROWS]] = 0.0
+                first = runs(yb)
+                to_b[s:s + len(x), yb[first]] += np.add.reduceat(d, first, axis=1)
+                if not same:
+                    first = runs(xa)
+                    to_a[t:t + len(y), xa[first]] += np.add.reduceat(d, first, axis=0).T
+        yield from sums_of(a, to_b, b)
+        if not same:
+            yield from sums_of(b, to_a, a)
+    return run
 
 
 def silhouette_points(df: DataFrame, cluster_col: str = "cluster", vec_col: str = "embedding",
@@ -153,16 +179,15 @@ def silhouette_points(df: DataFrame, cluster_col: str = "cluster", vec_col: str
     """Exact per-point silhouette with plain Euclidean distance.
 
     s = (b − a) / max(a, b); a = mean distance to the rest of its own
-    cluster, b = smallest mean distance to another cluster; singletons get 0.
-    Quadratic by definition: computed over block pairs (see ``blocks``),
+    cluster, b = smallest mean distance to another cluster; singletons and points
+    without a cluster or a vector get 0.  Quadratic by definition: computed over block pairs (see ``blocks``),
     emitting per (point, cluster) sums that a partial aggregate folds.
     """
-    vec = l2_normalize(vec_col) if normalize else as_double_array(vec_col)
     pts = df.select(F.col(id_col).cast("string").alias("id"),
-                    F.col(cluster_col).cast("int").alias("cluster"), vec.alias("vec"))
-    nb = blocks.plan_blocks(pts, block_rows)
-    sums = (blocks.paired_blocks(pts, nb)
-            .groupBy("bi", "bj").applyInPandas(_silhouette_block, _SIL_SCHEMA)
+                    F.col(cluster_col).cast("int").alias("cluster"), F.col(vec_col).alias("vec"))
+    nb, dim = blocks.plan_blocks(pts, "vec", block_rows)
+    packed = blocks.packed(pts, blocks.block_of(nb), dim, {"id": "string", "cluster": "int"})
+    sums = (blocks.met_blocks(packed, nb, _silhouette_kernel(normalize), _SIL_SCHEMA)
             .groupBy("id", "cluster", "other")
             .agg(F.sum("dist_sum").alias("s"), F.sum("cnt").alias("c")))
     own = F.col("other") == F.col("cluster")
