@@ -74,8 +74,12 @@ def stop_pages(hits: DataFrame) -> DataFrame:
 
 
 def pages_before_stop(hits: DataFrame) -> DataFrame:
-    """Hits the paging loop reaches: pages before the first empty page."""
-    stops = stop_pages(hits)
+    """Hits the paging loop reaches: pages before the first empty page.
+
+    ``stops`` has one row per tag and is sent to the hits: an exchange by tag
+    would bring all hits of a tag into one task.
+    """
+    stops = F.broadcast(stop_pages(hits))
     return (hits.join(stops, "content_type")
             .where(F.col("page") < F.col("stop_page")).drop("stop_page"))
 
