@@ -803,7 +803,8 @@ def q_stream_ingest(spark, sf):
     on the landing time: posts without a time of their own are kept."""
     root = scratch_path(spark, "stream-ingest")
     pages = hs.pages_as_json(fx.hits(spark, sf))
-    pages.repartition(STREAM_FILES).write.mode("overwrite").text(f"{root}/in")
+    files = st.landed_files(fx.read_table(spark, sf, "documents", ["text"]), STREAM_FILES)
+    pages.repartition(files).write.mode("overwrite").text(f"{root}/in")
     posts = st.dedup_stream(st.ingest_stream(spark, f"{root}/in"), STREAM_DELAY)
     st.run_available_now(posts.select("id", "landed_at"), f"{root}/out", f"{root}/chk")
     return spark.read.parquet(f"{root}/out").select("id")
@@ -837,11 +838,12 @@ def q_stream_drift(spark, sf):
     SELECT id, text, source, platform, created_at, score, url, ord, content_type
     FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1""", "posts"))
 def q_stream_keep_first(spark, sf):
-    """Pages landed in no order, one file a micro-batch → whole first posts by id, as batch dedup keeps them."""
+    """Pages landed in no order, a quarter of the files a micro-batch → whole first posts by id, as batch dedup keeps them."""
     root = scratch_path(spark, "stream-keep-first")
     pages = hs.pages_as_json(fx.hits(spark, sf))
-    pages.repartition(STREAM_FILES, F.xxhash64("json")).write.mode("overwrite").text(f"{root}/in")
-    posts = st.keep_first_stream(st.ingest_stream(spark, f"{root}/in", 1), "1 day")
+    files = st.landed_files(fx.read_table(spark, sf, "documents", ["text"]), STREAM_FILES)
+    pages.repartition(files, F.xxhash64("json")).write.mode("overwrite").text(f"{root}/in")
+    posts = st.keep_first_stream(st.ingest_stream(spark, f"{root}/in", files // STREAM_FILES), "1 day")
     st.run_updates(posts, f"{root}/out", f"{root}/chk")
     return st.kept_first(spark, f"{root}/out", posts.schema)
 

@@ -8,6 +8,8 @@ query (or a lost executor) resumes exactly where it stopped.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -72,13 +74,19 @@ def keep_first_stream(posts: DataFrame, ttl: str = "1 day", ts: str = "landed_at
         if state.hasTimedOut:
             state.remove()
             return
-        first = pd.concat(list(frames)).sort_values("ord", kind="stable")
-        least, landed = int(first["ord"].iloc[0]), first["landed"].max()
+        # Mostly one frame of one row: plain arrays, as a key costs what its pandas calls cost.
+        least = row = landed = None
+        for frame in frames:
+            order, times = frame["ord"].to_numpy(), frame["landed"].to_numpy()
+            at, time = int(order.argmin()), int(times.max().astype("datetime64[ms]").astype("int64"))
+            if least is None or order[at] < least:
+                least, row = int(order[at]), frame["row"].iat[at]
+            landed = time if landed is None else max(landed, time)
         known = state.get[0] if state.exists else None
         if known is None or least < known:
             state.update((least,))
-            yield first[["row"]].head(1)
-        state.setTimeoutTimestamp(max(int(landed.timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame({"row": [row]})
+        state.setTimeoutTimestamp(max(landed + keep_ms, state.getCurrentWatermarkMs() + 1))
 
     out = packed.groupBy("id").applyInPandasWithState(run, "row string", "least bigint", "update", "EventTimeTimeout")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in columns])
@@ -215,6 +223,16 @@ def update_centres_batch(centres_path: str, decay: float = 1.0, vec_col: str = "
     return run
 
 
+LANDED_FILE_BYTES = 64 << 20
+
+
+def landed_files(texts: DataFrame, least: int, text_col: str = "text") -> int:
+    """Number of files to land pages of ``texts`` in: no task writes or reads more than about
+    ``LANDED_FILE_BYTES``; a multiple of ``least``."""
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return least * max(1, math.ceil(size / LANDED_FILE_BYTES / least))
+
+
 def write_stream_input(df: DataFrame, path: str, n_files: int, order: str = "ord",
                        fmt: str = "parquet") -> str:
     """Land a table as ``n_files`` files (range-split on ``order``) for a file stream."""
