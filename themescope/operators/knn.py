@@ -116,7 +116,7 @@ class Best:
         d += bb.astype(kind)
         # Loosened by what rounded products and sums may be off.
         off = (b.shape[1] + 16) * 2 * np.finfo(kind).eps * scale
-        i, j = np.nonzero(d <= np.minimum(within ** 2 - xx + off, np.finfo(kind).max).astype(kind)[:, None])
+        i, j = blocks.where(d <= np.minimum(within ** 2 - xx + off, np.finfo(kind).max).astype(kind)[:, None])
         if len(i) > MAX_HITS and len(rows) > 1:
             for half in np.array_split(rows, 2):
                 self.meet(half, b, b_ids)
@@ -260,7 +260,8 @@ def knn_graph(df: DataFrame, k: int = 15, vec_col: str = "embedding", id_col: st
     there = [r["blk"] for r in packed.select("blk").collect()]
     if not there:
         return df.sparkSession.createDataFrame([], "id string, nbr string, rank int, dist double")
+    # More partitions than parts: few tasks get two, whatever number the session has.
     met = (packed.select(F.explode(F.lit(there)).alias("part"), "*").withColumn("_other", F.col("blk") != F.col("part"))
-           .repartition("part").sortWithinPartitions("part", "_other"))
+           .repartition(8 * len(there), "part").sortWithinPartitions("part", "_other"))
     best = met.groupBy("part").applyInArrow(_near_part(pivots, k), _CANDIDATES).dropDuplicates(["id", "nbr", "dist"])
     return first_n_per_group(best, "id", k, [F.col("dist"), F.col("nbr")], rank_col="rank").select("id", "nbr", "rank", "dist")
