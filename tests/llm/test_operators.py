@@ -276,6 +276,20 @@ def test_near_duplicates_of_a_loose_group(spark):
     assert {r.doc_id: r.class_id for r in got} == exact_classes(table)
 
 
+def test_near_duplicates_sends_few_rows_at_a_time(spark, docs, monkeypatch):
+    """The jobs that send texts to Python hold at most BATCH_ROWS of them in a batch, whatever the session says."""
+    sent, written = {}, minhash.written
+
+    def noted(df, name):
+        sent[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return written(df, name)
+    monkeypatch.setattr(minhash, "written", noted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    minhash.classes(docs)
+    assert max(sent["signatures"], sent["vectors"]) <= minhash.BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     ids = np.sort(rng.choice(1 << 48, 3000, False).astype(np.uint64))

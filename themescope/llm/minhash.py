@@ -28,6 +28,8 @@ BANDS, ROWS = 16, 4
 #: documents, of a size that does not depend on the corpus.
 DF_CELLS = 1 << 20
 TABLE = 1 << 16
+#: Characters that are hashed at a time, and rows that are sent to Python at a time.
+SLICE_CHARS, BATCH_ROWS = 1 << 18, 1024
 #: Nodes and bytes of shingle ids that each of the two parts of a group holds.
 GROUP_NODES = 512
 GROUP_BYTES = 8 << 20
@@ -44,11 +46,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros(DF_CELLS + 1, np.int64)
         for batch in batches:
             total[DF_CELLS] += batch.num_rows
-            for _, texts in text_slices(batch, 0):
+            for _, texts in text_slices(batch, 0, chars=SLICE_CHARS):
                 doc, ids, _ = shingle_counts(*folded_words(texts))
                 cell = np.sort((doc.astype(np.uint64) << np.uint64(20)) | (ids & np.uint64(DF_CELLS - 1)))
                 cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))] if len(cell) else cell
-                total[:DF_CELLS] += np.bincount((cell & np.uint64(DF_CELLS - 1)).astype(np.int64), minlength=DF_CELLS)
+                found, n = np.unique((cell & np.uint64(DF_CELLS - 1)).astype(np.int64), return_counts=True)
+                total[found] += n
         return total
 
     total = cell_counts(docs.select("text"), count, DF_CELLS + 1)
@@ -117,7 +120,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     def sign(batches):
         weights, sampler = idf.value, Sampler()
         for batch in batches:
-            for at, texts in text_slices(batch, 1):
+            for at, texts in text_slices(batch, 1, chars=SLICE_CHARS):
                 hashes, offsets = folded_words(texts)
                 doc, ids, tf = shingle_counts(hashes, offsets)
                 bands = [[] for _ in texts]
@@ -164,7 +167,7 @@ def vectors(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         for batch in batches:
             cell = _cells_of(batch.column(0).to_numpy())
             batch = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)))
-            for first, texts in text_slices(batch, 1):
+            for first, texts in text_slices(batch, 1, chars=SLICE_CHARS):
                 doc, ids, tf = shingle_counts(*folded_words(texts))
                 at = np.searchsorted(doc, np.arange(len(texts) + 1))
                 six = np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
@@ -321,10 +324,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     extra columns are ignored.
     """
     spark = docs.sparkSession
-    df, n_docs = document_frequencies(docs)
+    with arrow_rows(spark, BATCH_ROWS):
+        df, n_docs = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(idf_table(df, n_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(signatures(rows, idf), "signatures")
+    with arrow_rows(spark, BATCH_ROWS):
+        signed = written(signatures(rows, idf), "signatures")
     nodes = written(signed.where("doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "nodes")
 
@@ -335,7 +340,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(stars, "stars")
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    vecs = written(vectors(rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text"), needed, idf), "vectors")
+    with arrow_rows(spark, BATCH_ROWS):
+        vecs = written(vectors(rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text"), needed, idf), "vectors")
     with arrow_rows(spark, 512):
         tried = written(similarities(stars, vecs, idf), "tried")
     links = tried.where(F.col("sim") >= threshold).select("a", "b")
