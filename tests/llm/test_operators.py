@@ -123,6 +123,34 @@ def test_plain_texts_use_the_word_cache(name):
     assert e.whole("\u0130.") == (name == "word_bpe_49k.json")
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_batch_looks_a_word_up_once(name):
+    class Counting(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            self.looked += 1
+            return super().get(key, default)
+
+    e = WordEncoder(public_path(name))
+    e.cache = Counting()
+    words = [f"{a}{b}{c}" for a in "aeiou" for b in "rstl\u00e9" for c in "aeiou"]
+    e([" ".join(words) + ", " + ". ".join(words)] * 40)
+    assert e.cache.looked <= 3 * len(words)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_batch_of_pieces_equals_untouched_tokenizer(name):
+    from tokenizers import Tokenizer
+    path, rng = public_path(name), np.random.default_rng(5)
+    pieces = ["a", "B", "'", "s", "LL", "'re", " ", "  ", "\n", "\t", "\xa0", "\x1c", "1", "\u00bd", "\u0663", ".", "--", "\u00e9", "e\u0301", "\u00df",
+              "\u03a3", "\u017f", "\u0378", "\u65e5\u672c", "\U0001f44d", "\u0130", "<|endoftext|>", "\u00ad", "\u0301", "word", " the", "\u2028"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(3000)]
+    tok = Tokenizer.from_file(path)
+    for t, ids in zip(texts, WordEncoder(path, cache_words=300)(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing(docs, nothing):
     path = public_path(packing.TOKENIZER)
     got = packing.packed(docs, path, window=64).collect()
