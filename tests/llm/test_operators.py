@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from themescope.llm import chat, covertree, grammar, langid, minhash, mixing, packing, quality, sharding, topk
+from themescope.llm import chat, covertree, grammar, langid, minhash, mixing, packing, quality, sharding, textcodes, topk
 from themescope.llm.graph import components
 from themescope.llm.tokens import WordEncoder, public_path
 
@@ -151,6 +151,38 @@ def test_a_batch_of_pieces_equals_untouched_tokenizer(name):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_tables_and_slices_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Docs:
+        schema = quality.T.StructType([quality.T.StructField("text", quality.T.StringType())])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    class Models:
+        value = np.zeros(2 * quality.CELLS, np.float32), None
+
+    def peak(f):
+        tracemalloc.start()
+        f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    textcodes.lower.cache_clear()
+    assert peak(textcodes.lower) < 20
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 1_000_000] * 120})
+    score = quality.weighted(Docs(), Models, [])
+    list(score([batch.slice(0, 1)]))
+    assert peak(lambda: list(score([batch]))) < 100
+
+
 def test_packing(docs, nothing):
     path = public_path(packing.TOKENIZER)
     got = packing.packed(docs, path, window=64).collect()

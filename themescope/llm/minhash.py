@@ -29,7 +29,7 @@ BANDS, ROWS = 16, 4
 DF_CELLS = 1 << 20
 TABLE = 1 << 16
 #: Characters that are hashed at a time, and rows that are sent to Python at a time.
-SLICE_CHARS, BATCH_ROWS = 1 << 18, 1024
+SLICE_CHARS, BATCH_ROWS = 1 << 17, 1024
 #: Nodes and bytes of shingle ids that each of the two parts of a group holds.
 GROUP_NODES = 512
 GROUP_BYTES = 8 << 20

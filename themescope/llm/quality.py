@@ -26,6 +26,8 @@ from themescope.llm.shingles import CHUNK, cell_counts, counted_cells, read_cell
 from themescope.llm.textcodes import classes, code_points, mix64, span_hasher, span_hashes, text_slices, word_spans
 
 CELLS = 1 << 20
+#: Characters that are counted at a time.
+SLICE_CHARS = 1 << 18
 PREFIX = 5
 PASSAGE = 8
 BIGRAM_SHARE = 0.3
@@ -79,7 +81,7 @@ def ngram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
-            for _, texts in text_slices(batch, 0):
+            for _, texts in text_slices(batch, 0, chars=SLICE_CHARS):
                 add_ngrams(total, texts)
         return total
     return cell_counts(docs.select("text"), count, 2 * CELLS)
@@ -156,7 +158,7 @@ def sample_counts(sample: DataFrame, parts: int) -> DataFrame:
                 total = totals.setdefault(int(fold), np.zeros(GROUP_CELLS, np.int64))
                 some = batch.filter(pa.array(folds == fold))
                 total[3 * CELLS] += some.num_rows
-                for _, texts in text_slices(some, 0):
+                for _, texts in text_slices(some, 0, chars=SLICE_CHARS):
                     if fold < parts:
                         add_ngrams(total, texts)
                     add_marks(total[2 * CELLS:3 * CELLS], texts)
@@ -197,9 +199,11 @@ def weighted(docs: DataFrame, models, rest: list[str], text: bool = False) -> Da
     def score(batches):
         ratios, evidence = models.value
         for batch in batches:
-            some = [texts for _, texts in text_slices(batch, 0)]
-            got = [log_weights(texts, ratios) for texts in some]
-            toxic = [toxic_evidence(texts, evidence) for texts in some] if evidence is not None else []
+            got, toxic = [], []
+            for _, texts in text_slices(batch, 0):        # one slice of texts in memory at a time
+                got.append(log_weights(texts, ratios))
+                if evidence is not None:
+                    toxic.append(toxic_evidence(texts, evidence))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[first:], pa.array(np.concatenate(got) if got else [], pa.float64()),
                  pa.array(np.concatenate(toxic), pa.float64()) if toxic else pa.nulls(batch.num_rows, pa.float64())],

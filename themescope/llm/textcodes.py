@@ -28,14 +28,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def classes() -> np.ndarray:
     """Class of each code point: letters are \\p{L}, digits \\p{N}, spaces str.isspace()."""
     kind = {"L": LETTER, "N": DIGIT}
-    return np.array([SPACE if chr(i).isspace() else kind.get(unicodedata.category(chr(i))[0], OTHER)
-                     for i in range(sys.maxunicode + 1)], np.uint8)
+    return np.fromiter((SPACE if chr(i).isspace() else kind.get(unicodedata.category(chr(i))[0], OTHER)
+                        for i in range(sys.maxunicode + 1)), np.uint8)
 
 
 @lru_cache(1)
 def lower() -> np.ndarray:
     """Lower-case code point, where that is a single one."""
-    return np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(sys.maxunicode + 1)], np.uint32)
+    return np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(sys.maxunicode + 1)), np.uint32)
 
 
 @lru_cache(2)
@@ -49,7 +49,7 @@ _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
