@@ -51,14 +51,11 @@ def _pair_counts(keys):
     return keys[edge], np.diff(np.append(edge, len(keys)))
 
 
-def _replaceable(marked):
-    """Of marked pair positions, every other one of each run: no two overlap."""
-    at = np.flatnonzero(marked)
-    if len(at) == 0:
-        return at
+def _replaceable(at):
+    """Whether a pair position is one of every other of its run: no two overlap."""
     first = np.concatenate(([True], at[1:] != at[:-1] + 1))
     run_start = np.maximum.accumulate(np.where(first, at, 0))
-    return at[(at - run_start) % 2 == 0]
+    return (at - run_start) & 1 == 0
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT) -> dict:
@@ -74,6 +71,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
     body = body.astype(sym)
     last = np.zeros(len(body), bool)                     # of its document
     last[np.cumsum(doc_tokens) - 1] = True
+    # Pairs are hashed to 2^16 cells.
+    mix, down = (key(0x9E3779B1), key(16)) if width == 2 else (key(0x9E3779B97F4A7C15), key(48))
     base, rules, lengths = len(alphabet), [], [np.ones(len(alphabet), np.int64)]
     n_rules = 0
     while len(body) > 1 and base + n_rules < most:
@@ -82,8 +81,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
         if not inside.any():
             break
         # A hashed histogram first: only pairs of cells with enough occurrences are sorted.
-        mix = np.uint64(0x9E3779B97F4A7C15)
-        cell = ((keys.astype(np.uint64) * mix) >> np.uint64(48)).astype(np.int64)
+        cell = ((keys * mix) >> down).astype(np.uint16)
         heavy = np.bincount(cell[inside], minlength=1 << 16) >= min_count
         maybe = np.flatnonzero(heavy[cell] & inside)
         if len(maybe) == 0:
@@ -97,16 +95,14 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
             order = np.argsort(-counts[counts >= max(min_count, top // CLASS)], kind="stable")
             chosen = np.sort(chosen[order[:most - base - n_rules]])
         seen = np.zeros(1 << 16, bool)
-        seen[((chosen.astype(np.uint64) * mix) >> np.uint64(48)).astype(np.int64)] = True
+        seen[(chosen * mix) >> down] = True
         maybe = maybe[seen[cell[maybe]]]
-        found = np.minimum(np.searchsorted(chosen, keys[maybe]), len(chosen) - 1)
-        hit = chosen[found] == keys[maybe]
-        marked = np.zeros(len(keys), bool)
-        marked[maybe[hit]] = True
-        rule_at = np.zeros(len(keys), np.uint32)
-        rule_at[maybe[hit]] = found[hit]
-        at = _replaceable(marked)
-        hits = rule_at[at]
+        wanted = keys[maybe]
+        found = np.minimum(np.searchsorted(chosen, wanted), len(chosen) - 1)
+        hit = chosen[found] == wanted
+        at, found = maybe[hit], found[hit]
+        apart = _replaceable(at)
+        at, hits = at[apart], found[apart]
         used = np.flatnonzero(np.bincount(hits, minlength=len(chosen)))
         number = np.zeros(len(chosen), np.int64)
         number[used] = np.arange(len(used))
@@ -198,7 +194,7 @@ def _shard_writer(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_pylist([made], schema)
 
         ids, docs, size = [], [], 0
-        for batch, k, x in encoded_rows(batches, path, end_id):
+        for batch, k, x in encoded_rows(batches, path, end_id, rows=2048, chars=1 << 22):
             ids.append(x)
             docs.append(batch.column(0)[k].as_py())
             size += len(x) // 4

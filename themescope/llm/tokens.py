@@ -210,9 +210,11 @@ class WordEncoder:
     def known(self, words: list[str]) -> list[bytes]:
         """Ids of each word."""
         found = list(map(self.cache.get, words))
-        if None in found:
-            self.learn([w for w, x in zip(words, found) if x is None])
-            found = list(map(self.cache.__getitem__, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            self.learn([words[i] for i in new])
+            for i in new:
+                found[i] = self.cache[words[i]]
         return found
 
     def by_words(self, texts: list[str]) -> list[bytes]:
@@ -234,12 +236,14 @@ class WordEncoder:
         ids = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         first = np.cumsum(size) - size
+        if max(len(ids), GATHER * int(size.max())) < 1 << 31:
+            size, first = size.astype(np.int32), first.astype(np.int32)
         out, to = [], [np.zeros(1, np.int64)]
         for at in range(0, len(codes), GATHER):
             some = codes[at:at + GATHER]
             n = size[some]
-            end = np.cumsum(n)
-            out.append(ids[np.repeat(first[some] - end + n, n) + np.arange(end[-1])].tobytes())
+            end = np.cumsum(n, dtype=n.dtype)
+            out.append(ids[np.repeat(first[some] - end + n, n) + np.arange(end[-1], dtype=n.dtype)].tobytes())
             to.append(end + to[-1][-1])
         data = b"".join(out)
         cuts = [0, *(4 * np.concatenate(to)[ends]).tolist()]
