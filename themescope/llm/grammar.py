@@ -82,7 +82,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
             break
         # A hashed histogram first: only pairs of cells with enough occurrences are sorted.
         cell = ((keys * mix) >> down).astype(np.uint16)
-        heavy = np.bincount(cell[inside], minlength=1 << 16) >= min_count
+        heavy = np.bincount(cell, minlength=1 << 16) >= min_count
         maybe = np.flatnonzero(heavy[cell] & inside)
         if len(maybe) == 0:
             break
@@ -94,12 +94,15 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = MIN_COUNT
         if len(chosen) > most - base - n_rules:
             order = np.argsort(-counts[counts >= max(min_count, top // CLASS)], kind="stable")
             chosen = np.sort(chosen[order[:most - base - n_rules]])
-        seen = np.zeros(1 << 16, bool)
-        seen[(chosen * mix) >> down] = True
-        maybe = maybe[seen[cell[maybe]]]
+        place = np.full(1 << 16, -1, np.int32)            # of a chosen pair, by cell
+        place[(chosen * mix) >> down] = np.arange(len(chosen))
+        found = place[cell[maybe]]
+        maybe, found = maybe[found >= 0], found[found >= 0]
         wanted = keys[maybe]
-        found = np.minimum(np.searchsorted(chosen, wanted), len(chosen) - 1)
         hit = chosen[found] == wanted
+        other = np.flatnonzero(~hit)                      # not chosen, or another pair of the cell
+        found[other] = np.minimum(np.searchsorted(chosen, wanted[other]), len(chosen) - 1)
+        hit[other] = chosen[found[other]] == wanted[other]
         at, found = maybe[hit], found[hit]
         apart = _replaceable(at)
         at, hits = at[apart], found[apart]
@@ -162,7 +165,9 @@ class Shard:
         symbols = self._open(symbols, TABLED)
         n = self.lengths[symbols]
         ends = np.cumsum(n)
-        return self.short[np.repeat(self.first[symbols] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(self.short)) < 1 << 31 else np.int64
+        return self.short[np.repeat((self.first[symbols] - ends + n).astype(kind), n) + np.arange(total, dtype=kind)]
 
     def document(self, k: int, start: int = 0, length: int | None = None) -> np.ndarray:
         """Ids ``start`` .. ``start + length`` of document ``k``; only the symbols

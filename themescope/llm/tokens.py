@@ -86,9 +86,11 @@ class WordEncoder:
             self.special.append(LONG_LOWER)
         self.lower = "Lowercase" in kinds
         self.tokenize = self.tok.model.tokenize
-        # Byte-level characters of the bytes that are no visible Latin-1 character, in their order.
+        # Byte-level characters: bytes that are no visible Latin-1 character stand behind it, in their order.
         hidden = [*range(33), *range(127, 161), 173]
-        self.bytes = {b: 256 + k for k, b in enumerate(hidden)}
+        self.bytes = np.arange(256, dtype="<u4")
+        self.bytes[hidden] = 256 + np.arange(len(hidden))
+        self.bytes[10] = 10                               # words stand in lines here
         self.leading = pattern is BYTE_LEVEL              # a word may start with its space
         vocab, suffix = self.tok.get_vocab(), spec["model"].get("end_of_word_suffix")
         self.edge = None                                  # by id: first token of a word with its space, or last token
@@ -127,7 +129,7 @@ class WordEncoder:
         at = np.flatnonzero(new)
         kind = kinds[at]
         if len(data) > len(points):
-            at = np.flatnonzero((data & 0xC0) != 0x80)[at]
+            at = np.flatnonzero(data.view(np.int8) >= -64)[at]  # bytes that begin a character
         offsets = np.append(at, len(data))
         made = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
         words = kind != END if self.leading else (kind != END) & (kind != SPACE)
@@ -162,9 +164,8 @@ class WordEncoder:
         Unicode: the library's model alone, as its other steps have nothing to do but map the bytes."""
         if self.lower:
             words = "\n".join(words).lower().split("\n")
-        words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in words]
-        if self.leading:
-            words = "\n".join(words).replace(" ", "Ġ").split("\n")
+        data = np.frombuffer("\n".join(words).encode(), np.uint8)
+        words = self.bytes[data].tobytes().decode("utf-32-le").split("\n")
         ids, ends = array("I"), []
         for tokens in map(self.tokenize, words):
             ids.extend([t.id for t in tokens])
