@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themescope.llm import langid, minhash, mixing, packing, quality
-from themescope.llm.common import free_names, table
+from themescope.llm.common import TEXT_ROWS, free_names, table
 from themescope.llm.tokens import public_path
 from themescope.session import scratch_path
 
@@ -23,8 +23,17 @@ from themescope.session import scratch_path
 REJECT_BITS = math.log2(32)
 
 
+def few_texts_at_a_time(spark: SparkSession) -> None:
+    """Sets the session to send texts to Python in small batches.  The tables that stages return
+    are computed after them, so the setting stays; no row depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what importance resampling draws; blank texts go."""
+    few_texts_at_a_time(spark)
     names = free_names(docs, quality.NEW)
     return quality.resampled(docs, table(spark, sf_dir, "labels"), names).where(F.col(names[2])).select(*docs.columns)
 
@@ -32,6 +41,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in one of the languages learned from the labelled rows; texts
     without a letter, or no better explained than by even letters, go."""
+    few_texts_at_a_time(spark)
     learned = langid.training_text(docs.where(~langid.held_out(F.col("doc_id"))))
     names = free_names(docs, langid.NEW)
     known = (F.col(names[0]) != langid.UNKNOWN) & (F.col(names[2]) <= REJECT_BITS)
@@ -50,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows, with their ids."""
+    few_texts_at_a_time(spark)
     return packing.packed(docs, public_path(packing.TOKENIZER))
 
 

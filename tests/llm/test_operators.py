@@ -285,6 +285,57 @@ def test_cross_parsing_is_greedy_longest_match():
             assert abs(got - phrases) <= 1
 
 
+def most_mb(f):
+    import tracemalloc
+    tracemalloc.start()
+    f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_parser_is_made_in_little_more_memory_than_it_takes():
+    codes = np.random.default_rng(1).integers(ord("a"), ord("a") + 26, 30_000)
+    texts = {"a": "".join(map(chr, codes)) + "".join(map(chr, range(0x430, 0x450)))}
+    size = langid.Parser(texts).table.nbytes / 1e6
+    assert most_mb(lambda: langid.Parser(texts)) < 5 * size
+
+
+def test_parser_goes_with_its_job(spark, docs):
+    learned = langid.training_text(docs.where("doc_id < 150"))
+    assert langid.with_language(docs, learned).count() == len(rows())
+    langid.with_language(docs, learned).write.format("noop").mode("overwrite").save()
+
+    def parsers(batches):
+        import gc
+
+        import pyarrow as pa
+        for _ in batches:
+            n = sum(type(x).__name__ == "Parser" and type(x).__module__ == "themescope.llm.langid" for x in gc.get_objects())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+    assert {r.n for r in spark.range(64, numPartitions=16).mapInArrow(parsers, "n long").collect()} == {0}
+
+
+def test_folds_are_counted_one_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    class Sample:
+        select = repartition = sortWithinPartitions = lambda self, *_: self
+
+    monkeypatch.setattr(quality, "counted_cells", lambda df, count: count)
+    count = quality.sample_counts(Sample(), quality.FOLDS)
+    batch = pa.RecordBatch.from_pydict({"text": [ENGLISH] * 12, "_fold": [f for f in range(quality.FOLDS + 1) for _ in range(2)]})
+    found = {}
+
+    def run():
+        for first, total in count([batch.slice(0, 3), batch.slice(3)]):
+            found[first] = (int(total[:2 * quality.CELLS].sum()), int(total[3 * quality.CELLS]))
+    assert most_mb(run) < 4 * 8 * quality.GROUP_CELLS / 1e6
+    words, step = len(ENGLISH.split()), quality.GROUP_CELLS // quality.CHUNK
+    # A word and a bigram each (cell 0 for the first word); toxic text counts in marks alone.
+    assert found == {f * step: (4 * words if f < quality.FOLDS else 0, 2) for f in range(quality.FOLDS + 1)}
+
+
 def exact_classes(table, threshold=0.8):
     words = {i: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()) for i, t in table.items()}
     sets = {i: Counter(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter({(table[i] or "",): 1}) for i, w in words.items()}

@@ -10,15 +10,13 @@ character and language gives the next state and whether a phrase ended.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themescope.llm.common import table
+from themescope.llm.common import Made, lean, table
 from themescope.llm.textcodes import LETTER, classes, code_points, lower, text_slices
 
 #: Bounds of the fit: labelled rows, characters per language, letters told apart, bytes of the table.
@@ -28,6 +26,8 @@ LETTERS = 120
 TABLE_BYTES = 96 << 20
 #: Texts are parsed in parts of this many characters; a part starts a phrase.
 PART = 512
+#: Characters that are parsed at a time, states whose rows are made at a time.
+SLICE_CHARS, BLOCK = 1 << 18, 4096
 SALTS = 64
 SEED = 3
 UNKNOWN = "und"
@@ -114,25 +114,32 @@ class Parser:
             self.code[ord(ch)] = i + 2
         self.code = self.code[lower()]
         most = max(256, TABLE_BYTES // (4 * self.width * 2 * max(1, len(texts))))
-        tables, self.roots, self.bits, first = [], [], [], 0
+        self.roots, self.bits, first = [], [], 0
+        # Room for the most states there can be; what is not written takes no memory.
+        table = np.empty((sum(2 * min(most, len(t)) + 1 for t in texts.values()), self.width), np.uint32)
         for lang in self.langs:
             codes = self.code[np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32)].tolist()[:most]
             states = suffix_automaton(codes)
-            to = np.zeros((len(states), self.width), np.int64)
-            for s, d in enumerate(states):
-                if d:
-                    to[s, list(d)] = list(d.values())
-            missing = to == 0
-            # A character of no word of the sample is a phrase of its own, besides the one that it ends.
-            ended = missing * np.where(to[0] == 0, 2, 1)
-            ended[0] = missing[0]
-            cells = (np.where(missing, to[0], to) + first) * self.width * 4 + ended
-            cells[:, self.pad] = (np.arange(len(states)) + first) * self.width * 4
-            tables.append(cells.astype(np.uint32))
+            root = np.zeros(self.width, np.int64)
+            root[list(states[0])] = list(states[0].values())
+            for at in range(0, len(states), BLOCK):
+                some = states[at:at + BLOCK]
+                to = np.zeros((len(some), self.width), np.int64)
+                for s, d in enumerate(some):
+                    if d:
+                        to[s, list(d)] = list(d.values())
+                missing = to == 0
+                # A character of no word of the sample is a phrase of its own, besides the one that it ends.
+                ended = missing * np.where(root == 0, 2, 1)
+                if at == 0:
+                    ended[0] = missing[0]
+                cells = (np.where(missing, root, to) + first) * self.width * 4 + ended
+                cells[:, self.pad] = (np.arange(at, at + len(some)) + first) * self.width * 4
+                table[first + at:first + at + len(some)] = cells
             self.roots.append(first * self.width)
             self.bits.append(np.log2(max(2, len(codes))))
             first += len(states)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32)
+        self.table = table[:first].ravel()
 
     def codes(self, texts: list[str]):
         """(classes of all texts with runs of spaces as one, first position of each text)."""
@@ -172,18 +179,6 @@ class Parser:
         return bits
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
-def parser(texts: dict[str, str]) -> Parser:
-    """One parser for each worker process and training text."""
-    key = hashlib.md5(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(texts)
-    return _PARSERS[key]
-
-
 NEW = ("lang_pred", "score", "bits")
 
 
@@ -201,13 +196,13 @@ def with_language(docs: DataFrame, texts: dict[str, str], text_col: str = "text"
     docs = docs.drop(*names)
     columns = docs.columns
     at = columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(Made(Parser, texts))
 
     def detect(batches):
-        parse = parser(shared.value)
+        parse = shared.value()
         called = np.array([*parse.langs, UNKNOWN], object)
         for batch in batches:
-            for first, some in text_slices(batch, at):
+            for first, some in text_slices(batch, at, chars=SLICE_CHARS):
                 bits = parse(some)
                 und = np.isnan(bits).all(1) if bits.shape[1] else np.ones(len(some), bool)
                 filled = np.where(und[:, None], 1.0, bits) if bits.shape[1] else np.ones((len(some), 1))
@@ -221,7 +216,7 @@ def with_language(docs: DataFrame, texts: dict[str, str], text_col: str = "text"
                      pa.array(score, pa.float64()), pa.array(low, pa.float64(), mask=und)], names=[*columns, *names])
 
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
-    return docs.mapInArrow(detect, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
+    return docs.mapInArrow(lean(detect), T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
 
 def held_out(doc_id) -> Column:

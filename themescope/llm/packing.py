@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themescope.llm.common import table
+from themescope.llm.common import lean, table
 from themescope.llm.tokens import END_ID, encoded_rows, public_path
 
 WINDOW = 4096
@@ -147,7 +147,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     """
     dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
              .repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text"))
-    return dealt.mapInArrow(_packer(tokenizer, end_id, window), PIECE_SCHEMA)
+    return dealt.mapInArrow(lean(_packer(tokenizer, end_id, window)), PIECE_SCHEMA)
 
 
 def query(spark, sf_dir):

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themescope.llm.common import table, written
+from themescope.llm.common import TEXT_ROWS, arrow_rows, lean, table, written
 from themescope.llm.shingles import CHUNK, cell_counts, counted_cells, read_cells
 from themescope.llm.textcodes import classes, code_points, mix64, span_hasher, span_hashes, text_slices, word_spans
 
 CELLS = 1 << 20
-#: Characters that are counted at a time.
+#: Characters that are counted or scored at a time.
 SLICE_CHARS = 1 << 18
 PREFIX = 5
 PASSAGE = 8
@@ -151,20 +151,24 @@ def sample_counts(sample: DataFrame, parts: int) -> DataFrame:
     """Counts of the rows of sample (text, _fold), all folds in one job, the first
     ``parts`` folds being target text and the next one toxic: see ``read_group``."""
     def count(batches):
-        totals = {}
+        at, total = None, None                            # one fold in memory at a time
         for batch in batches:
             folds = batch.column(1).to_numpy()
             for fold in np.unique(folds):
-                total = totals.setdefault(int(fold), np.zeros(GROUP_CELLS, np.int64))
+                if fold != at:
+                    if at is not None:
+                        yield at * (GROUP_CELLS // CHUNK), total
+                    at, total = int(fold), np.zeros(GROUP_CELLS, np.int64)
                 some = batch.filter(pa.array(folds == fold))
                 total[3 * CELLS] += some.num_rows
                 for _, texts in text_slices(some, 0, chars=SLICE_CHARS):
                     if fold < parts:
                         add_ngrams(total, texts)
                     add_marks(total[2 * CELLS:3 * CELLS], texts)
-        return [(f * (GROUP_CELLS // CHUNK), total) for f, total in totals.items()]
+        if at is not None:
+            yield at * (GROUP_CELLS // CHUNK), total
     # A fold's rows (a bounded number) in one task, so that few dense arrays are added up.
-    return counted_cells(sample.select("text", "_fold").repartition(parts + 1, "_fold"), count)
+    return counted_cells(sample.select("text", "_fold").repartition(parts + 1, "_fold").sortWithinPartitions("_fold"), count)
 
 
 def read_group(counts: DataFrame, fold: int) -> np.ndarray:
@@ -199,17 +203,13 @@ def weighted(docs: DataFrame, models, rest: list[str], text: bool = False) -> Da
     def score(batches):
         ratios, evidence = models.value
         for batch in batches:
-            got, toxic = [], []
-            for _, texts in text_slices(batch, 0):        # one slice of texts in memory at a time
-                got.append(log_weights(texts, ratios))
-                if evidence is not None:
-                    toxic.append(toxic_evidence(texts, evidence))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[first:], pa.array(np.concatenate(got) if got else [], pa.float64()),
-                 pa.array(np.concatenate(toxic), pa.float64()) if toxic else pa.nulls(batch.num_rows, pa.float64())],
-                names=[*["text"][first:], *rest, "log_weight", "toxic"])
+            for at, texts in text_slices(batch, 0, chars=SLICE_CHARS):   # one slice of texts in memory at a time
+                toxic = pa.nulls(len(texts), pa.float64()) if evidence is None else pa.array(toxic_evidence(texts, evidence), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(at, len(texts)) for c in batch.columns[first:]), pa.array(log_weights(texts, ratios), pa.float64()), toxic],
+                    names=[*["text"][first:], *rest, "log_weight", "toxic"])
     docs = docs.select("text", *rest)
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields[first:], T.StructField("log_weight", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
+    return docs.mapInArrow(lean(score), T.StructType([*docs.schema.fields[first:], T.StructField("log_weight", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
 
 
 def has_word():
@@ -303,8 +303,9 @@ class Resampler:
         toxic = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         sample, chosen = self.sampled(rows, good)
         toxic_sample, _ = self.sampled(rows, toxic)
-        raw = ngram_counts(rows)
-        counts = sample_counts(sample.unionByName(toxic_sample.withColumn("_fold", F.lit(FOLDS).cast(sample.schema["_fold"].dataType))), FOLDS)
+        with arrow_rows(spark, TEXT_ROWS):
+            raw = ngram_counts(rows)
+            counts = sample_counts(sample.unionByName(toxic_sample.withColumn("_fold", F.lit(FOLDS).cast(sample.schema["_fold"].dataType))), FOLDS)
         # The driver holds the counts of one fold at a time, besides the totals.
         toxic_marks = read_group(counts, FOLDS)
         toxic_marks, n_toxic = toxic_marks[2 * CELLS:3 * CELLS].copy(), int(toxic_marks[3 * CELLS])
@@ -325,11 +326,13 @@ class Resampler:
         for f in range(FOLDS):
             without = models(f)
             part = sample.where((F.col("_fold") == f) & has_word())
-            held_out.append(written(weighted(part, without, group), "fold-weights"))
+            with arrow_rows(spark, TEXT_ROWS):
+                held_out.append(written(weighted(part, without, group), "fold-weights"))
             without.destroy()
         self.models = models()
         del raw, total, toxic_marks
-        scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
+        with arrow_rows(spark, TEXT_ROWS):
+            scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
         outside = scored.join(good, "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti").select(*group, *scores)
         held_out = reduce(DataFrame.unionByName, held_out, outside)
         self.levels = [Levels(held_out, "log_weight", TAIL), Levels(held_out, "toxic", TOXIC_TAIL, additive=True)]
