@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themescope.llm import langid, minhash, mixing, packing, quality
-from themescope.llm.common import TEXT_ROWS, free_names, table
+from themescope.llm.common import BATCH_ROWS, free_names, table
 from themescope.llm.tokens import public_path
 from themescope.session import scratch_path
 
@@ -28,7 +28,7 @@ def few_texts_at_a_time(spark: SparkSession) -> None:
     are computed after them, so the setting stays; no row depends on it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
-    spark.conf.set(key, str(min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS))
+    spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themescope.llm.common import TEXT_ROWS, arrow_rows, lean, table, written
+from themescope.llm.common import BATCH_ROWS, arrow_rows, lean, table, written
 from themescope.llm.shingles import CHUNK, cell_counts, counted_cells, read_cells
 from themescope.llm.textcodes import classes, code_points, mix64, span_hasher, span_hashes, text_slices, word_spans
 
@@ -303,7 +303,7 @@ class Resampler:
         toxic = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         sample, chosen = self.sampled(rows, good)
         toxic_sample, _ = self.sampled(rows, toxic)
-        with arrow_rows(spark, TEXT_ROWS):
+        with arrow_rows(spark, BATCH_ROWS):
             raw = ngram_counts(rows)
             counts = sample_counts(sample.unionByName(toxic_sample.withColumn("_fold", F.lit(FOLDS).cast(sample.schema["_fold"].dataType))), FOLDS)
         # The driver holds the counts of one fold at a time, besides the totals.
@@ -326,12 +326,12 @@ class Resampler:
         for f in range(FOLDS):
             without = models(f)
             part = sample.where((F.col("_fold") == f) & has_word())
-            with arrow_rows(spark, TEXT_ROWS):
+            with arrow_rows(spark, BATCH_ROWS):
                 held_out.append(written(weighted(part, without, group), "fold-weights"))
             without.destroy()
         self.models = models()
         del raw, total, toxic_marks
-        with arrow_rows(spark, TEXT_ROWS):
+        with arrow_rows(spark, BATCH_ROWS):
             scored = written(self.noisy(rows, ["doc_id", *group]).where("_noise IS NOT NULL"), "weights")
         outside = scored.join(good, "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti").select(*group, *scores)
         held_out = reduce(DataFrame.unionByName, held_out, outside)
