@@ -472,6 +472,36 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.where("false")).collect() == []
 
 
+def test_search_sends_the_driver_no_blocks(spark, monkeypatch):
+    """Query blocks times vector blocks meet in a shuffle, and the driver gets a few rows, however many there are."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "HEAD", 20)
+    monkeypatch.setattr(topk, "SAMPLE", 64)
+    monkeypatch.setattr(topk, "SHELVES_PER_CORE", 1, raising=False)
+    plans, collected, real, svd = {}, [], topk.written, np.linalg.svd
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(topk, "written", spied)
+    monkeypatch.setattr(np.linalg, "svd", lambda a, *x, **y: collected.append(len(a)) or svd(a, *x, **y))
+    rng = np.random.default_rng(8)
+    v = {i: np.floor(1024 * rng.normal(0, 1, 6)) / 1024 for i in range(600)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in topk.top_k(df, every=20).collect())
+    want = []
+    for q in range(0, 600, 20):
+        best = sorted((-int((v[q] * 1024) @ (v[c] * 1024)), c) for c in v if c != q)[:10]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == want
+    assert "SortMergeJoin [shelf" in plans["hits"] and not collected
+    joins = [x for x in plans["hits"].splitlines() if "BroadcastHashJoin" in x]
+    assert len(joins) == 1 and "[part#" in joins[0]          # the numbers of the blocks
+    none = spark.createDataFrame([(20, []), (7, [])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(none, every=20).collect()] == [(20, 1, 7, 0)]
+
+
 def test_quality(spark, docs, nothing):
     junk = "BUY!! NOW!! ### $$$ "
     more = spark.createDataFrame([(1000 + i, ENGLISH * 2 + (junk * 5 if i % 2 else f" and {i} more"), "en", "a", 1, *"xyzsp") for i in range(200)], SCHEMA)

@@ -22,6 +22,8 @@ SCALE = 1024.0
 QUERY_EVERY = 100
 BLOCK = 4096                       # vectors of a block
 QUERY_BLOCK = 512
+SHELF_BYTES = 32 << 20             # vector blocks that a query block is sent to once
+SHELVES_PER_CORE = 8
 CHUNK = 512                        # vectors bounded at a time
 HEAD = 1024                        # longest vectors, for the first thresholds
 SEED = 5
@@ -152,32 +154,30 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
             .select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding").alias("v")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = written(rows.withColumn("norm", norm), "quantised")
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-
-    def local(df):
-        got = df.select("vec_id", "v").collect()
-        out = np.zeros((len(got), width), np.int64)
-        for i, r in enumerate(got):
-            out[i, :len(r["v"])] = r["v"]
-        return np.array([r["vec_id"] for r in got], np.int64), out
-
-    _, sample = local(rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE))
-    rotation = np.linalg.svd(sample.astype(np.float64), full_matrices=True)[2].T if len(sample) and width else np.eye(width)
-    head = spark.sparkContext.broadcast(local(rows.orderBy(F.col("norm").desc(), "vec_id").limit(HEAD)))
-    turn = spark.sparkContext.broadcast(rotation)
+    width, n = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.lit(1))).first()
+    # One row in so many, so that no task sends the driver more than its part of the sample.
+    some = F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-n // SAMPLE)))) == 0
+    sample = _matrix(rows.where(some).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks(), width).astype(np.float64)
+    # The axes of the sample's SVD, without the side as long as the sample.
+    turn = spark.sparkContext.broadcast(np.linalg.eigh(sample.T @ sample)[1][:, ::-1])
 
     # Blocks in descending order of length; their numbers follow (part, block).
     by_norm = rows.repartitionByRange(F.col("norm").desc()).sortWithinPartitions(F.col("norm").desc())
     blocks = written(by_norm.select("vec_id", "v").mapInArrow(_packed(BLOCK, width), PACKED), "vector-blocks")
     numbers = Window.partitionBy(F.lit(0)).orderBy("part", "block")
     # One row per block of thousands of vectors.
-    order = written(blocks.select("part", "block", "longest").withColumn("vb", F.row_number().over(numbers)), "block-order")
+    order = written(blocks.select("part", "block", "n", "longest").withColumn("vb", F.row_number().over(numbers)), "block-order")
     blocks = blocks.join(order.select("part", "block", "vb"), ["part", "block"])
+    # Of the driver's own: one length for each block of thousands of vectors, and the blocks of the longest vectors.
+    sizes = order.orderBy("vb").select("n", "longest").collect()
+    first = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), HEAD)) + 1
+    heads = sorted(blocks.where(F.col("vb") <= first).select("vb", "ids", "data").collect())
+    head_ids, head = (np.frombuffer(b"".join(r[c] for r in heads), np.int64) for c in ("ids", "data"))
+    head = spark.sparkContext.broadcast((head_ids[:HEAD], head.reshape(len(head_ids), width)[:HEAD]))
     queries = written(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
                       .mapInArrow(_packed(QUERY_BLOCK, width, head, k), PACKED), "query-blocks")
     # A query block needs the blocks up to the last whose longest vector is in reach.
-    # Of the driver's own: one length for each block of thousands of vectors.
-    longest = np.array([r[0] for r in order.orderBy("vb").select("longest").collect()])
+    longest = np.array([r["longest"] for r in sizes])
     lengths = spark.sparkContext.broadcast(longest)
 
     def in_reach(batches):
@@ -185,9 +185,13 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
             n = np.searchsorted(-lengths.value, -batch.column(3).to_numpy(), "right")
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["q_ids", "q", "taus", "needed"])
 
+    # A query block is sent once to a shelf of blocks that stand one after another.
+    cores = spark.sparkContext.defaultParallelism
+    shelf = max(1, min(SHELF_BYTES // (BLOCK * 8 * max(width, 1)), len(sizes) // (SHELVES_PER_CORE * cores)))
     pairs = (queries.select("ids", "data", "taus", "reach")
              .mapInArrow(in_reach, "q_ids binary, q binary, taus binary, needed long").where("needed > 0")
-             .select(F.explode(F.sequence(F.lit(1), F.col("needed").cast("int"))).alias("vb"), "q_ids", "q", "taus"))
+             .select(F.explode(F.sequence(F.lit(0), F.floor((F.col("needed") - 1) / shelf).cast("int"))).alias("shelf"), "q_ids", "q", "taus", "needed"))
+    shelved = blocks.select(F.floor((F.col("vb") - 1) / shelf).cast("int").alias("shelf"), "vb", F.col("ids").alias("v_ids"), F.col("data").alias("v"))
 
     odd = np.random.default_rng(SEED).integers(0, 1 << 62, max(width, 1)) * 2 + 1
 
@@ -201,7 +205,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(which[qi]), pa.array(ids), pa.array(scores)],
                                                  names=["query_id", "which", "vec_id", "score"])
 
-    hits = (pairs.join(blocks.select("vb", F.col("ids").alias("v_ids"), F.col("data").alias("v")), "vb")
+    # Spark takes the exploded pairs for as small as the query blocks' file; unhinted, it sends them to the driver and all executors.
+    hits = (pairs.join(shelved.hint("merge"), "shelf").where("vb <= needed")
             .select("q_ids", "q", "taus", "v_ids", "v").mapInArrow(search, "query_id long, which long, vec_id long, score long"))
     with arrow_rows(spark, 8):
         hits = written(hits, "hits")
